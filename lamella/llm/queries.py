@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamella.llm import leakage, packing
+from lamella.llm import leakage, mojibake, packing
 from lamella.tables import table
 
 
@@ -32,5 +32,15 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return leakage.matches(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p6_packed, p6_fill, p7_found, p7_report)}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that were decoded with a wrong encoding, wholly or in places."""
+    return mojibake.damaged(table(spark, d, "documents"), keep_text=False).select("doc_id").distinct()
+
+
+def p8_restored(spark: SparkSession, d: str) -> DataFrame:
+    """The damaged documents with their text restored where possible."""
+    return mojibake.damaged(table(spark, d, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p6_packed, p6_fill, p7_found, p7_report, p8_found, p8_restored)}
 SQL: dict[str, str] = {}
