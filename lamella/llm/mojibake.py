@@ -32,6 +32,8 @@ UNSEEN = 0.3
 #: Log-odds: of a token by its lattice; summed over a document's distinct tokens for a single-byte channel.
 TOKEN_GAIN, CHANNEL_GAIN = 1.0, 5.0
 BEAM = 6
+#: How many times as frequent as the next a word must be to stand in for lost characters.
+CLEAR = 3
 #: Distinct units that a task counts before it passes them on; results don't depend on it.
 FLUSH = 400_000
 
@@ -193,11 +195,13 @@ class Model:
         out = token
         for m in re.finditer(rf"[^\W\d_{LOST}]*(?:{LOST}[^\W\d_{LOST}]*)+", token):
             shape = re.sub(r"[^\x00-\x7f]", LOST, m[0].lower())
-            for w in self.skeletons.get(shape, ()):
-                if all(a == LOST or a == b for a, b in zip(m[0].lower(), w)) and LOST not in w:
-                    word = w.upper() if m[0].replace(LOST, "").isupper() and len(w) > 2 else w.capitalize() if m[0][0].isupper() else w
-                    out = out.replace(m[0], word)
-                    break
+            fits = [w for w in self.skeletons.get(shape, ()) if LOST not in w and all(a == LOST or a == b for a, b in zip(m[0].lower(), w))]
+            # a lone character, or one of two words nearly as frequent, can't be told: it stays lost
+            if len(m[0]) < 2 or not fits or (len(fits) > 1 and self.counts[fits[0]] < CLEAR * self.counts[fits[1]]):
+                continue
+            w = fits[0]
+            word = w.upper() if m[0].replace(LOST, "").isupper() and len(w) > 2 else w.capitalize() if m[0][0].isupper() else w
+            out = out.replace(m[0], word)
         return out if out != token else None
 
     def evaluate(self, token: str) -> tuple[str, float, tuple] | None:
