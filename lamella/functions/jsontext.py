@@ -21,57 +21,52 @@ SHORT = {"\\": "\\\\", '"': '\\"', "\n": "\\n", "\r": "\\r", "\t": "\\t"}
 def text(value: Column) -> Column:
     """A quoted string; control characters without a short escape become \\u00xx."""
     v = F.replace(value, F.lit("\\"), F.lit("\\\\"))
+    rare = v
     for c in range(32):
         if chr(c) not in SHORT:
-            v = F.replace(v, F.lit(chr(c)), F.lit(f"\\u{c:04x}"))
+            rare = F.replace(rare, F.lit(chr(c)), F.lit(f"\\u{c:04x}"))
+    v = F.when(value.rlike(r"[\x00-\x08\x0b\x0c\x0e-\x1f]"), rare).otherwise(v)
     for c, e in SHORT.items():
         if c != "\\":
             v = F.replace(v, F.lit(c), F.lit(e))
     return F.concat(F.lit('"'), v, F.lit('"'))
 
 
-def plain_or_exponent(digits: Column, point: Column, negative: Column) -> Column:
-    """0.d1d2d3… × 10^point laid out: fixed for 0 <= point <= 7, else with an exponent. digits has neither leading nor trailing zeros; zero is empty."""
-    n = F.length(digits)
-    fixed = F.when(point <= 0, F.concat(F.lit("0."), digits)).when(point >= n, F.concat(F.rpad(digits, point, "0"), F.lit(".0"))).otherwise(F.concat(F.substring(digits, F.lit(1), point), F.lit("."), F.substring(digits, point + 1, n)))
-    tail = F.when(n > 1, F.substring(digits, F.lit(2), n)).otherwise(F.lit("0"))
-    exponent = F.concat(F.substring(digits, 1, 1), F.lit("."), tail, F.lit("e"), (point - 1).cast("string"))
-    laid = F.when(n == 0, F.lit("0.0")).when((point >= 0) & (point <= 7), fixed).otherwise(exponent)
-    return F.when(negative, F.concat(F.lit("-"), laid)).otherwise(laid)
-
-
-def _split(plain: Column, shift: Column) -> tuple[Column, Column]:
-    """(digits, point) of an unsigned text `ddd.ddd` times 10^shift."""
-    whole, rest = F.substring_index(plain, ".", 1), F.when(F.instr(plain, ".") > 0, F.substring_index(plain, ".", -1)).otherwise(F.lit(""))
-    both = F.concat(whole, rest)
-    bare = F.regexp_replace(both, "^0+", "")
-    point = F.length(whole) - (F.length(both) - F.length(bare)) + shift
-    return F.regexp_replace(bare, "0+$", ""), point.cast("int")
-
-
 def fraction(value: Column) -> Column:
-    """A float or double, with the digits that the JVM prints."""
-    s = F.regexp_replace(value.cast("string"), "^-", "")
-    parts = F.substring_index(s, "E", 1)
-    shift = F.when(F.instr(s, "E") > 0, F.substring_index(s, "E", -1).try_cast("int")).otherwise(F.lit(0))
-    digits, point = _split(parts, shift)
-    laid = plain_or_exponent(digits, point, value.cast("string").startswith("-"))
-    return F.when(F.isnan(value), F.lit("NaN")).when(value == float("inf"), F.lit("Infinity")).when(value == float("-inf"), F.lit("-Infinity")).otherwise(laid)
+    """A float or double, with the digits that the JVM prints: an exponent below 0.1 and from ten million, at least one digit after the point."""
+    s = F.replace(value.cast("string"), F.lit("E"), F.lit("e"))
+    small = s
+    # the JVM writes 0.001 to 0.1 without an exponent
+    for zeros in (1, 2):
+        lead = rf"^(-?)0\.{'0' * zeros}([1-9])"
+        small = F.regexp_replace(small, lead + "$", f"$1$2.0e-{zeros + 1}")
+        small = F.regexp_replace(small, lead + r"(\d+)$", f"$1$2.$3e-{zeros + 1}")
+    return F.when(F.abs(value) < 0.1, small).otherwise(s)
+
+
+def _laid(plain: Column) -> Column:
+    """A decimal text without exponent, laid out like a fraction; trailing zeros don't show."""
+    s = F.when(F.instr(plain, ".") > 0, plain).otherwise(F.concat(plain, F.lit(".0")))
+    trimmed = lambda x: F.regexp_replace(F.regexp_replace(x, r"(\.\d*?)0+$", "$1"), r"\.$", ".0")
+    large, small = r"^(-?)([1-9])(\d{7,})\.(\d*)$", r"^(-?)0\.(0+)([1-9])(\d*)$"
+    as_large = F.concat(trimmed(F.regexp_replace(s, large, "$1$2.$3$4")), F.lit("e"), F.length(F.regexp_extract(s, large, 3)).cast("string"))
+    as_small = F.concat(trimmed(F.regexp_replace(s, small, "$1$3.$4")), F.lit("e-"), (F.length(F.regexp_extract(s, small, 2)) + 1).cast("string"))
+    return F.when(s.rlike(large), as_large).when(s.rlike(small), as_small).otherwise(trimmed(s))
 
 
 def decimal(value: Column) -> Column:
-    """A decimal of uniform scale; trailing zeros don't show."""
-    s = F.regexp_replace(value.cast("string"), "^-", "")
-    shift = F.when(F.instr(s, "E") > 0, F.substring_index(s, "E", -1).try_cast("int")).otherwise(F.lit(0))
-    digits, point = _split(F.substring_index(s, "E", 1), shift)
-    return plain_or_exponent(digits, point, value < 0)
+    """A decimal of uniform scale."""
+    return F.regexp_replace(_laid(value.cast("string")), r"^-(0\.0)$", "$1")
 
 
 def scaled(value: Column) -> Column:
     """A decimal with its own scale, as struct(unscaled, scale)."""
-    s = F.regexp_replace(value["unscaled"].cast("string"), "^-", "")
-    digits, point = _split(s, -value["scale"].cast("int"))
-    return plain_or_exponent(digits, point, value["unscaled"] < 0)
+    u = F.regexp_replace(value["unscaled"].cast("string"), "^-", "")
+    scale = value["scale"].cast("int")
+    wide = F.lpad(u, F.greatest(F.length(u), scale + 1), "0")
+    pointed = F.concat(F.substring(wide, F.lit(1), F.length(wide) - scale), F.lit("."), F.right(wide, scale))
+    plain = F.when(scale > 0, pointed).when(value["unscaled"] == 0, F.lit("0")).otherwise(F.concat(u, F.repeat(F.lit("0"), -scale)))
+    return F.concat(F.when(value["unscaled"] < 0, F.lit("-")).otherwise(F.lit("")), _laid(plain))
 
 
 def _two(x: Column) -> Column:

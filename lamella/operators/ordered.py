@@ -13,35 +13,35 @@ from pyspark.sql import functions as F
 
 
 def _same(a: DataFrame, b: DataFrame, names: list[str]) -> Column:
-    return reduce(lambda x, y: x & y, [a[n].eqNullSafe(b["_r_" + n]) for n in names])
+    return reduce(lambda x, y: x & y, [a[n].eqNullSafe(b["_lamella_r_" + n]) for n in names])
 
 
 def split_lag(df: DataFrame, keys: list[str], order: list[str], bucket: Column, values: dict[str, str]) -> DataFrame:
     """df with, under each new name in `values`, the given column's value in the row before within `keys` by `order`.
 
     The bucket must not decrease along the order. Rows that tie in the order follow each other arbitrarily, so the order should be unique. Null keys
-    form one group; the first row of a group gets nulls; an empty table stays empty. Existing columns are kept and win over clashing internal names.
+    form one group; the first row of a group gets nulls; an empty table stays empty. All columns are kept; names that begin with _lamella are reserved.
     """
-    d = df.withColumn("_bucket", bucket)
-    near = Window.partitionBy(*keys, "_bucket").orderBy(*order)
+    d = df.withColumn("_lamella_bucket", bucket)
+    near = Window.partitionBy(*keys, "_lamella_bucket").orderBy(*order)
     packed = F.struct(*[F.col(v).alias(n) for n, v in values.items()])
-    d = d.withColumn("_near", F.lag(packed).over(near)).withColumn("_first", F.row_number().over(near) == 1)
-    tails = df.withColumn("_bucket", bucket).groupBy(*keys, "_bucket").agg(F.max_by(packed, F.struct(*order)).alias("_tail"))
-    tails = tails.withColumn("_tail", F.lag("_tail").over(Window.partitionBy(*keys).orderBy("_bucket")))
-    far = tails.select(*[F.col(n).alias("_r_" + n) for n in [*keys, "_bucket"]], "_tail")
-    joined = d.join(far, _same(d, far, [*keys, "_bucket"]), "left")
-    before = F.when(F.col("_first"), F.col("_tail")).otherwise(F.col("_near"))
-    return joined.withColumn("_before", before).select(*[d[c] for c in df.columns], *[F.col("_before")[n].alias(n) for n in values])
+    d = d.withColumn("_lamella_near", F.lag(packed).over(near)).withColumn("_lamella_first", F.row_number().over(near) == 1)
+    tails = df.withColumn("_lamella_bucket", bucket).groupBy(*keys, "_lamella_bucket").agg(F.max_by(packed, F.struct(*order)).alias("_lamella_tail"))
+    tails = tails.withColumn("_lamella_tail", F.lag("_lamella_tail").over(Window.partitionBy(*keys).orderBy("_lamella_bucket")))
+    far = tails.select(*[F.col(n).alias("_lamella_r_" + n) for n in [*keys, "_lamella_bucket"]], "_lamella_tail")
+    joined = d.join(far, _same(d, far, [*keys, "_lamella_bucket"]), "left")
+    before = F.when(F.col("_lamella_first"), F.col("_lamella_tail")).otherwise(F.col("_lamella_near"))
+    return joined.withColumn("_lamella_before", before).select(*[d[c] for c in df.columns], *[F.col("_lamella_before")[n].alias(n) for n in values])
 
 
 def split_sum(df: DataFrame, keys: list[str], order: list[str], bucket: Column, value: str, name: str) -> DataFrame:
     """df with, as `name`, the sum of `value` over the rows before (0 for the first). Nulls count as 0; otherwise as split_lag."""
-    d = df.withColumn("_bucket", bucket)
+    d = df.withColumn("_lamella_bucket", bucket)
     worth = F.coalesce(F.col(value), F.lit(0)).cast("bigint")
-    near = Window.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    d = d.withColumn("_near", F.coalesce(F.sum(worth).over(near), F.lit(0)))
-    sums = df.withColumn("_bucket", bucket).groupBy(*keys, "_bucket").agg(F.sum(worth).alias("_sum"))
-    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    far = sums.withColumn("_far", F.coalesce(F.sum("_sum").over(before), F.lit(0))).select(*[F.col(n).alias("_r_" + n) for n in [*keys, "_bucket"]], "_far")
-    joined = d.join(far, _same(d, far, [*keys, "_bucket"]), "left")
-    return joined.select(*[d[c] for c in df.columns], (F.col("_near") + F.coalesce(F.col("_far"), F.lit(0))).alias(name))
+    near = Window.partitionBy(*keys, "_lamella_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    d = d.withColumn("_lamella_near", F.coalesce(F.sum(worth).over(near), F.lit(0)))
+    sums = df.withColumn("_lamella_bucket", bucket).groupBy(*keys, "_lamella_bucket").agg(F.sum(worth).alias("_lamella_sum"))
+    before = Window.partitionBy(*keys).orderBy("_lamella_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    far = sums.withColumn("_lamella_far", F.coalesce(F.sum("_lamella_sum").over(before), F.lit(0))).select(*[F.col(n).alias("_lamella_r_" + n) for n in [*keys, "_lamella_bucket"]], "_lamella_far")
+    joined = d.join(far, _same(d, far, [*keys, "_lamella_bucket"]), "left")
+    return joined.select(*[d[c] for c in df.columns], (F.col("_lamella_near") + F.coalesce(F.col("_lamella_far"), F.lit(0))).alias(name))

@@ -1,3 +1,179 @@
-"""SQL for DuckDB with the results of the registered queries."""
+"""SQL for DuckDB with the results of the registered queries, over the same whole tables."""
 
-SQL: dict[str, str] = {}
+from __future__ import annotations
+
+
+def show(x: str) -> str:
+    """A double from 0.1 up to ten million, or a whole number of hundredths below 0.1."""
+    return f"(case when {x} is null then 'null' when {x} = 0 then '0.0' when abs({x}) < 0.1 then cast(cast(round({x} * 100) as bigint) as varchar) || '.0e-2' else cast({x} as varchar) end)"
+
+
+def quoted(x: str) -> str:
+    body = f"replace({x}, '\\', '\\\\')"
+    for c in range(1, 32):
+        if c not in (9, 10, 13):
+            body = f"replace({body}, chr({c}), '\\u{c:04x}')"
+    for c, e in ((34, '\\"'), (10, "\\n"), (13, "\\r"), (9, "\\t")):
+        body = f"replace({body}, chr({c}), '{e}')"
+    return f"coalesce('\"' || {body} || '\"', 'null')"
+
+
+def plain(x: str) -> str:
+    return f"coalesce(cast({x} as varchar), 'null')"
+
+
+def fields(**named: str) -> str:
+    return "'{' || " + " || ', ' || ".join(f"'\"{k}\": ' || {v}" for k, v in named.items()) + " || '}'"
+
+
+def nano(ts: str) -> str:
+    return f"coalesce('\"' || strftime({ts}, '%Y-%m-%dT%H:%M:%S.') || lpad(cast((epoch_us({ts}) % 1000000) * 1000 as varchar), 9, '0') || '\"', 'null')"
+
+
+CHUNKED = "(select *, row_number() over (order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) - 1 as ordinal, (row_number() over (order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) - 1) // 10000 as chunk from lineitem)"
+EVENTS = "(select *, row_number() over (order by event_id) - 1 as ordinal, (row_number() over (order by event_id) - 1) // 1000 as chunk from events)"
+RECORDS = "(select distinct on (record_id) * from row_records order by record_id)"
+FILES = """(select file_id, feed_id, dataset, file_layout, written_at, body_digest, content_length, number_of_rows,
+  lower(trim(list_filter(user_metadata, lambda x: x.item_name = 'date.order')[1].item_value)) as date_order
+  from (select *, row_number() over (partition by file_id order by registered_at) as k from orc_files) where k = 1)"""
+DECIMAL = """case when digits = '' then '0.0' when point between 0 and 7 then
+    case when point = 0 then '0.' || digits when point >= length(digits) then rpad(digits, cast(point as int), '0') || '.0' else substr(digits, 1, point) || '.' || substr(digits, point + 1) end
+  else substr(digits, 1, 1) || '.' || (case when length(digits) > 1 then substr(digits, 2) else '0' end) || 'e' || (point - 1) end"""
+
+SQL: dict[str, str] = {
+    "scan_rows": "select * from lineitem",
+    "scan_pushed": "select l_orderkey, l_quantity from lineitem where l_quantity >= 45",
+    "scan_continued": "select o_orderstatus, count(*) as n, 6 as fields from orders group by 1",
+    "scan_attempted": "select 'good' as name, true as ok, count(*) as n from orders union all select 'missing', false, null",
+    "scan_stripes": "select o_orderstatus, count(*) as n, cast(sum(o_orderkey) as bigint) as keys, count(*) as places from orders group by 1",
+    "meta_footers": "select 'zstd' as compression, cast(262144 as bigint) as block_size, count(*) as n, count(*) as stripe_rows, 12 as types, cast(0 as bigint) as errors from lineitem",
+    "meta_statistics": """select 0 as column_id, count(*) as number_of_values, false as has_null from documents union all select 1, count(doc_id), count(doc_id) < count(*) from documents
+        union all select 2, count(lang), count(lang) < count(*) from documents union all select 3, count(family_id), count(family_id) < count(*) from documents
+        union all select 4, count(n_claims), count(n_claims) < count(*) from documents""",
+    "meta_types": "select * from (values (0, '', 'struct'), (1, 'vec_id', 'bigint'), (2, 'embedding', 'array'), (3, 'embedding.item', 'float'), (4, 'label', 'int')) t(column_id, path, kind)",
+    "meta_registered": f"select file_id, feed_id, number_of_rows, date_order from {FILES}",
+    "sink_rows_per_file": "select cast(least(1000, n - 1000 * i) as bigint) as number_of_rows, count(*) as files from (select count(*) as n from orders), (select unnest(range(0, 100000)) as i) where 1000 * i < n group by 1",
+    "sink_empty": "select * from (values ('n_nationkey', 'int'), ('n_name', 'string'), ('n_regionkey', 'int')) t(path, kind)",
+    **{f"sink_reencode_{c}": "select * from orders" for c in ("none", "snappy", "zlib", "zstd")},
+    "sink_roundtrip": "select * from events",
+    "sink_json": f"select {fields(s_suppkey=plain('s_suppkey'), s_name=quoted('s_name'), s_nationkey=plain('s_nationkey'))} as value from supplier",
+    "proj_scalars": "select record_id, c_bool, c_byte, c_short, c_int, c_long, c_float, c_double, c_dec, date_diff('day', date '1970-01-01', c_date)::int as c_date, c_str, c_varchar, c_char from row_records",
+    "proj_struct": "select record_id, c_ts.seconds as seconds, c_ts.nanos as nanos, c_ts.seconds as _0, c_ts.nanos as _1 from row_records",
+    "proj_union": "select event_id, cast(event_id % 2 as int) as tag, case when event_id % 2 = 0 then value end as number, case when event_id % 2 = 1 then event_type end as word from events",
+    "proj_variant_rows": "select event_id, event_type as word from events where event_id % 2 = 1",
+    "proj_map": "select n_regionkey, cast(row_number() over (partition by n_regionkey order by n_name) - 1 as int) as pos, n_name, n_nationkey from nation",
+    "proj_present": "select doc_id, lang from documents where lang is not null",
+    "proj_consumer": "select l_returnflag, round(sum(l_extendedprice * (1 - l_discount)), 2) as revenue from lineitem where l_discount > 0.05 group by 1",
+    "col_presence": "select doc_id, (row_number() over (order by doc_id) - 1) // 1000 as chunk, lang from documents",
+    "col_presence_counts": "select chunk, count(*) as n, count(lang) as present, count(lang) < count(*) as partial from (select lang, (row_number() over (order by doc_id) - 1) // 1000 as chunk from documents) group by 1",
+    "col_lists": "select vec_id, cast(i - 1 as int) as pos, cast(embedding[i] as double) as value from embeddings, unnest(range(1, len(embedding) + 1)) t(i)",
+    "col_list_lengths": "select vec_id, cast(len(embedding) as int) as length from embeddings",
+    "col_list_slices": """select o_custkey, cast(row_number() over (partition by o_custkey order by o_orderkey) - 1 as int) as ordinal, cast(n as int) as n, cast(total as int) as total
+        from orders join (select l_orderkey, count(*) as n, sum(l_linenumber) as total from lineitem group by 1) on o_orderkey = l_orderkey""",
+    "col_maps": "select n_regionkey, cast(row_number() over (partition by n_regionkey order by n_nationkey) - 1 as int) as pos, case when n_nationkey % 5 = 0 then null else substr(n_name, 1, 1) end as map_key, n_nationkey as map_value from nation",
+    "col_unions": "select event_id, cast(event_id % 2 as int) as tag, case when event_id % 2 = 0 then value end as v0, case when event_id % 2 = 1 then event_type end as v1 from events",
+    "col_decimals": "select record_id, cast(c_dec * 10000 as bigint) as unscaled, 4 as scale, c_dec as back from row_records where c_dec is not null",
+    "col_timestamps": "select record_id, c_ts.seconds as seconds, c_ts.nanos as nanos from row_records where c_ts is not null",
+    "col_zip": "select o as ordinal, s_suppkey, n_nationkey from (select row_number() over (order by s_suppkey) - 1 as o, s_suppkey from supplier) join (select row_number() over (order by n_nationkey) - 1 as o, n_nationkey from nation) using (o)",
+    "col_chunks": f"select chunk, count(*) as n, sum(l_quantity) as quantity, min(l_orderkey) as first_key from {CHUNKED} group by 1",
+    "col_transpose": "select cast(i - 1 as int) as pos, row_number() over (partition by i order by vec_id) - 1 as k, cast(embedding[i] as double) as value from embeddings, unnest(range(1, least(label + 1, len(embedding)) + 1)) t(i)",
+    "col_segments": "select doc_id, cast(coalesce(sum(strlen(text)) over (order by doc_id rows between unbounded preceding and 1 preceding), 0) as bigint) as \"offset\", strlen(text) as length from documents",
+    "col_heads": "select vec_id, cast(embedding[1] as double) as head, case when len(embedding) > 0 then cast(len(embedding) - 1 as int) end as rest from embeddings",
+    "set_append": "select o_orderkey, o_orderstatus from orders where o_orderstatus = 'F' union all select o_orderkey, o_orderstatus from orders where o_orderkey % 3 = 0",
+    "set_concat": "select o_orderkey, o_orderpriority from orders",
+    "set_length": "select count(*) as n from lineitem",
+    "set_empty": "select cast(0 as bigint) as n",
+    "chunk_resize": "select i as chunk, cast(least(65536, n - 65536 * i) as bigint) as n from (select sum(strlen(text)) as n from documents), (select unnest(range(0, 1000000)) as i) where 65536 * i < n",
+    "chunk_total": "select cast(sum(strlen(text)) as bigint) as n from documents",
+    "chunk_fold": f"select chunk, cast(sum(length(cast(step as varchar)) + 1) as bigint) as n from (select chunk, event_id - coalesce(nullif(lag(event_id) over (partition by chunk order by event_id), 0), event_id) as step from {EVENTS}) group by 1",
+    "chunk_map": "select event_id, upper(event_type) as upper_type from events",
+    "fn_dates": "select record_id, date_diff('day', date '1970-01-01', c_date)::int as day, year(c_date)::int as year, month(c_date)::int as month, day(c_date)::int as day_of_month, date_diff('day', date '1970-01-01', c_date) as back from row_records where c_date is not null",
+    "fn_timestamps": """select record_id, date '2015-01-01' + cast(floor(c_ts.seconds / 86400.0) as int) as date, (c_ts.seconds - 86400 * cast(floor(c_ts.seconds / 86400.0) as bigint)) * 1000000000 + c_ts.nanos as nano_of_day,
+        c_ts.seconds as seconds, c_ts.nanos as nanos from row_records where c_ts is not null""",
+    "fn_moments": "select event_id, cast(floor(epoch_us(ts) / 1000000.0) as bigint) - 1420070400 as seconds, (epoch_us(ts) - 1000000 * cast(floor(epoch_us(ts) / 1000000.0) as bigint)) * 1000 as nanos from events",
+    "fn_nanoseconds": """select record_id, n as nanos, cast(case when n = 0 then 0 when z >= 2 then cast(substr(s, 1, length(s) - z) as bigint) * 8 + z - 1 else n * 8 end as bigint) as code, n as back
+        from (select record_id, c_ts.nanos as n, cast(c_ts.nanos as varchar) as s, least(length(cast(c_ts.nanos as varchar)) - length(rtrim(cast(c_ts.nanos as varchar), '0')), 8) as z from row_records where c_ts is not null)""",
+    "fn_zigzag": """select record_id, case when c_long >= 0 then c_long * 2 else -2 * c_long - 1 end as code, c_long as back, cast(case when c_int >= 0 then cast(c_int as bigint) * 2 else -2 * cast(c_int as bigint) - 1 end as bigint) as small,
+        cast(c_int as bigint) as plain, cast(case when c_long >= 0 then c_long * 2 else -2 * c_long - 1 end as decimal(38, 0)) as wide from row_records where c_long is not null""",
+    "fn_widths": "select cast(i as int) as code, cast(case when i < 24 then i + 1 when i < 28 then 2 * i - 22 else 8 * i - 184 end as int) as width from unnest(range(0, 32)) t(i)",
+    "fn_words24": "select o_orderkey, upper(printf('%02x%02x%02x', (o_orderkey % 16777216) & 255, ((o_orderkey % 16777216) >> 8) & 255, (o_orderkey % 16777216) >> 16)) as bytes, o_orderkey % 16777216 as back from orders",
+    "fn_big_endian": "select o_orderkey, o_orderkey as plain, case when o_orderkey % 2 = 0 then o_orderkey // 2 else -(o_orderkey // 2) - 1 end as zigzagged, o_orderkey as magnitude from orders",
+    "fn_bytes": "select record_id, cast(c_byte & 255 as int) as byte from row_records where c_byte is not null",
+    "json_lineitem": "select "
+    + fields(
+        l_orderkey=plain("l_orderkey"), l_partkey=plain("l_partkey"), l_suppkey=plain("l_suppkey"), l_linenumber=plain("l_linenumber"), l_quantity=show("l_quantity"), l_extendedprice=show("l_extendedprice"),
+        l_discount=show("l_discount"), l_tax=show("l_tax"), l_returnflag=quoted("l_returnflag"), l_linestatus=quoted("l_linestatus"), l_shipdate=nano("l_shipdate"),
+    )
+    + " as value from lineitem",
+    "json_documents": f"select {fields(doc_id=plain('doc_id'), text=quoted('text'), lang=quoted('lang'), n_claims=plain('n_claims'))} as value from documents",
+    "json_records": f"""with a as (select *, cast(abs(c_dec) as varchar) as s from row_records),
+        b as (select *, split_part(s, '.', 1) as whole, split_part(s, '.', 2) as frac from a),
+        c as (select *, rtrim(ltrim(whole || frac, '0'), '0') as digits, length(whole) - (length(whole || frac) - length(ltrim(whole || frac, '0'))) as point from b)
+        select {fields(
+            record_id=plain('record_id'), c_bool=plain('c_bool'), c_byte=plain('c_byte & 255'),
+            c_date="coalesce('\"' || strftime(c_date, '%Y-%m-%d') || '\"', 'null')",
+            c_dec=f"case when c_dec is null then 'null' else (case when c_dec < 0 then '-' else '' end) || {DECIMAL} end",
+            c_ts="coalesce('\"' || strftime(timestamp '2015-01-01' + to_seconds(c_ts.seconds), '%Y-%m-%dT%H:%M:%S.') || lpad(cast(c_ts.nanos as varchar), 9, '0') || '\"', 'null')",
+            c_bin="coalesce('[' || array_to_string(list_transform(range(1, strlen(c_char) + 1), lambda i: cast(cast('0x' || substr(hex(encode(c_char)), 2 * i - 1, 2) as int) as varchar)), ', ') || ']', 'null')",
+        )} as value from c""",
+    "json_nested": """select '{"n_regionkey": ' || n_regionkey || ', "nations": [' || string_agg('{"n_nationkey": ' || n_nationkey || ', "n_name": "' || n_name || '"}', ', ' order by n_nationkey) || '], "m": ['
+        || string_agg('{"key": "' || n_name || '", "value": ' || n_nationkey || '}', ', ' order by n_nationkey) || '], "u": {"tag": ' || n_regionkey % 2 || ', "value": ' || case when n_regionkey % 2 = 0 then cast(n_regionkey as varchar) else '"odd"' end || '}}' as value
+        from nation group by n_regionkey""",
+    "json_roots": "select '\"' || r_name || '\"' as value from region",
+    "enc_dictionary_choice": f"select chunk, count(props) as present, count(distinct props) as \"distinct\", count(distinct props) < 0.5 * count(props) as dictionary from {EVENTS} group by 1",
+    "enc_dictionary": f"""with e as {EVENTS}, f as (select chunk, event_type, min(ordinal) as first from e where event_type is not null group by all),
+        g as (select chunk, event_type, row_number() over (partition by chunk order by first) - 1 as id from f) select ordinal, id, e.event_type from e left join g using (chunk, event_type)""",
+    "enc_tags": f"select chunk, cast(event_id % 2 as int) as tag, count(*) as n from {EVENTS} group by all",
+    "enc_equal_runs": f"""with m as (select chunk, ordinal, l_returnflag as value, row_number() over (partition by chunk order by ordinal) - row_number() over (partition by chunk, l_returnflag order by ordinal) as island from {CHUNKED})
+        select chunk, min(ordinal) as start, count(*) as length, value from m group by chunk, value, island""",
+    "enc_step_runs": f"""with s as (select chunk, ordinal, l_linenumber as v, l_linenumber - lag(l_linenumber) over (partition by chunk order by ordinal) as step from {CHUNKED}),
+        m as (select *, row_number() over (partition by chunk order by ordinal) - row_number() over (partition by chunk, step order by ordinal) as island from s where step is not null)
+        select chunk, min(ordinal) - 1 as start, count(*) + 1 as length, cast(arg_min(v - step, ordinal) as bigint) as base, cast(step as bigint) as step from m group by chunk, step, island""",
+    "enc_expand": "select o_orderkey, i, o_orderkey + i * (o_custkey % 5 - 2) as value from orders, unnest(range(0, o_orderkey % 7 + 3)) t(i)",
+    "enc_repeats": "select o_orderkey, cast(o_orderkey % 12 as int) as n, o_custkey * (o_orderkey % 12) as total from orders where o_orderkey % 12 between 3 and 10",
+    "enc_bits": f"select chunk, (ordinal % 1000) // 8 as byte_no, cast(sum(case when event_type = 'click' then 1 << cast(7 - (ordinal % 1000) % 8 as int) else 0 end) as int) as byte from {EVENTS} group by 1, 2",
+    "enc_bits_back": f"select chunk, count(*) filter (event_type = 'click') as n, cast(sum(case when event_type = 'click' then ordinal % 1000 else 0 end) as bigint) as places from {EVENTS} group by 1",
+    "enc_deltas": f"select chunk, ordinal, first_value(l_partkey) over w as base, coalesce(l_partkey - lag(l_partkey) over w, 0) as delta, l_partkey as value from {CHUNKED} window w as (partition by chunk order by ordinal)",
+    "enc_varint_lengths": "select cast(case when l_partkey < 64 then 1 when l_partkey < 8192 then 2 when l_partkey < 1048576 then 3 else 4 end as int) as bytes, count(*) as n from lineitem group by 1",
+    "enc_bytes_varint": f"select ordinal, l_partkey as value from {CHUNKED}",
+    "enc_bytes_runs": f"select ordinal, cast(l_linenumber as bigint) as value from {CHUNKED}",
+    "enc_bytes_bytes": f"select ordinal, cast(l_linenumber as bigint) as value from {CHUNKED}",
+    "enc_bytes_double": f"select ordinal, l_extendedprice as value from {CHUNKED}",
+    "udf_stripes": "select event_id, value * 2.0 as doubled from events",
+    "stream_files": "select event_id, user_id, event_type from events",
+    "p4_found": f"""with f as {FILES}, s as (select file_id, stripe_no, max(stripe_offset) as o, max(index_length) as i, max(data_length) as d, max(footer_length) as l, max(si_number_of_rows) as n from stripes group by all),
+        e as (select s.*, coalesce(d, coalesce(lead(o) over (partition by s.file_id order by stripe_no), content_length) - o - i - l) as size from s join f using (file_id)),
+        z as (select file_id, sum(size) as size, sum(n) as n from e group by 1 having count(size) = count(*)),
+        k as (select f.*, row_number() over (partition by feed_id, body_digest order by written_at, file_id) as turn from f),
+        small as (select file_id, feed_id, cast(written_at as date) as day from k join z using (file_id) where (turn = 1 or body_digest is null) and n >= 1 and size < 65536)
+        select file_id from (select file_id, count(*) over (partition by feed_id, day) as c from small) where c >= 2""",
+}
+
+
+def _profile_sql() -> tuple[str, str]:
+    """(the exact profile of each column of each load, the columns out of order)."""
+    names = "c_bool c_byte c_short c_int c_long c_float c_double c_dec c_date c_str c_varchar c_char".split()
+    bad = {"c_byte": "c_byte not between 0 and 255", "c_double": "not (c_double between -1e6 and 1e6)", "c_date": "c_date not between date '1900-01-01' and date '2099-12-31'"}
+    each = " union all ".join(
+        f"""select file_id, '{c}' as column_name, cast(count(*) as bigint) as rows, count({c}) as n, count(distinct {c}) as "distinct", count(*) filter ({bad.get(c, 'false')}) as out_of_range,
+        count(*) filter ({"not regexp_full_match(c_varchar, '[A-Z]{3}-[0-9]{5}')" if c == 'c_varchar' else 'false'}) as off_pattern,
+        entropy({c}) as entropy, {f'quantile_cont(cast({c} as double), 0.5)' if c in ('c_int', 'c_double') else 'cast(null as double)'} as median from r group by 1"""
+        for c in names
+    )
+    base = f"with r as {RECORDS}, m as ({each})"
+    whole = f"{base} select file_id, column_name, rows, n, \"distinct\", out_of_range, off_pattern, round(case when n > 0 then entropy end, 6) as entropy, round(median, 6) as median from m"
+    issues = f"""{base}, f as (select * from {FILES} where file_layout = 'flat'),
+        o as (select f.file_id, lag(f.file_id) over (partition by feed_id order by written_at) as before from f join (select distinct file_id from r) using (file_id)),
+        s as (select file_id, column_name, max(number_of_values) as sn, max(has_null) as sh from column_stats group by all),
+        g as (select f.file_id, c.column_name from f, (select unnest({names!r}) as column_name) c),
+        x as (select g.file_id, g.column_name, coalesce(a.rows, 0) as rows, coalesce(a.n, 0) as n, a."distinct" as di, a.out_of_range as oor, a.off_pattern as op, a.median as me, b.rows as rows0, b.n as n0, b.median as me0, sn, sh
+            from g left join m a using (file_id, column_name) left join o using (file_id) left join m b on b.file_id = o.before and b.column_name = g.column_name left join s on s.file_id = g.file_id and s.column_name = g.column_name)
+        select file_id, column_name, 'count' as issue from x where sn is not null and sn <> n union all select file_id, column_name, 'flag' from x where sh is not null and sh <> (rows > n)
+        union all select file_id, column_name, 'range' from x where oor > 0 union all select file_id, column_name, 'pattern' from x where op > 0
+        union all select file_id, column_name, 'distinct' from x where column_name <> 'c_bool' and n >= 30 and di = 1
+        union all select file_id, column_name, 'nulls' from x where rows >= 40 and rows0 >= 40 and abs((rows - n) / rows - (rows0 - n0) / rows0) > 0.3
+        union all select file_id, column_name, 'shift' from x where n >= 40 and n0 >= 40 and greatest(me, me0) > 3 * least(me, me0)"""
+    return whole, issues
+
+
+SQL["p3_profile"], SQL["p3_found"] = _profile_sql()

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lamella.operators import compaction, drift, instants, profile, shredding
+from lamella.plans import reference
 from lamella.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,7 +72,8 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return instants.instants(table(spark, d, "row_records"), table(spark, d, "stripes"), table(spark, d, "orc_files"))
 
 
-QUERIES: dict[str, Query] = {
+QUERIES: dict[str, Query] = reference.QUERIES | {
     f.__name__: f for f in (p1_found, p1_lifespans, p1_casts, p1_unified, p2_found, p2_leaves, p3_found, p3_profile, p4_found, p4_joined, p5_found)
 }
-FLAGSHIP = "p4_found"
+#: Rows through a file and out as JSON lines.
+FLAGSHIP = "json_lineitem"
