@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from lamella.operators.ordered import split_lag, split_sum
 from lamella.operators.registry import registered_files
+from lamella.session import written
 
 #: Joins the names of a path inside the operator, as a name may itself contain a dot.
 STEP = "\x01"
@@ -89,9 +90,10 @@ def versions(orc_files: DataFrame, file_types: DataFrame) -> DataFrame:
     Files without type rows take no part. Each file_id counts once.
     """
     files = registered_files(orc_files).select("file_id", "feed_id", "written_at")
-    trees = type_trees(file_types).withColumn("print", F.xxhash64(F.to_json("tree")))
+    trees = written(type_trees(file_types).withColumn("print", F.xxhash64(F.to_json("tree"))), "trees")
     day = F.coalesce(F.to_date("written_at"), F.lit("0001-01-01").cast("date"))
-    slim = split_lag(files.join(trees.select("file_id", "print"), "file_id"), ["feed_id"], ["written_at", "file_id"], day, {"print_before": "print"})
+    slim = written(files.join(trees.select("file_id", "print"), "file_id"), "prints")
+    slim = split_lag(slim, ["feed_id"], ["written_at", "file_id"], day, {"print_before": "print"})
     slim = slim.withColumn("changed", (~F.col("print").eqNullSafe(F.col("print_before"))).cast("int"))
     counted = split_sum(slim, ["feed_id"], ["written_at", "file_id"], day, "changed", "earlier")
     fresh = counted.where("changed = 1").select("feed_id", (F.col("earlier") + 1).alias("version"), "file_id", "written_at")
@@ -120,7 +122,7 @@ def edges(nodes: DataFrame) -> DataFrame:
 
 def lifespans(orc_files: DataFrame, file_types: DataFrame) -> DataFrame:
     """The catalogue: feed_id, field_path, kind, first_version, last_version, first_file_id, one row per island of consecutive versions."""
-    it = edges(nodes_of(versions(orc_files, file_types))).where("path <> ''")
+    it = written(edges(nodes_of(versions(orc_files, file_types))).where("path <> ''"), "edges")
     opened = it.where("starts").select("feed_id", "path", "kind", "version", "file_id", F.lit(1).alias("opens"))
     it = it.join(opened.select("feed_id", "path", "kind", "version", "opens"), ["feed_id", "path", "kind", "version"], "left")
     it = split_sum(it, ["feed_id", "path", "kind"], ["version"], F.expr(f"version div {BLOCK}"), "opens", "_islands")
@@ -195,12 +197,11 @@ def schema_changes(orc_files: DataFrame, file_types: DataFrame) -> DataFrame:
     kind, old_kind (empty where there is none). Names are case-sensitive, kinds are not. Where the root's kind changes nothing below is compared.
     Empty tables give no rows; null feeds form one feed; files without type rows are passed over.
     """
-    seen = versions(orc_files, file_types)
+    seen = written(versions(orc_files, file_types), "versions")  # used three times below
     it = edges(nodes_of(seen))
-    event = lambda side: F.struct(F.lit(side).alias("side"), "path", "parent", "name", "ordinal", "kind", "parent_kind").alias("event")
-    starts = it.where("starts and version > 1").select("feed_id", "version", event("start"))
-    ends = it.where("ends").select("feed_id", (F.col("version") + 1).alias("version"), event("end"))
-    log = starts.unionByName(ends)
+    event = lambda side, at: F.struct(F.lit(side).alias("side"), at.alias("version"), "path", "parent", "name", "ordinal", "kind", "parent_kind")
+    both = F.array(F.when(F.expr("starts and version > 1"), event("start", F.col("version"))), F.when(F.col("ends"), event("end", F.col("version") + 1)))
+    log = it.where("starts or ends").select("feed_id", F.explode(F.array_compact(both)).alias("event")).select("feed_id", "event.version", "event")
     # the events of one version are bounded by two footers
     log = log.groupBy("feed_id", "version").agg(F.collect_list("event").alias("events"))
     at = seen.select(F.col("feed_id").alias("_feed"), F.col("version").alias("_version"), "file_id")

@@ -6,6 +6,7 @@ specification of the format.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -140,7 +141,7 @@ FOOTER = (
 
 
 def list_files(spark: SparkSession, path: str) -> DataFrame:
-    """path, length of the files below a path, without reading them."""
+    """path, length of the files below a path, without reading them; Spark passes over files of no bytes."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.orc").load(path).select("path", "length")
 
 
@@ -153,6 +154,7 @@ def footers(spark: SparkSession, path: str, guess: int = 16_384) -> DataFrame:
     def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             rows = []
+            names = [x.split()[0] for x in re.sub(r"<.*?>+(?=, |$)", "", FOOTER).split(", ")]
             for name, size in zip(part["path"], part["length"]):
                 local = name.split(":", 1)[1] if name.startswith("file:") else name
                 try:
@@ -169,8 +171,7 @@ def footers(spark: SparkSession, path: str, guess: int = 16_384) -> DataFrame:
                                 raise
                             want *= 16
                 except Exception as e:
-                    rows.append({"file_path": name, "file_bytes": int(size), "error": str(e)})
-            names = [x.split()[0] for x in FOOTER.replace("<", " ").split(", ")]
+                    rows.append(dict.fromkeys(names) | {"file_path": name, "file_bytes": int(size), "error": str(e)})
             yield pd.DataFrame(rows, columns=names, dtype=object)
 
     return list_files(spark, path).mapInPandas(read, FOOTER)
