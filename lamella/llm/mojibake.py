@@ -67,7 +67,8 @@ def unit_counts(documents: DataFrame) -> DataFrame:
                 if len(seen) > FLUSH:
                     yield pack()
                     seen.clear()
-        yield pack()
+        if seen:
+            yield pack()
 
     return documents.select("text").mapInPandas(count, "unit string, docs bigint").groupBy("unit").agg(F.sum("docs").alias("docs"))
 
@@ -175,7 +176,7 @@ class Model:
             arcs = [(keep, c, 1)]
             for size in (2, 3, 4):
                 pattern = tuple(lattice[i : i + size])
-                if len(pattern) < size or -1 in pattern or pattern[0] is None or all(p is None for p in pattern[1:]):
+                if len(pattern) < size or -1 in pattern or pattern[0] is None or (size > 2 and all(p is None for p in pattern[1:])):
                     continue
                 if None in pattern:
                     arcs += [(self.char_log(x), x, size) for x in self.matching(pattern)]
@@ -275,7 +276,14 @@ class Model:
                 weight = 1.0 if letters >= 3 or mixed else 0.0
             gains[got[2]] += weight * got[1]
         sure = {c for c, g in gains.items() if g >= CHANNEL_GAIN}
-        return {t: x for t, (x, _, c) in seen.items() if c in sure}, bool(sure) or LOST in text
+        out = {t: x for t, (x, _, c) in seen.items() if c in sure}
+        # a token too short to tell its channel follows the channel of the document
+        for token in seen.keys() - out.keys():
+            readings = [token.translate(self.channels.single[c]) for c in sure if c in self.channels.single]
+            better = max(readings, key=self.score, default=token)
+            if self.score(better) - self.score(token) >= TOKEN_GAIN:
+                out[token] = better
+        return out, bool(sure) or LOST in text
 
 
 def source_model(documents: DataFrame) -> Model:
