@@ -123,7 +123,7 @@ def hits(documents: DataFrame, vocabulary: dict[str, int]) -> DataFrame:
 
 
 def blocks_of(part: pd.DataFrame, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(block of each hit, word of each hit, first block of each document, words in each block); a gap of one block stands between documents."""
+    """(place of each hit, its word, first block of each document, words in each block). Places run through all documents, a free block between them."""
     counts = part["n_words"].to_numpy(dtype="int64")
     blocks = -(-counts // block)
     first = np.concatenate([[0], np.cumsum(blocks + 1)])[:-1]
@@ -133,13 +133,13 @@ def blocks_of(part: pd.DataFrame, block: int = BLOCK) -> tuple[np.ndarray, np.nd
         return empty, empty, first, np.zeros(int((blocks + 1).sum()), dtype="int64")
     word = np.concatenate([np.asarray(x, dtype="int64") for x in part["word"]])
     places = np.concatenate([np.cumsum(np.asarray(x, dtype="int64")) for x in part["at"]])
-    where = np.repeat(first, sizes) + places // block
+    place = np.repeat(first * block, sizes) + places
     width = np.zeros(int((blocks + 1).sum()), dtype="int64")
     for f, b, c in zip(first, blocks, counts):
         width[f : f + b] = block
         if c % block:
             width[f + b - 1] = c % block
-    return where, word, first, width
+    return place, word, first, width
 
 
 def slices(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -162,7 +162,8 @@ def gram(found: DataFrame, size: int) -> tuple[np.ndarray, int]:
     def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total, n = np.zeros(size * size, dtype="int64"), 0
         for part in slices(parts):
-            where, word, _, width = blocks_of(part)
+            place, word, _, width = blocks_of(part)
+            where = place // BLOCK
             n += int((width > 0).sum())
             key = distinct(where * size + word)
             b, w = key // size, key % size
@@ -232,11 +233,15 @@ def fit(items: Items, found: DataFrame) -> Items:
     return items
 
 
-def candidates(part: pd.DataFrame, items: Items, near: float) -> list[tuple[int, int, float, int]]:
-    """(row, item, cosine, first word of the best passage) of every document and item with a passage as near as `near`."""
-    where, word, first, width = blocks_of(part)
-    if not len(where):
+def candidates(part: pd.DataFrame, items: Items, near: float, in_runs: bool = False) -> list[tuple[int, int, float, int]]:
+    """(row, item, cosine, first word of the best passage) of every document and item with a passage as near as `near`.
+
+    in_runs: only passages with RUN consecutive words of the vocabulary that together reach the least mass. Every case has one; paraphrases may not.
+    """
+    place, word, first, width = blocks_of(part)
+    if len(place) < RUN:
         return []
+    where = place // BLOCK
     size = len(items.idf)
     n = len(width)
     key = distinct(where * size + word)
@@ -247,7 +252,16 @@ def candidates(part: pd.DataFrame, items: Items, near: float) -> list[tuple[int,
     held = np.r_[np.bincount(where, minlength=n), 0]
     mass, both = weight[:-1] + weight[1:], held[:-1] + held[1:]
     # a run lies in a passage, so no case is among passages with fewer hits or less mass
-    there = np.flatnonzero((both >= RUN) & (mass >= items.least * (1 - 1e-9)))
+    there = (both >= RUN) & (mass >= items.least * (1 - 1e-9))
+    if in_runs:
+        total = np.r_[0.0, np.cumsum(items.idf[word] ** 2)]
+        run = np.flatnonzero((place[RUN - 1 :] - place[: len(place) - RUN + 1] == RUN - 1) & (total[RUN:] - total[: len(total) - RUN] >= items.least * (1 - 1e-6)))
+        holds = np.zeros(n, dtype=bool)
+        begins, ends = where[run], where[run + RUN - 1]
+        holds[begins] = True
+        holds[begins[(begins == ends) & (begins > 0)] - 1] = True
+        there &= holds
+    there = np.flatnonzero(there)
     if not len(there):
         return []
     need = np.zeros(n + 1, dtype=bool)
@@ -302,12 +316,12 @@ def covered(item: np.ndarray, runs: np.ndarray, doc_runs: np.ndarray) -> float:
 MATCHES = "item_id bigint, doc_id bigint, cosine double, subsequence double, telling double, coverage double, verdict string"
 
 
-def _search(items: Items, near: float):
+def _search(items: Items, near: float, in_runs: bool):
     def search(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in slices(parts):
             rows = []
             near_by: dict[int, list] = {}
-            for r, j, c, p in candidates(part, items, near):
+            for r, j, c, p in candidates(part, items, near, in_runs):
                 near_by.setdefault(r, []).append((j, c, p))
             for r, list_ in near_by.items():
                 seq = np.full(int(part["n_words"][r]), -1, dtype="int64")
@@ -332,7 +346,7 @@ def _search(items: Items, near: float):
     return search
 
 
-def matches(documents: DataFrame, eval_items: DataFrame, near: float = NEAR, item_block: int = ITEM_BLOCK) -> DataFrame:
+def matches(documents: DataFrame, eval_items: DataFrame, near: float = NEAR, item_block: int = ITEM_BLOCK, in_runs: bool = False) -> DataFrame:
     """item_id, doc_id, cosine, subsequence (LCS over the item's length), telling (share of its rarest words), coverage, verdict.
 
     verdict: verbatim, partial, paraphrase or merely alike. All documents are read whole. The items, a held-out set that doesn't grow with the corpus, are
@@ -348,7 +362,7 @@ def matches(documents: DataFrame, eval_items: DataFrame, near: float = NEAR, ite
         if not items.ids:
             return spark.createDataFrame([], MATCHES)
         found = written(hits(documents, items.vocabulary), "leak-hits")
-        return found.mapInPandas(_search(fit(items, found), near), MATCHES)
+        return found.mapInPandas(_search(fit(items, found), near, in_runs), MATCHES)
 
     for r in rows.toLocalIterator():
         block.append((r["item_id"], r["text"]))
@@ -361,4 +375,4 @@ def matches(documents: DataFrame, eval_items: DataFrame, near: float = NEAR, ite
 
 def leaked(documents: DataFrame, eval_items: DataFrame, near: float = NEAR) -> DataFrame:
     """item_id, doc_id of the pairs in which at least half of the item's words recur in runs of six or more."""
-    return matches(documents, eval_items, near).where(f"coverage >= {SHARE}").select("item_id", "doc_id")
+    return matches(documents, eval_items, near, in_runs=True).where(f"coverage >= {SHARE}").select("item_id", "doc_id")

@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lamella.session import written
+
 #: Encodings that texts are misread in, and single-byte encodings that they were written in: fixed values.
 MISREAD = ("cp1252", "cp1251", "mac_roman", "cp437", "cp850", "koi8_r", "cp866", "cp1250", "iso8859_5")
 WRITTEN = ("cp1252", "cp1251", "mac_roman", "cp437", "cp850", "koi8_r", "cp866", "iso8859_5")
@@ -38,11 +40,15 @@ CLEAR = 3
 FLUSH = 400_000
 
 
-def units(text: str) -> set[str]:
-    """Words with a letter beyond ASCII, and other characters beyond ASCII, in lower case."""
+def units(text: str, cache: dict[str, set[str]] | None = None) -> set[str]:
+    """Words with a letter beyond ASCII, and other characters beyond ASCII, in lower case. cache: units of tokens seen before."""
     out = set()
+    cache = {} if cache is None else cache
     for token in set(TOKEN.findall(text)):
-        out |= token_units(token)
+        known = cache.get(token)
+        if known is None:
+            known = cache[token] = token_units(token)
+        out |= known
     return out
 
 
@@ -58,12 +64,15 @@ def unit_counts(documents: DataFrame) -> DataFrame:
 
     def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: Counter = Counter()
+        cache: dict[str, set[str]] = {}
         pack = lambda: pd.DataFrame({"unit": list(seen), "docs": list(seen.values())})
         for part in parts:
             for text in part["text"]:
                 seen[""] += 1
                 if text and not text.isascii():
-                    seen.update(units(text))
+                    seen.update(units(text, cache))
+                    if len(cache) > FLUSH:
+                        cache.clear()
                 if len(seen) > FLUSH:
                     yield pack()
                     seen.clear()
@@ -288,7 +297,7 @@ class Model:
 
 def source_model(documents: DataFrame) -> Model:
     """The model of a corpus: its size is bounded by MIN_SHARE, whatever the size of the corpus."""
-    counts = unit_counts(documents)
+    counts = written(unit_counts(documents), "unit-counts")  # read twice: for the number of documents, then for what is frequent enough
     total = counts.where("unit = ''").first()
     n = total["docs"] if total else 0
     least = max(2, math.ceil(MIN_SHARE * n))
