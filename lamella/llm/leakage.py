@@ -1,8 +1,12 @@
 """Evaluation texts that leaked into training text.
 
-Method: latent semantic retrieval. Documents are read once into the numbers of those of their words that occur in any item. Passages are windows of two
-blocks of words. The Gram matrix of the TF-IDF passages is summed up over all documents, and a randomised SVD of it gives the latent space. Every passage
-is projected and compared with every item by cosine; what comes near is checked by longest common subsequence, by the item's telling words, and exactly.
+Documents are read into the numbers of those of their words that occur in any item. Cases are found exactly: every run of RUN words of every document is
+looked up among the runs of all items, and the item's words under the shared runs are counted.
+
+The report adds what is merely near, by latent semantic retrieval. Passages are windows of two blocks of words. The Gram matrix of the TF-IDF passages is
+summed up over all documents, and a randomised SVD of it gives the latent space. Every passage is projected and compared with every item by cosine; what
+comes near is checked by longest common subsequence and by the item's telling words. No case depends on the cosine, which a long item or short separate
+runs push below any useful threshold.
 """
 
 from __future__ import annotations
@@ -10,7 +14,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from itertools import repeat
 
@@ -71,6 +75,12 @@ class Items:
     vocabulary: dict[str, int]
     sequences: list[np.ndarray]
     runs: list[np.ndarray] = field(default_factory=list)
+    lengths: np.ndarray | None = None
+    #: Distinct run hashes in order; where the postings of each begin; the item and the word at which each posting stands.
+    keys: np.ndarray | None = None
+    begins: np.ndarray | None = None
+    holder: np.ndarray | None = None
+    position: np.ndarray | None = None
     idf: np.ndarray | None = None
     basis: np.ndarray | None = None
     latent: np.ndarray | None = None
@@ -99,7 +109,16 @@ def read_items(rows: list[tuple[int, str]]) -> Items:
         if item_id is not None and seq:
             ids.append(item_id)
             sequences.append(np.array(seq, dtype="int32"))
-    return Items(ids, vocabulary, sequences, [run_hashes(s) for s in sequences])
+    out = Items(ids, vocabulary, sequences, [run_hashes(s) for s in sequences])
+    sizes = [len(r) for r in out.runs]
+    every = np.concatenate([np.zeros(0, dtype="uint64"), *out.runs])
+    order = np.argsort(every, kind="stable")
+    out.keys, begins = np.unique(every[order], return_index=True)
+    out.begins = np.r_[begins, len(every)].astype("int64")
+    out.holder = np.repeat(np.arange(len(sizes)), sizes)[order]
+    out.position = np.concatenate([np.zeros(0, dtype="int64"), *[np.arange(n) for n in sizes]])[order]
+    out.lengths = np.array([len(x) for x in sequences], dtype="int64")
+    return out
 
 
 def hits(documents: DataFrame, vocabulary: dict[str, int]) -> DataFrame:
@@ -233,11 +252,8 @@ def fit(items: Items, found: DataFrame) -> Items:
     return items
 
 
-def candidates(part: pd.DataFrame, items: Items, near: float, in_runs: bool = False) -> list[tuple[int, int, float, int]]:
-    """(row, item, cosine, first word of the best passage) of every document and item with a passage as near as `near`.
-
-    in_runs: only passages with RUN consecutive words of the vocabulary that together reach the least mass. Every case has one; paraphrases may not.
-    """
+def candidates(part: pd.DataFrame, items: Items, near: float) -> list[tuple[int, int, float, int]]:
+    """(row, item, cosine, first word of the best passage) of every document and item with a passage as near as `near`."""
     place, word, first, width = blocks_of(part)
     if len(place) < RUN:
         return []
@@ -253,14 +269,6 @@ def candidates(part: pd.DataFrame, items: Items, near: float, in_runs: bool = Fa
     mass, both = weight[:-1] + weight[1:], held[:-1] + held[1:]
     # a run lies in a passage, so no case is among passages with fewer hits or less mass
     there = (both >= RUN) & (mass >= items.least * (1 - 1e-9))
-    if in_runs:
-        total = np.r_[0.0, np.cumsum(items.idf[word] ** 2)]
-        run = np.flatnonzero((place[RUN - 1 :] - place[: len(place) - RUN + 1] == RUN - 1) & (total[RUN:] - total[: len(total) - RUN] >= items.least * (1 - 1e-6)))
-        holds = np.zeros(n, dtype=bool)
-        begins, ends = where[run], where[run + RUN - 1]
-        holds[begins] = True
-        holds[begins[(begins == ends) & (begins > 0)] - 1] = True
-        there &= holds
     there = np.flatnonzero(there)
     if not len(there):
         return []
@@ -304,75 +312,116 @@ def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
     return len(a) - v.bit_count()
 
 
-def covered(item: np.ndarray, runs: np.ndarray, doc_runs: np.ndarray) -> float:
-    """The share of the item's words that stand in the document in runs of RUN or more."""
-    hit = np.flatnonzero(np.isin(runs, doc_runs))
-    mark = np.zeros(len(item) + 1, dtype="int64")
-    np.add.at(mark, hit, 1)
-    np.add.at(mark, hit + RUN, -1)
-    return float((np.cumsum(mark)[:-1] > 0).sum()) / len(item)
+def coverage(part: pd.DataFrame, items: Items) -> pd.DataFrame:
+    """row, item, coverage, at of every document and item that share a run: the share of the item's words under shared runs, and where the first one begins."""
+    place, word, first, _ = blocks_of(part)
+    none = pd.DataFrame({"row": [], "item": [], "coverage": [], "at": []}).astype({"row": "int64", "item": "int64", "at": "int64"})
+    if len(place) < RUN or not len(items.keys):
+        return none
+    run = np.flatnonzero(place[RUN - 1 :] - place[: len(place) - RUN + 1] == RUN - 1)
+    hashes = run_hashes(word)[run]
+    slot = np.minimum(np.searchsorted(items.keys, hashes), len(items.keys) - 1)
+    hit = items.keys[slot] == hashes
+    run, slot = place[run[hit]], slot[hit]
+    if not len(run):
+        return none
+    row = np.searchsorted(first, run // BLOCK, side="right") - 1
+    _, one = np.unique(row * len(items.keys) + slot, return_index=True)  # the first place of each run in each document
+    row, slot, at = row[one], slot[one], (run - first[row] * BLOCK)[one]
+    many = items.begins[slot + 1] - items.begins[slot]
+    each = np.repeat(items.begins[slot] - np.r_[0, np.cumsum(many)[:-1]], many) + np.arange(many.sum())
+    row, at, item, position = np.repeat(row, many), np.repeat(at, many), items.holder[each], items.position[each]
+    order = np.lexsort((position, item, row))
+    row, at, item, position = row[order], at[order], item[order], position[order]
+    new = np.r_[True, (row[1:] != row[:-1]) | (item[1:] != item[:-1])]
+    adds = np.minimum(np.r_[position[1:] - position[:-1], RUN], RUN)
+    adds[np.r_[new[1:], True]] = RUN
+    begin = np.flatnonzero(new)
+    words_under = np.add.reduceat(adds, begin)
+    return pd.DataFrame({"row": row[begin], "item": item[begin], "coverage": words_under / items.lengths[item[begin]], "at": np.minimum.reduceat(at, begin)})
 
 
 MATCHES = "item_id bigint, doc_id bigint, cosine double, subsequence double, telling double, coverage double, verdict string"
 
 
-def _search(items: Items, near: float, in_runs: bool):
+def _cases(items: Items):
+    def find(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids = np.array(items.ids, dtype="int64")
+        for part in slices(parts):
+            seen = coverage(part, items)
+            seen = seen[seen["coverage"] >= SHARE]
+            yield pd.DataFrame({"item_id": ids[seen["item"]], "doc_id": part["doc_id"].to_numpy()[seen["row"]]})
+
+    return find
+
+
+def _search(items: Items, near: float):
     def search(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in slices(parts):
             rows = []
+            shares, begins = {}, {}
+            for r, j, share, at in coverage(part, items).itertuples(index=False):
+                shares[r, j], begins[r, j] = share, at
             near_by: dict[int, list] = {}
-            for r, j, c, p in candidates(part, items, near, in_runs):
-                near_by.setdefault(r, []).append((j, c, p))
+            close = {(r, j): (c, p) for r, j, c, p in candidates(part, items, near)}
+            for r, j in close.keys() | {k for k, share in shares.items() if share >= SHARE}:
+                near_by.setdefault(r, []).append((j, *close.get((r, j), (None, begins.get((r, j), 0)))))
             for r, list_ in near_by.items():
                 seq = np.full(int(part["n_words"][r]), -1, dtype="int64")
                 seq[np.cumsum(np.asarray(part["at"][r], dtype="int64"))] = part["word"][r]
-                runs = np.unique(run_hashes(seq))
                 for j, c, p in list_:
                     item = items.sequences[j]
                     around = seq[max(0, p - 2 * len(item)) : p + 2 * BLOCK + 2 * len(item)]
                     around = around[around >= 0]
                     length = common_subsequence(item, around)
-                    if length < RUN:
+                    share = shares.get((r, j), 0.0)
+                    if length < RUN and share < SHARE:
                         continue
-                    share = covered(item, items.runs[j], runs)
                     top = np.unique(item)
                     top = top[np.argsort(-items.idf[top])][: max(3, len(top) // 4)]
                     telling = float(np.isin(top, around).mean())
                     subsequence = length / len(item)
                     verdict = "verbatim" if share >= 0.9 else "partial" if share >= SHARE else "paraphrase" if subsequence >= 0.5 and telling >= 0.6 else "alike"
                     rows.append((items.ids[j], int(part["doc_id"][r]), c, subsequence, telling, share, verdict))
-            yield pd.DataFrame(rows, columns=["item_id", "doc_id", "cosine", "subsequence", "telling", "coverage", "verdict"])
+            yield pd.DataFrame(rows, columns=["item_id", "doc_id", "cosine", "subsequence", "telling", "coverage", "verdict"]).astype({"cosine": "float64"})
 
     return search
 
 
-def matches(documents: DataFrame, eval_items: DataFrame, near: float = NEAR, item_block: int = ITEM_BLOCK, in_runs: bool = False) -> DataFrame:
-    """item_id, doc_id, cosine, subsequence (LCS over the item's length), telling (share of its rarest words), coverage, verdict.
-
-    verdict: verbatim, partial, paraphrase or merely alike. All documents are read whole. The items, a held-out set that doesn't grow with the corpus, are
-    taken in blocks, each against all documents. Null and empty texts match nothing; repeated item_ids count as one, with the greatest text.
-    """
-    spark = documents.sparkSession
+def _by_blocks(documents: DataFrame, eval_items: DataFrame, item_block: int, searched: Callable[[Items], DataFrame], schema: str) -> DataFrame:
+    """What `searched` finds for the items, taken in blocks, each against all documents."""
     rows = eval_items.where("item_id is not null and text is not null").groupBy("item_id").agg(F.max("text").alias("text")).orderBy("item_id")
     out = None
     block: list[tuple[int, str]] = []
 
-    def searched(block: list[tuple[int, str]]) -> DataFrame:
+    def add(block: list[tuple[int, str]]) -> DataFrame:
         items = read_items(block)
-        if not items.ids:
-            return spark.createDataFrame([], MATCHES)
-        found = written(hits(documents, items.vocabulary), "leak-hits")
-        return found.mapInPandas(_search(fit(items, found), near, in_runs), MATCHES)
+        new = searched(items) if items.ids else documents.sparkSession.createDataFrame([], schema)
+        return new if out is None else out.unionByName(new)
 
     for r in rows.toLocalIterator():
         block.append((r["item_id"], r["text"]))
         if len(block) == item_block:
-            out, block = (searched(block) if out is None else out.unionByName(searched(block))), []
-    if block or out is None:
-        out = searched(block) if out is None else out.unionByName(searched(block))
-    return out
+            out, block = add(block), []
+    return add(block) if block or out is None else out
+
+
+def matches(documents: DataFrame, eval_items: DataFrame, near: float = NEAR, item_block: int = ITEM_BLOCK) -> DataFrame:
+    """item_id, doc_id, cosine, subsequence (LCS over the item's length), telling (share of its rarest words), coverage, verdict.
+
+    verdict: verbatim, partial, paraphrase or merely alike. Verbatim and partial are complete whatever the cosine, which is null where no passage came as
+    near as `near`; the others are those that came near. All documents are read whole. The items, a held-out set that doesn't grow with the corpus, are
+    taken in blocks, each against all documents. Null and empty texts match nothing; repeated item_ids count as one, with the greatest text.
+    """
+
+    def searched(items: Items) -> DataFrame:
+        found = written(hits(documents, items.vocabulary), "leak-hits")
+        return found.mapInPandas(_search(fit(items, found), near), MATCHES)
+
+    return _by_blocks(documents, eval_items, item_block, searched, MATCHES)
 
 
-def leaked(documents: DataFrame, eval_items: DataFrame, near: float = NEAR) -> DataFrame:
-    """item_id, doc_id of the pairs in which at least half of the item's words recur in runs of six or more."""
-    return matches(documents, eval_items, near, in_runs=True).where(f"coverage >= {SHARE}").select("item_id", "doc_id")
+def leaked(documents: DataFrame, eval_items: DataFrame, item_block: int = ITEM_BLOCK) -> DataFrame:
+    """item_id, doc_id of the pairs in which at least half of the item's words recur in runs of six or more; exact, in one pass over the documents."""
+    schema = "item_id bigint, doc_id bigint"
+    return _by_blocks(documents, eval_items, item_block, lambda items: hits(documents, items.vocabulary).mapInPandas(_cases(items), schema), schema)

@@ -73,6 +73,21 @@ def test_planted(spark, data, items):
     assert not {d for i, d in got if d in (5, 6, 7)}
 
 
+def test_long_items_and_separate_runs(spark):
+    """Pairs whose passages lie far from the item as a whole: a long item, and half of one in short runs among other words."""
+    rng = np.random.default_rng(5)
+    item = {i: [f"w{k}" for k in rng.integers(0, 4_000, n)] for i, n in ((1, 400), (2, 60), (3, 150), (4, 60))}
+    other = lambda n: [f"w{k}" for k in rng.integers(0, 4_000, n)]
+    split = lambda w, run, share: [x for i in range(0, len(w), round(run / share)) for x in w[i : i + run] + other(25)]
+    docs = [(10 + k, " ".join(other(800))) for k in range(40)]
+    docs += [(1, " ".join(other(300) + item[1] + other(300))), (2, " ".join(other(50) + split(item[2], 6, 0.5))), (3, " ".join(split(item[3], 8, 0.5))), (4, " ".join(split(item[4], 5, 0.8)))]
+    texts = [(i, " ".join(w)) for i, w in item.items()]
+    assert found(spark, docs, texts) == sorted(brute(docs, texts)) == [(1, 1), (2, 2), (3, 3)]
+    d, i = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(texts, "item_id bigint, text string")
+    report = {(r["item_id"], r["doc_id"]): r["verdict"] for r in leakage.matches(d, i).collect()}
+    assert report[1, 1] == "verbatim" and report[2, 2] == report[3, 3] == "partial"
+
+
 def test_edges(spark, items):
     assert found(spark, [(1, "a b c")], [(1, None), (2, "")]) == []
     assert found(spark, [], items[:3]) == [] and found(spark, [(1, "a")], []) == []
