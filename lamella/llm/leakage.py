@@ -26,7 +26,14 @@ from pyspark.sql import functions as F
 from lamella.session import written
 
 WORD = re.compile(r"[^\W_]+")
-TAG = re.compile(r"</?[A-Za-z!][^<>]*>")
+#: Names whose tags may have attributes without a value; single letters are not among them, as they stand in formulas.
+NAMES = "br|hr|img|div|span|table|tbody|thead|tfoot|tr|td|th|ol|ul|li|dl|dt|dd|input|option|select|script|style|link|meta|body|head|html|font|sub|sup|pre|code|col"
+#: A tag is a name, then attributes with values, or anything within the line after one of NAMES. Any other "<" is punctuation, as in a<b and c>d.
+TAG = re.compile(
+    r"</?[A-Za-z][\w:.-]*(?:\s+[A-Za-z_:][\w:.-]*\s*=\s*(?:\"[^\"<]{0,1000}\"|'[^'<]{0,1000}'|[^\s\"'<>=]+(?=[\s>])))*\s*/?>"
+    rf"|(?i:</?(?:{NAMES}))\s[^<>\r\n]{{0,300}}>"
+    r"|<!--(?:(?!-->|<!--)[\s\S]){0,2000}-->|<![A-Za-z\[][^<>\r\n]{0,300}>"
+)
 BROKEN = re.compile(r"([^\W_]+)[-‐­][ \t]*\r?\n\s*([^\W_]+)")
 LINE_END = re.compile(r"[-‐\u00ad][ \t]*\r?\n")
 INVISIBLE = re.compile("[\u00ad\u200b-\u200d\u2060\ufeff]")

@@ -102,6 +102,12 @@ def test_words():
     assert leakage.words("half-\nempty com-\npressor", {"half", "empty", "com", "compressor"}) == ["half", "empty", "compressor"]
 
 
+def test_less_than_is_no_markup():
+    assert leakage.words("if a<b then all of\nthis stays c>d") == "if a b then all of this stays c d".split()
+    assert leakage.words("if a&lt;b and this stays c&gt;d, x <y, z> 0") == "if a b and this stays c d x y z 0".split()
+    assert leakage.words('<p class="x > y">in <img id=\'m0\'/> <td nowrap>and</td><br/></p> <o:p>on<a href=x.html> <!-- not\nthis --> <!DOCTYPE html>') == ["in", "and", "on"]
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(0, 5), max_size=25), st.lists(st.integers(-1, 5), max_size=40))
 def test_common_subsequence(a, b):
