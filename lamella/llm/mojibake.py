@@ -9,11 +9,12 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lamella.session import written
@@ -220,16 +221,10 @@ class Model:
             return self.known[token]
         if len(self.known) > 300_000:
             self.known.clear()
-        found = self._evaluate(token) if self._open(token) else None
-        self.known[token] = found
+        # frequent tokens too: damage by a single-byte channel gives the same garbled word in every document
+        self.known[token] = found = self._evaluate(token)
         return found
 
-    def _open(self, token: str) -> bool:
-        """Whether anything speaks against a token: a unit outside the model, a sequence that could be UTF-8, a lost character."""
-        if LOST in token or self.channels.suspicious.search(token):
-            return True
-        return any(self.counts.get(u, 0) < 3 or self.counts.get(u, 0) < 1e-3 * self.n for u in token_units(token))
-
     def _evaluate(self, token: str) -> tuple[str, float, tuple] | None:
         now = self.score(token)
         top: tuple[str, float, tuple] | None = None
@@ -250,14 +245,16 @@ class Model:
                     if self.channels.suspicious.search(text):
                         for inner in self.viterbi(text, w):
                             offer(inner, (w, "utf-8"), 0.5)
+        tried = {token}
         for (w, r), table in self.channels.single.items():
             text = token.translate(table)
-            if text != token:
+            if text not in tried:
+                tried.add(text)
                 offer(text, (w, r), 0.5)
         if LOST in token and (filled := self.fill(token)):
             offer(filled, ("utf-8", "lost"), 0.0)
         if top is not None and top[2][1] == "utf-8":
-            again = self._evaluate(top[0]) if self._open(top[0]) else None
+            again = self._evaluate(top[0]) if not top[0].isascii() else None
             if again is not None and again[2][1] == "utf-8":
                 top = (again[0], top[1] + again[1], top[2])
         return top
@@ -268,7 +265,8 @@ class Model:
             return {}, False
         gains: dict[tuple, float] = defaultdict(float)
         seen: dict[str, tuple[str, float, tuple]] = {}
-        for token in set(TOKEN.findall(text)):
+        tokens = set(TOKEN.findall(text))
+        for token in tokens:
             got = self.evaluate(token)
             if got is None:
                 continue
@@ -286,23 +284,75 @@ class Model:
             gains[got[2]] += weight * got[1]
         sure = {c for c, g in gains.items() if g >= CHANNEL_GAIN}
         out = {t: x for t, (x, _, c) in seen.items() if c in sure}
-        # a token too short to tell its channel follows the channel of the document
-        for token in seen.keys() - out.keys():
+        # every other token follows the document's channels, be it too short or too frequent to tell its own
+        for token in tokens - out.keys() if sure else ():
             readings = [token.translate(self.channels.single[c]) for c in sure if c in self.channels.single]
+            if self.channels.suspicious.search(token):
+                readings += [x for c in sure if c[1] == "utf-8" for x in self.viterbi(token, c[0])]
             better = max(readings, key=self.score, default=token)
             if self.score(better) - self.score(token) >= TOKEN_GAIN:
                 out[token] = better
         return out, bool(sure) or LOST in text
 
 
+#: The model that a Python worker used last, by its key: tasks of one worker share what was evaluated.
+_latest: dict[str, Model] = {}
+
+
+def shared_model(spark: SparkSession, model: Model) -> Callable[[], Model]:
+    """What gives the model on an executor. Its counts, bounded by MIN_SHARE, are broadcast."""
+    shared, key = spark.sparkContext.broadcast((model.n, model.counts)), uuid.uuid4().hex
+
+    def get() -> Model:
+        if key not in _latest:
+            _latest.clear()
+            _latest[key] = Model(*shared.value)
+        return _latest[key]
+
+    return get
+
+
+def replaced(text: str, tokens: dict[str, str]) -> str:
+    return TOKEN.sub(lambda m: tokens.get(m[0], m[0]), text)
+
+
+def corrections(documents: DataFrame, model: Model) -> DataFrame:
+    """unit, docs: by how much the counts change if the tokens that a channel explains are counted as what stands behind them."""
+    get = shared_model(documents.sparkSession, model)
+
+    def correct(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = get()
+        change: Counter = Counter()
+        for part in parts:
+            for text in part["text"]:
+                tokens, _ = own.examine(text)
+                if tokens:
+                    before, after = units(text), units(replaced(text, tokens))
+                    change.update(after - before)
+                    change.subtract(before - after)
+                if len(change) > FLUSH:
+                    yield pd.DataFrame({"unit": list(change), "docs": list(change.values())})
+                    change.clear()
+        yield pd.DataFrame({"unit": list(change), "docs": list(change.values())}).astype({"unit": "object", "docs": "int64"})
+
+    return documents.select("text").mapInPandas(correct, "unit string, docs bigint")
+
+
 def source_model(documents: DataFrame) -> Model:
-    """The model of a corpus: its size is bounded by MIN_SHARE, whatever the size of the corpus."""
-    counts = written(unit_counts(documents), "unit-counts")  # read twice: for the number of documents, then for what is frequent enough
+    """The model of a corpus: its size is bounded by MIN_SHARE, whatever the size of the corpus.
+
+    Counted twice: as the texts stand, then with what the first model finds damaged as restored, so that frequent damage doesn't pass for the source.
+    """
+    counts = written(unit_counts(documents), "unit-counts")  # read for the number of documents, for what is frequent enough, and to be corrected
     total = counts.where("unit = ''").first()
     n = total["docs"] if total else 0
     least = max(2, math.ceil(MIN_SHARE * n))
-    rows = counts.where(f"unit <> '' and docs >= {least}").toPandas()
-    return Model(n, dict(zip(rows["unit"], rows["docs"].astype(int))))
+
+    def model(of: DataFrame) -> Model:
+        rows = of.where(f"unit <> '' and docs >= {least}").toPandas()
+        return Model(n, dict(zip(rows["unit"], rows["docs"].astype(int))))
+
+    return model(counts.unionByName(corrections(documents, model(counts))).groupBy("unit").agg(F.sum("docs").alias("docs")))
 
 
 FOUND = "doc_id bigint, tokens int, restored string, complete boolean"
@@ -311,16 +361,14 @@ FOUND = "doc_id bigint, tokens int, restored string, complete boolean"
 def damaged(documents: DataFrame, keep_text: bool = True) -> DataFrame:
     """doc_id, tokens (distinct damaged ones), restored (the text with them replaced), complete (no lost character is left) of the damaged documents.
 
-    Null and empty texts are never damaged. A replacement character is damage, recoverable or not. Documents are read whole; two passes, and no shuffle
+    Null and empty texts are never damaged. A replacement character is damage, recoverable or not. Documents are read whole; three passes, and no shuffle
     of texts. Rows without doc_id are left out; repeated rows are each judged.
     """
     rows = documents.where("doc_id is not null").select("doc_id", "text")
-    model = source_model(rows)
-    docs, counts = model.n, model.counts
-    shared = documents.sparkSession.sparkContext.broadcast((docs, counts))  # bounded by MIN_SHARE
+    get = shared_model(documents.sparkSession, source_model(rows))
 
     def judge(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = Model(*shared.value)
+        own = get()
         for part in parts:
             out = []
             for doc_id, text in zip(part["doc_id"], part["text"]):
@@ -328,7 +376,7 @@ def damaged(documents: DataFrame, keep_text: bool = True) -> DataFrame:
                     continue
                 tokens, hit = own.examine(text)
                 if hit:
-                    better = TOKEN.sub(lambda m: tokens.get(m[0], m[0]), text) if keep_text and tokens else text if keep_text else None
+                    better = replaced(text, tokens) if keep_text and tokens else text if keep_text else None
                     out.append((doc_id, len(tokens), better, LOST not in (better or "")))
             yield pd.DataFrame(out, columns=["doc_id", "tokens", "restored", "complete"])
 

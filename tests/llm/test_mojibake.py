@@ -57,6 +57,16 @@ def test_planted_damage(spark, corpus):
         assert sum(a == b for a, b in zip(got[k]["restored"].split(), words)) >= 0.7 * len(words)
 
 
+def test_frequent_damage(spark, corpus):
+    """One channel gives the same garbled words in many documents; they are restored like rare ones."""
+    bad = {"de": misread(CLEAN["de"], "cp1252", "cp1251"), "fr": misread(CLEAN["fr"], "cp1252", "mac_roman"), "ru": misread(CLEAN["ru"], "cp1251", "koi8_r")}
+    for lang, many in (("de", 12), ("fr", 12), ("ru", 12), ("de", 60)):
+        got = damaged(spark, corpus + [(k, bad[lang]) for k in range(many)])
+        assert sorted(got) == list(range(many)), lang
+        right = sum(a == b for a, b in zip(got[0]["restored"].split(), CLEAN[lang].split()))
+        assert right >= (1.0 if lang == "de" else 0.7) * len(CLEAN[lang].split()), (lang, got[0]["restored"])
+
+
 def test_lost_characters(spark, corpus):
     text = CLEAN["de"].encode("cp1252", "ignore").decode("utf-8", "replace")
     got = damaged(spark, [*corpus, (1, text), (2, "plain � text"), (3, None), (4, ""), (None, "x�")])
