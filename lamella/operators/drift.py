@@ -8,6 +8,9 @@ lies below an alias is compared under the new name.
 
 from __future__ import annotations
 
+import json
+import math
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -84,19 +87,28 @@ def _explode(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["feed_id", "version", "file_id", "path", "parent", "name", "ordinal", "kind", "parent_kind"])
 
 
-def versions(orc_files: DataFrame, file_types: DataFrame) -> DataFrame:
-    """The files at which a feed's tree changes (its first file among them), numbered from 1 in each feed by written_at, then file_id.
-
-    Files without type rows take no part. Each file_id counts once.
-    """
+def _numbered(orc_files: DataFrame, trees: DataFrame) -> DataFrame:
+    """file_id, feed_id, written_at, changed, version of every file with type rows."""
     files = registered_files(orc_files).select("file_id", "feed_id", "written_at")
-    trees = written(type_trees(file_types).withColumn("print", F.xxhash64(F.to_json("tree"))), "trees")
     day = F.coalesce(F.to_date("written_at"), F.lit("0001-01-01").cast("date"))
     slim = written(files.join(trees.select("file_id", "print"), "file_id"), "prints")
     slim = split_lag(slim, ["feed_id"], ["written_at", "file_id"], day, {"print_before": "print"})
     slim = slim.withColumn("changed", (~F.col("print").eqNullSafe(F.col("print_before"))).cast("int"))
     counted = split_sum(slim, ["feed_id"], ["written_at", "file_id"], day, "changed", "earlier")
-    fresh = counted.where("changed = 1").select("feed_id", (F.col("earlier") + 1).alias("version"), "file_id", "written_at")
+    return counted.select("file_id", "feed_id", "written_at", "changed", (F.col("earlier") + F.col("changed")).alias("version"))
+
+
+def _trees(file_types: DataFrame) -> DataFrame:
+    return written(type_trees(file_types).withColumn("print", F.xxhash64(F.to_json("tree"))), "trees")
+
+
+def versions(orc_files: DataFrame, file_types: DataFrame) -> DataFrame:
+    """The files at which a feed's tree changes (its first file among them), numbered from 1 in each feed by written_at, then file_id.
+
+    Files without type rows take no part. Each file_id counts once.
+    """
+    trees = _trees(file_types)
+    fresh = _numbered(orc_files, trees).where("changed = 1").select("feed_id", "version", "file_id", "written_at")
     return fresh.join(trees.select("file_id", "tree"), "file_id").select("feed_id", "version", "file_id", "written_at", "tree")
 
 
@@ -232,53 +244,238 @@ def common_kind(kinds: list[str]) -> str:
     return at
 
 
-ALIASES = "feed_id bigint, canonical string, field_path string, kinds array<string>, target_kind string, cast_sql string"
-
-
-def _alias_rows(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for part in parts:
-        rows = []
-        for feed, spans, renames in zip(part["feed_id"], part["spans"], part["renames"]):
-            now: dict[str, str] = {}
-            for r in sorted(renames if renames is not None else [], key=lambda r: r["version"]):
-                now[r["field_path"]] = now.get(r["old_path"], r["old_path"])
-            kinds: dict[str, set] = {}
-            names: dict[str, set] = {}
-            for s in spans:
-                root = now.get(s["field_path"], s["field_path"])
-                kinds.setdefault(root, set()).add(s["kind"])
-                names.setdefault(root, set()).add(s["field_path"])
-            for root, ks in kinds.items():
-                target = common_kind(sorted(ks))
-                for name in sorted(names[root]):
-                    quoted = "`" + name.replace("`", "``") + "`"
-                    cast = f"CAST({quoted} AS {CAST[target]})" if target in CAST else quoted
-                    rows.append((feed, root, name, sorted(ks), target, f"{cast} AS `{root.replace('`', '``')}`"))
-        yield pd.DataFrame(rows, columns=["feed_id", "canonical", "field_path", "kinds", "target_kind", "cast_sql"])
+ALIASES = "feed_id bigint, canonical string, field_path string, kinds array<string>, target_kind string, cast_sql string, first_version bigint, last_version bigint, kind string, path string, canonical_path string"
 
 
-def cast_plan(orc_files: DataFrame, file_types: DataFrame) -> DataFrame:
-    """For each feed and top-level field: its canonical name (the first in its chain of renames), the kinds seen, one kind that holds them, and the cast.
+def lineages(trees: list[tuple[int, list]]) -> list[tuple[str, str, str, int, int]]:
+    """(canonical path, path, kind, first version, last version) from the trees of one feed in order.
 
-    The spans of one feed are bounded by its distinct (field, kind) pairs, not by its files.
+    A field keeps its canonical name, the first it had below its parent, through renames and retypes; one that was removed and comes back under its last
+    name is the same field. Another field whose name is taken gets its first version as a suffix.
     """
-    spans = nodes_of(versions(orc_files, file_types)).where("parent = '' and path <> ''").select("feed_id", F.col("name").alias("field_path"), "kind").distinct()
-    spans = spans.groupBy("feed_id").agg(F.collect_list(F.struct("field_path", "kind")).alias("spans"))
-    renames = schema_changes(orc_files, file_types).where("change_kind = 'renamed' and instr(field_path, '.') = 0")
-    renames = renames.groupBy(F.col("feed_id").alias("_feed"), "field_path", "old_path").agg(F.min("version").alias("version"))
-    renames = renames.groupBy("_feed").agg(F.collect_list(F.struct("version", "field_path", "old_path")).alias("renames"))
-    both = spans.join(renames, spans["feed_id"].eqNullSafe(renames["_feed"]), "left")
-    return both.select("feed_id", "spans", "renames").mapInPandas(_alias_rows, ALIASES)
+    canonical: dict[int, str] = {}
+    taken: set[str] = set()
+    gone: dict[tuple[int, str], int] = {}
+    now: dict[str, int] = {}
+    spans: dict[tuple[str, int, str], list[list[int]]] = {}
+    before: dict[str, tuple] = {}
+    for version, tree in trees:
+        nodes = {x[0]: x for x in paths_of(tree)}
+        below: dict[str, list[str]] = {}
+        for x in nodes.values():
+            if x[0]:
+                below.setdefault(x[1], []).append(x[0])
+        old_below: dict[str, list[str]] = {}
+        for x in before.values():
+            if x[0]:
+                old_below.setdefault(x[1], []).append(x[0])
+        new: dict[str, int] = {"": 0}
+        todo = [("", "" if "" in before and "" in nodes and before[""][4] == nodes[""][4] else None)] if "" in nodes else []
+        kept: set[int] = set()
+        fresh: list[str] = []
+        while todo:
+            path, old = todo.pop()
+            a = {before[p][2]: before[p] for p in old_below.get(old, [])} if old is not None else {}
+            b = {nodes[p][2]: nodes[p] for p in below.get(path, [])}
+            pairs = [(b[n], a[n]) for n in b if n in a]
+            lost = {(x[3], x[4]): x for n, x in a.items() if n not in b and x[5] == "STRUCT"}
+            for n in b.keys() - a.keys():
+                y = b[n]
+                x = lost.pop((y[3], y[4]), None) if y[5] == "STRUCT" else None
+                pairs.append((y, x))
+            for y, x in pairs:
+                if x is None:
+                    fresh.append(y[0])
+                else:
+                    new[y[0]] = now[x[0]]
+                    kept.add(now[x[0]])
+                todo.append((y[0], x[0] if x is not None and x[4] == y[4] else None))
+        for p, x in before.items():
+            if p and now[p] not in kept and x[1] in now:
+                gone[now[x[1]], x[2]] = now[p]
+        for p in sorted(fresh, key=lambda p: (p.count(STEP), nodes[p][3], p)):  # parents first
+            parent, name = new[nodes[p][1]], nodes[p][2]
+            back = gone.pop((parent, name), None)
+            if back is None:
+                back = len(canonical) + 1
+                called = canonical.get(parent, "") + STEP + name
+                while called in taken:
+                    called += f"@{version}"
+                taken.add(called)
+                canonical[back] = called
+            new[p] = back
+        for p, x in nodes.items():
+            if p:
+                seen = spans.setdefault((p, new[p], x[4]), [])
+                if seen and seen[-1][1] == version - 1:
+                    seen[-1][1] = version
+                else:
+                    seen.append([version, version])
+        now, before = new, nodes
+    return [(canonical[i], p, k, a, b) for (p, i, k), all_ in spans.items() for a, b in all_]
+
+
+def _alias_rows(part: pd.DataFrame) -> pd.DataFrame:
+    part = part.sort_values("version")
+    spans = lineages(list(zip(part["version"], part["tree"])))
+    kinds: dict[str, set] = {}
+    for root, _, kind, _, _ in spans:
+        kinds.setdefault(root, set()).add(kind)
+    feed = None if part["feed_id"].isna().iloc[0] else int(part["feed_id"].iloc[0])
+    dotted = lambda p: p[1:].replace(STEP, ".")
+    quoted = lambda p: ".".join("`" + x.replace("`", "``") + "`" for x in p[1:].split(STEP))
+    rows = []
+    for root, path, kind, first, last in spans:
+        target = common_kind(sorted(kinds[root]))
+        cast = f"CAST({quoted(path)} AS {CAST[target]})" if target in CAST else quoted(path)
+        alias = "`" + root.split(STEP)[-1].replace("`", "``") + "`"
+        rows.append((feed, dotted(root), dotted(path), sorted(kinds[root]), target, f"{cast} AS {alias}", first, last, kind, path, root))
+    out = pd.DataFrame(rows, columns=["feed_id", "canonical", "field_path", "kinds", "target_kind", "cast_sql", "first_version", "last_version", "kind", "path", "canonical_path"])
+    return out.astype({"feed_id": "Int64"})
 
 
-def unified_fields(orc_files: DataFrame, file_types: DataFrame, nested_rows: DataFrame) -> DataFrame:
-    """All rows of the nested files in one consistent table: row_id, feed_id, field (canonical name), target_kind, value (text; null where absent).
+def _plan(seen: DataFrame) -> DataFrame:
+    """The footers of one feed's versions come together in one task."""
+    tree = seen.select("feed_id", "version", "tree")
+    return tree.groupBy("feed_id").applyInPandas(_alias_rows, ALIASES)
 
-    Each row_id once (the first delivery); payloads that are not complete JSON objects give no rows; members that the footer doesn't name are left out.
+
+def cast_plan(orc_files: DataFrame, file_types: DataFrame) -> DataFrame:
+    """For each feed, field at any depth and interval of versions: its canonical name (the first of its lineage), the kinds seen, one kind that holds
+    them, and the cast. Below a LIST, MAP or UNION the cast names the part of the element, as in item, key, value or v0."""
+    return _plan(versions(orc_files, file_types)).drop("kind", "path", "canonical_path")
+
+
+class Number(str):
+    """A number as it is written."""
+
+
+def json_text(v) -> str:
+    if isinstance(v, dict):
+        return "{" + ", ".join(f"{json.dumps(k, ensure_ascii=False)}: {json_text(x)}" for k, x in v.items()) + "}"
+    if isinstance(v, list):
+        return "[" + ", ".join(map(json_text, v)) + "]"
+    return str(v) if isinstance(v, Number) else json.dumps(v, ensure_ascii=False)
+
+
+def cast_leaf(v, target: str):
+    """(value as the target kind asks, whether it fits); one that doesn't fit stays as it is."""
+    number = isinstance(v, (int, Number)) and not isinstance(v, bool)
+    if v is None or target == "VARIANT":
+        return v, True
+    if target in ("STRING", "VARCHAR", "CHAR"):
+        return v if isinstance(v, str) and not number else json_text(v), True
+    if target == "BOOLEAN":
+        return v, isinstance(v, bool)
+    if target in ("BYTE", "SHORT", "INT", "LONG", "DECIMAL", "FLOAT", "DOUBLE"):
+        if isinstance(v, bool):
+            return int(v), True
+        if target in ("FLOAT", "DOUBLE") and number:
+            return Number(repr(float(v))) if math.isfinite(float(v)) else v, True
+        return v, number and (target == "DECIMAL" or not isinstance(v, Number))
+    if target == "TIMESTAMP" and isinstance(v, str) and re.fullmatch(r"\d{4}-\d\d-\d\d", v):
+        return v + "T00:00:00.000000000", True
+    if target in ("DATE", "TIMESTAMP"):
+        return v, isinstance(v, str) and not number and bool(re.match(r"\d{4}-\d\d-\d\d", v))
+    return v, target != "BINARY" or isinstance(v, list)
+
+
+def consistent(v, path: str, fields: dict[str, tuple[str, str, str]], below: dict[str, list[str]]):
+    """(a value with canonical member names and its leaves cast, whether all of it fits its types)."""
+    _, kind, target = fields[path]
+    if v is None:
+        return None, True
+    if kind not in COMPOSITE:
+        return cast_leaf(v, target)
+    if isinstance(v, str) and not isinstance(v, Number):
+        try:
+            v = parsed(v)
+        except (ValueError, RecursionError):
+            return v, False
+    sub = {p.rpartition(STEP)[2]: p for p in below.get(path, [])}
+    if kind == "STRUCT" and isinstance(v, dict):
+        got = {fields[p][0].rpartition(STEP)[2]: consistent(v[n], p, fields, below) for n, p in sub.items() if n in v}
+        return {n: x for n, (x, _) in got.items()}, all(ok for _, ok in got.values())
+    if kind == "LIST" and isinstance(v, list) and "item" in sub:
+        each = [consistent(x, sub["item"], fields, below) for x in v]
+        return [x for x, _ in each], all(ok for _, ok in each)
+    if kind == "MAP" and isinstance(v, list) and {"key", "value"} <= sub.keys() and all(isinstance(x, dict) for x in v):
+        each = [(consistent(x.get("key"), sub["key"], fields, below), consistent(x.get("value"), sub["value"], fields, below)) for x in v]
+        return [{"key": k[0], "value": x[0]} for k, x in each], all(k[1] and x[1] for k, x in each)
+    if kind == "UNION" and isinstance(v, dict) and f"v{v.get('tag')}" in sub:
+        p = sub[f"v{v['tag']}"]
+        x, ok = consistent(v.get("value"), p, fields, below)
+        return {"tag": v["tag"], "value": x}, ok
+    return v, False
+
+
+def parsed(text: str):
+    return json.loads(text, parse_float=Number, parse_constant=Number)
+
+
+UNIFIED = "source string, row_id bigint, feed_id bigint, field string, target_kind string, value string, fits boolean"
+
+
+def _unify(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for part in parts:
+        rows, known = [], {}
+        for row_id, feed, version, payload, plan in zip(part["row_id"], part["feed_id"], part["version"], part["payload"], part["plan"]):
+            try:
+                value = parsed(payload or "")
+            except (ValueError, RecursionError):
+                continue
+            if not isinstance(value, dict):
+                continue
+            key = (None if pd.isna(feed) else feed, version)
+            if key not in known:
+                fields = {x["path"]: (x["canonical_path"], x["kind"], x["target_kind"]) for x in plan}
+                below: dict[str, list[str]] = {}
+                for p in fields:
+                    below.setdefault(p.rpartition(STEP)[0], []).append(p)
+                known[key] = fields, below
+            fields, below = known[key]
+            for p in below.get("", []):
+                x, ok = consistent(value.get(p[1:]), p, fields, below)
+                text = None if x is None else str(x) if isinstance(x, str) else json_text(x)
+                rows.append(("nested", row_id, key[0], fields[p][0][1:], fields[p][2], text, ok))
+        yield pd.DataFrame(rows, columns=["source", "row_id", "feed_id", "field", "target_kind", "value", "fits"]).astype({"feed_id": "Int64"})
+
+
+def unified_fields(orc_files: DataFrame, file_types: DataFrame, nested_rows: DataFrame, row_records: DataFrame) -> DataFrame:
+    """All rows of the flat and nested files in one consistent table: source (flat, nested), row_id (or record_id), feed_id, field (canonical name),
+    target_kind, value (text, cast to target_kind; null where absent), fits.
+
+    Composite values are JSON under canonical member names, with their leaves cast. What can't be cast stays as it is written, and fits is false. c_ts
+    stays on the writer's clock, as {"seconds", "nanos"}. Each id once (the first delivery); payloads that are not complete JSON objects give no rows;
+    members that the footer doesn't name, and rows of files without a footer, are left out.
     """
-    plan = cast_plan(orc_files, file_types).select(F.col("feed_id").alias("_feed"), "canonical", "field_path", "target_kind")
-    files = registered_files(orc_files).select("file_id", "feed_id")
-    once = nested_rows.where("row_id is not null").groupBy("row_id").agg(F.min_by(F.struct("file_id", "payload"), F.coalesce("ingested_at", F.lit("9999-01-01").cast("timestamp_ntz"))).alias("it"))
-    rows = once.select("row_id", "it.file_id", F.explode(F.from_json("it.payload", "map<string,string>", {"allowNonNumericNumbers": "true", "mode": "PERMISSIVE"})).alias("name", "value")).join(files, "file_id")
-    joined = rows.join(plan, rows["feed_id"].eqNullSafe(plan["_feed"]) & (rows["name"] == plan["field_path"]))
-    return joined.select("row_id", "feed_id", F.col("canonical").alias("field"), "target_kind", "value")
+    trees = _trees(file_types)
+    numbered = written(_numbered(orc_files, trees), "numbered")
+    fresh = numbered.where("changed = 1").join(trees.select("file_id", "tree"), "file_id")
+    plan = written(_plan(fresh), "cast-plan")
+    files = numbered.select("file_id", "feed_id", "version")
+    first = lambda *cols: F.min_by(F.struct(*cols), F.coalesce("ingested_at", F.lit("9999-01-01").cast("timestamp_ntz"))).alias("it")
+    of = plan.select(F.col("feed_id").alias("_feed"), F.explode(F.sequence("first_version", "last_version")).alias("_version"), F.struct("path", "canonical_path", "kind", "target_kind").alias("x"))
+    # one tree bounds the array
+    each = of.groupBy("_feed", "_version").agg(F.collect_list("x").alias("plan"))
+    same = lambda a: a["feed_id"].eqNullSafe(F.col("_feed")) & (a["version"] == F.col("_version"))
+    once = nested_rows.where("row_id is not null").groupBy("row_id").agg(first("file_id", "payload")).select("row_id", "it.*").join(files, "file_id")
+    nested = once.join(each, same(once)).select("row_id", "feed_id", "version", "payload", "plan").mapInPandas(_unify, UNIFIED)
+    columns = [c for c in row_records.columns if c.startswith("c_")]
+    flat = row_records.where("record_id is not null").groupBy("record_id").agg(first("file_id", *columns)).select("record_id", "it.*").join(files, "file_id")
+    text = lambda c: F.to_json(c) if c == "c_ts" else F.col(c).cast("string")
+    # joined before the cells are exploded: only rows are shuffled
+    tops = of.where(f"instr(substring(x.path, 2), '{STEP}') = 0").groupBy("_feed", "_version").agg(
+        F.map_from_entries(F.collect_list(F.struct(F.substring("x.path", 2, 1 << 30), F.struct(F.substring("x.canonical_path", 2, 1 << 30).alias("field"), "x.target_kind")))).alias("tops")
+    )
+    flat = flat.join(tops, same(flat))
+    cells = flat.select("record_id", "feed_id", "tops", F.explode(F.array(*[F.struct(F.lit(c).alias("name"), text(c).alias("raw")) for c in columns])).alias("cell"))
+    cells = cells.select("record_id", "feed_id", "cell.*", F.expr("try_element_at(tops, cell.name)").alias("top")).where("top is not null").select("record_id", "feed_id", "name", "raw", "top.*")
+    cast = F.lit(None).cast("string")
+    for kind, to in CAST.items():
+        if kind != "BINARY":
+            cast = F.when(F.col("target_kind") == kind, F.expr(f"cast(try_cast(raw as {to}) as string)")).otherwise(cast)
+    cast = F.when(F.col("name") == "c_ts", F.col("raw")).otherwise(cast)
+    cells = cells.withColumn("cast", cast)
+    flat = cells.select(F.lit("flat").alias("source"), F.col("record_id").alias("row_id"), "feed_id", "field", "target_kind", F.coalesce("cast", "raw").alias("value"), F.expr("raw is null or cast is not null").alias("fits"))
+    return nested.unionByName(flat)

@@ -30,8 +30,8 @@ def p1_casts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_unified(spark: SparkSession, d: str) -> DataFrame:
-    """All nested rows in one consistent table, a row per field."""
-    return drift.unified_fields(table(spark, d, "orc_files"), table(spark, d, "file_types"), table(spark, d, "nested_rows"))
+    """All flat and nested rows in one consistent table, a row per field, cast to the field's kind."""
+    return drift.unified_fields(table(spark, d, "orc_files"), table(spark, d, "file_types"), table(spark, d, "nested_rows"), table(spark, d, "row_records"))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:

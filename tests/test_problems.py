@@ -104,6 +104,27 @@ def test_casts_follow_renames(spark):
     assert drift.common_kind(["INT", "DOUBLE"]) == "DOUBLE" and drift.common_kind(["DATE", "INT"]) == "STRING" and drift.common_kind(["LIST", "INT"]) == "VARIANT"
 
 
+def test_lineages_and_casts_at_any_depth(spark, t):
+    a = {0: ("STRUCT", [1, 2], ["a", "s"]), 1: ("INT", [], []), 2: ("STRUCT", [3], ["x"]), 3: ("INT", [], [])}
+    b = {0: ("STRUCT", [1, 2], ["b", "s"]), 1: ("INT", [], []), 2: ("STRUCT", [3], ["y"]), 3: ("INT", [], [])}
+    c = {0: ("STRUCT", [1, 2, 4], ["b", "s", "a"]), 1: ("LONG", [], []), 2: ("STRUCT", [3], ["y"]), 3: ("DOUBLE", [], []), 4: ("STRING", [], [])}
+    files, types = tree_table(spark, {1: a, 2: b, 3: c})
+    plan = {(r["canonical"], r["field_path"], r["target_kind"]) for r in drift.cast_plan(files, types).collect()}
+    assert plan == {("a", "a", "LONG"), ("a", "b", "LONG"), ("a@3", "a", "STRING"), ("s", "s", "STRUCT"), ("s.x", "s.x", "DOUBLE"), ("s.x", "s.y", "DOUBLE")}
+    rows = [(1, 1, '{"a": 1, "s": {"x": 5}}'), (2, 3, '{"b": 2, "s": {"y": 0.5}, "a": "new"}'), (3, 3, '{"b": "odd"}'), (4, 3, '{"b"')]
+    nested = spark.createDataFrame(rows, "row_id bigint, file_id bigint, payload string").selectExpr("*", "timestamp_ntz'2020-01-01' as ingested_at")
+    got = drift.unified_fields(files, types, nested, t["row_records"].limit(0)).collect()
+    assert {(r["row_id"], r["field"], r["value"], r["fits"]) for r in got if r["value"]} == {
+        (1, "a", "1", True), (1, "s", '{"x": 5.0}', True), (2, "a", "2", True), (2, "s", '{"x": 0.5}', True), (2, "a@3", "new", True), (3, "a", "odd", False)
+    }
+
+
+def test_flat_rows_are_unified(t):
+    got = drift.unified_fields(*(t[n] for n in ("orc_files", "file_types", "nested_rows", "row_records")))
+    flat = got.where("source = 'flat'").select("row_id").distinct().count()
+    assert flat == t["row_records"].join(t["file_types"].select("file_id").distinct(), "file_id").select("record_id").distinct().count()
+
+
 TREE = [
     {"type_id": i, "kind": k, "subtypes": s, "field_names": n}
     for i, (k, s, n) in enumerate([("STRUCT", [1, 3, 6, 9], ["l", "m", "u", "b"]), ("LIST", [2], []), ("INT", [], []), ("MAP", [4, 5], []), ("STRING", [], []), ("LIST", [10], []), ("UNION", [7, 8], []), ("INT", [], []), ("STRING", [], []), ("BINARY", [], []), ("STRUCT", [11], ["x"]), ("INT", [], [])])
