@@ -3,18 +3,21 @@
 Method: noisy-channel decoding. The channel takes a text, writes it in one encoding and reads it in another. Frequencies of words and characters over all
 documents are the source model. A damaged token is turned back into a lattice of bytes, with a wildcard for each lost byte; a Viterbi search finds the
 likeliest characters behind it, and the word frequencies choose between the channels and the token as it stands.
+
+Texts are read once. Everything after that works on their distinct tokens beyond ASCII: a token's readings are scored once in the whole cluster, where
+they are joined with the frequencies of just the units that occur in them, and a document is judged by what its own tokens are joined with. Only the
+character frequencies are broadcast, which the size of Unicode bounds.
 """
 
 from __future__ import annotations
 
 import math
 import re
-import uuid
 from collections import Counter, defaultdict
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lamella.session import written
@@ -23,13 +26,15 @@ from lamella.session import written
 MISREAD = ("cp1252", "cp1251", "mac_roman", "cp437", "cp850", "koi8_r", "cp866", "cp1250", "iso8859_5")
 WRITTEN = ("cp1252", "cp1251", "mac_roman", "cp437", "cp850", "koi8_r", "cp866", "iso8859_5")
 
-TOKEN = re.compile(r"[A-Za-z]*[^\x00-\x7f](?:[A-Za-z]|[^\x00-\x7f])*")
+#: A token is a run of letters and characters beyond ASCII, in pieces of PIECE where it is longer, so that work on a token is bounded.
+PIECE = 200
+TOKEN = re.compile(rf"[A-Za-z\u0080-\U0010ffff]{{1,{PIECE}}}")
+BETWEEN = r"[\x00-@\[-`{-\x7f]+"
 WORD = re.compile(r"[^\W\d_]+")
 LOST = "�"
 
-#: A unit belongs to the model if it is in at least this share of all documents, and in two of them. This bounds the model whatever the corpus: a
-#: document of k distinct units adds k, so at most k / MIN_SHARE units qualify, k being the mean.
-MIN_SHARE = 1e-5
+#: A unit belongs to the model if it stands in two tokens of documents, whatever the size of the corpus.
+LEAST = 2
 #: What a unit outside the model counts as, in documents.
 UNSEEN = 0.3
 #: Log-odds: of a token by its lattice; summed over a document's distinct tokens for a single-byte channel.
@@ -37,20 +42,8 @@ TOKEN_GAIN, CHANNEL_GAIN = 1.0, 5.0
 BEAM = 6
 #: How many times as frequent as the next a word must be to stand in for lost characters.
 CLEAR = 3
-#: Distinct units that a task counts before it passes them on; results don't depend on it.
-FLUSH = 400_000
-
-
-def units(text: str, cache: dict[str, set[str]] | None = None) -> set[str]:
-    """Words with a letter beyond ASCII, and other characters beyond ASCII, in lower case. cache: units of tokens seen before."""
-    out = set()
-    cache = {} if cache is None else cache
-    for token in set(TOKEN.findall(text)):
-        known = cache.get(token)
-        if known is None:
-            known = cache[token] = token_units(token)
-        out |= known
-    return out
+#: How many misreadings one upon another are undone.
+DEPTH = 3
 
 
 def token_units(token: str) -> set[str]:
@@ -60,29 +53,6 @@ def token_units(token: str) -> set[str]:
     return out
 
 
-def unit_counts(documents: DataFrame) -> DataFrame:
-    """unit, docs: in how many documents each unit stands, over all documents. Partial counts are merged before and after one small shuffle."""
-
-    def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: Counter = Counter()
-        cache: dict[str, set[str]] = {}
-        pack = lambda: pd.DataFrame({"unit": list(seen), "docs": list(seen.values())})
-        for part in parts:
-            for text in part["text"]:
-                seen[""] += 1
-                if text and not text.isascii():
-                    seen.update(units(text, cache))
-                    if len(cache) > FLUSH:
-                        cache.clear()
-                if len(seen) > FLUSH:
-                    yield pack()
-                    seen.clear()
-        if seen:
-            yield pack()
-
-    return documents.select("text").mapInPandas(count, "unit string, docs bigint").groupBy("unit").agg(F.sum("docs").alias("docs"))
-
-
 class Channels:
     """The tables of every misreading."""
 
@@ -110,63 +80,40 @@ class Channels:
                     except UnicodeDecodeError:
                         pass
                 self.single[w, r] = {k: v for k, v in table.items() if chr(k) != v}
-        pairs = []
+        #: A lead byte and a continuation byte of UTF-8, or a lost byte, in each misreading: without one there is nothing to decode.
+        self.suspicious: dict[str, re.Pattern] = {}
         for w in MISREAD:
             lead = "".join(re.escape(c) for c, b in self.byte[w].items() if 0xC2 <= b <= 0xF4)
             follow = "".join(re.escape(c) for c, b in self.byte[w].items() if 0x80 <= b <= 0xBF)
-            pairs.append(f"[{lead}][{follow}{LOST}]")
-        #: A lead byte and a continuation byte of UTF-8 in any misreading.
-        self.suspicious = re.compile("|".join(pairs))
+            self.suspicious[w] = re.compile(f"[{lead}][{follow}{LOST}]")
 
 
-class Model:
-    """Source model and channels; evaluates tokens and remembers the results."""
+def skeleton(word: str) -> str:
+    return re.sub(r"[^\x00-\x7f]", LOST, word)
 
-    def __init__(self, docs: int, counts: dict[str, int]):
-        self.n, self.counts = max(1, docs), counts
+
+#: The parts of a token around lost characters.
+GAPS = re.compile(rf"[^\W\d_{LOST}]*(?:{LOST}[^\W\d_{LOST}]*)+")
+
+
+class Lattice:
+    """Channels and character frequencies: what may stand behind a token."""
+
+    def __init__(self, docs: int, letters: dict[str, int]):
+        self.n, self.letters = max(1, docs), letters
         self.channels = Channels()
         self.floor = math.log(UNSEEN / self.n)
-        self.known: dict[str, tuple[str, float, tuple] | None] = {}
-        self.skeletons: dict[str, list[str]] = defaultdict(list)
-        for w in counts:
-            if w and w[0].isalpha():
-                self.skeletons[re.sub(r"[^\x00-\x7f]", LOST, w)].append(w)
-        for words in self.skeletons.values():
-            words.sort(key=lambda w: (-counts[w], w))
-        letters: Counter = Counter()
-        for w, k in counts.items():
-            for c in set(w):
-                if c > "\x7f" and c != LOST:
-                    letters[c] = max(letters[c], k)
-        self.chars = letters
         self.patterns: dict[tuple, list[str]] = {}
         self.encoded = [(c, c.encode("utf-8")) for c in [*letters, *{c.upper() for c in letters if len(c.upper()) == 1}]]
 
-    def log(self, unit: str) -> float:
-        k = self.counts.get(unit, 0)
-        return math.log(k / self.n) if k else self.floor
-
     def char_log(self, c: str) -> float:
         if c < "\x80":
             return 0.0
-        k = self.chars.get(c.lower(), 0)
+        k = self.letters.get(c.lower(), 0)
         return math.log(k / self.n) if k else self.floor
 
-    def score(self, token: str) -> float:
-        """Log-likelihood of a token: its words and other characters; a word of mixed scripts, and a control character, counts as unseen twice."""
-        total = 0.0
-        for u in token_units(token):
-            total += self.log(u)
-            if u.isalpha() and len(u) > 1:
-                cyrillic = sum("Ѐ" <= c <= "ӿ" for c in u)
-                if 0 < cyrillic < len(u):
-                    total += self.floor / 2
-            elif "\x80" <= u <= "\x9f" or u == LOST:
-                total += self.floor / 2
-        return total
-
     def matching(self, pattern: tuple) -> list[str]:
-        """Characters of the model whose UTF-8 form fits a byte pattern with None for lost bytes."""
+        """Characters of the corpus whose UTF-8 form fits a byte pattern with None for lost bytes."""
         if pattern not in self.patterns:
             self.patterns[pattern] = [c for c, b in self.encoded if len(b) == len(pattern) and all(p is None or p == x for p, x in zip(pattern, b))]
         return self.patterns[pattern]
@@ -201,12 +148,52 @@ class Model:
                 best[i + size] += [(s + cost, t + x) for s, t in best[i]]
         return [t for _, t in sorted(best[-1], key=lambda x: -x[0])[:BEAM] if t != token]
 
-    def fill(self, token: str) -> str | None:
-        """A token with lost characters, filled in from the likeliest word of the same shape."""
+    def readings(self, token: str) -> list[tuple[str, str, float]]:
+        """(channel, text, price) of everything that may stand behind a token, but for words lost in part."""
+        out: dict[tuple[str, str], float] = {}
+        todo, seen = [(token, None, 0)], {token}
+        while todo:
+            at, first, depth = todo.pop(0)
+            for w in MISREAD if depth < DEPTH else ():
+                for text in self.viterbi(at, w) if self.channels.suspicious[w].search(at) else ():
+                    channel = first or f"{w}>utf-8"
+                    out.setdefault((channel, text), 0.5 * depth)  # the middle form need not be likelier than the token
+                    if text not in seen and not text.isascii():
+                        seen.add(text)
+                        todo.append((text, channel, depth + 1))
+        for (w, r), table in self.channels.single.items():
+            text = token.translate(table)
+            if text != token:
+                out[f"{w}>{r}", text] = 0.5
+        return [(c, t, p) for (c, t), p in out.items()]
+
+
+class Scores:
+    """The word frequencies that the readings of a token are held against."""
+
+    def __init__(self, docs: int, counts: dict[str, int]):
+        self.n, self.counts = max(1, docs), counts
+        self.floor = math.log(UNSEEN / self.n)
+
+    def score(self, token: str) -> float:
+        """Log-likelihood of a token: its words and other characters; a word of mixed scripts, and a control character, counts as unseen twice."""
+        total = 0.0
+        for u in token_units(token):
+            k = self.counts.get(u, 0)
+            total += math.log(k / self.n) if k else self.floor
+            if u.isalpha() and len(u) > 1:
+                cyrillic = sum("Ѐ" <= c <= "ӿ" for c in u)
+                if 0 < cyrillic < len(u):
+                    total += self.floor / 2
+            elif "\x80" <= u <= "\x9f" or u == LOST:
+                total += self.floor / 2
+        return total
+
+    def fill(self, token: str, words: dict[str, list[str]]) -> str | None:
+        """A token with lost characters, filled in from `words`, the most frequent words behind each of its parts."""
         out = token
-        for m in re.finditer(rf"[^\W\d_{LOST}]*(?:{LOST}[^\W\d_{LOST}]*)+", token):
-            shape = re.sub(r"[^\x00-\x7f]", LOST, m[0].lower())
-            fits = [w for w in self.skeletons.get(shape, ()) if LOST not in w and all(a == LOST or a == b for a, b in zip(m[0].lower(), w))]
+        for m in GAPS.finditer(token):
+            fits = words.get(m[0].lower(), [])
             # a lone character, or one of two words nearly as frequent, can't be told: it stays lost
             if len(m[0]) < 2 or not fits or (len(fits) > 1 and self.counts[fits[0]] < CLEAR * self.counts[fits[1]]):
                 continue
@@ -215,169 +202,195 @@ class Model:
             out = out.replace(m[0], word)
         return out if out != token else None
 
-    def evaluate(self, token: str) -> tuple[str, float, tuple] | None:
-        """(text behind the token, log-odds, channel) if another reading is likelier than the token itself."""
-        if token in self.known:
-            return self.known[token]
-        if len(self.known) > 300_000:
-            self.known.clear()
-        # frequent tokens too: damage by a single-byte channel gives the same garbled word in every document
-        self.known[token] = found = self._evaluate(token)
-        return found
-
-    def _evaluate(self, token: str) -> tuple[str, float, tuple] | None:
-        now = self.score(token)
-        top: tuple[str, float, tuple] | None = None
-
-        def offer(text: str, channel: tuple, price: float) -> None:
-            nonlocal top
-            gain = self.score(text) - now - price
-            if gain >= TOKEN_GAIN and (top is None or gain > top[1]):
-                top = (text, gain, channel)
-
-        if self.channels.suspicious.search(token):
-            for w in MISREAD:
-                first = self.viterbi(token, w)
-                for text in first:
-                    offer(text, (w, "utf-8"), 0.0)
-                # misread twice: the middle form need not be likelier than the token
-                for text in first:
-                    if self.channels.suspicious.search(text):
-                        for inner in self.viterbi(text, w):
-                            offer(inner, (w, "utf-8"), 0.5)
-        tried = {token}
-        for (w, r), table in self.channels.single.items():
-            text = token.translate(table)
-            if text not in tried:
-                tried.add(text)
-                offer(text, (w, r), 0.5)
-        if LOST in token and (filled := self.fill(token)):
-            offer(filled, ("utf-8", "lost"), 0.0)
-        if top is not None and top[2][1] == "utf-8":
-            again = self._evaluate(top[0]) if not top[0].isascii() else None
-            if again is not None and again[2][1] == "utf-8":
-                top = (again[0], top[1] + again[1], top[2])
-        return top
-
-    def examine(self, text: str) -> tuple[dict[str, str], bool]:
-        """(damaged tokens and what stands behind them, whether anything in the text is damaged)."""
-        if not text or text.isascii():
-            return {}, False
-        gains: dict[tuple, float] = defaultdict(float)
-        seen: dict[str, tuple[str, float, tuple]] = {}
-        tokens = set(TOKEN.findall(text))
-        for token in tokens:
-            got = self.evaluate(token)
-            if got is None:
-                continue
-            seen[token] = got
-            before, after = token_units(token), token_units(got[0])
-            letters = max((len(u) for u in after if u.isalpha()), default=0)
-            if got[2][1] == "utf-8":
-                lone = any(len(u) == 1 and "Ѐ" <= u <= "ӿ" for u in after) and letters < 2
-                weight = 0.2 if lone else 5.0
-            elif got[2][1] == "lost":
-                weight = 1.0
-            else:
-                mixed = any(u.isalpha() and 0 < sum("Ѐ" <= c <= "ӿ" for c in u) < len(u) for u in before)
-                weight = 1.0 if letters >= 3 or mixed else 0.0
-            gains[got[2]] += weight * got[1]
-        sure = {c for c, g in gains.items() if g >= CHANNEL_GAIN}
-        out = {t: x for t, (x, _, c) in seen.items() if c in sure}
-        # every other token follows the document's channels, be it too short or too frequent to tell its own
-        for token in tokens - out.keys() if sure else ():
-            readings = [token.translate(self.channels.single[c]) for c in sure if c in self.channels.single]
-            if self.channels.suspicious.search(token):
-                readings += [x for c in sure if c[1] == "utf-8" for x in self.viterbi(token, c[0])]
-            better = max(readings, key=self.score, default=token)
-            if self.score(better) - self.score(token) >= TOKEN_GAIN:
-                out[token] = better
-        return out, bool(sure) or LOST in text
-
-
-#: The model that a Python worker used last, by its key: tasks of one worker share what was evaluated.
-_latest: dict[str, Model] = {}
-
-
-def shared_model(spark: SparkSession, model: Model) -> Callable[[], Model]:
-    """What gives the model on an executor. Its counts, bounded by MIN_SHARE, are broadcast."""
-    shared, key = spark.sparkContext.broadcast((model.n, model.counts)), uuid.uuid4().hex
-
-    def get() -> Model:
-        if key not in _latest:
-            _latest.clear()
-            _latest[key] = Model(*shared.value)
-        return _latest[key]
-
-    return get
+    def judge(self, token: str, readings: list[tuple[str, str, float]], words: dict[str, list[str]]):
+        """(best, others): (channel, text, gain, weight in the document) of the likeliest reading, if it is likelier than the token itself, and
+        (channel, text, gain) of the best text of each channel that is."""
+        now, best, others = self.score(token), None, {}
+        if LOST in token and (filled := self.fill(token, words)):
+            readings = [*readings, ("utf-8>lost", filled, 0.0)]
+        score: dict[str, float] = {}
+        for channel, text, price in readings:
+            if text not in score:
+                score[text] = self.score(text) - now
+                # of channels that agree on a text, the first stands for it
+                if score[text] - price >= TOKEN_GAIN and (best is None or score[text] - price > best[2]):
+                    best = (channel, text, score[text] - price)
+            if score[text] >= TOKEN_GAIN and (channel not in others or score[text] > others[channel][1]):
+                others[channel] = (text, score[text])
+        return best and (*best, self.weight(token, *best)), [(c, *x) for c, x in others.items()]
+
+    @staticmethod
+    def weight(token: str, channel: str, text: str, gain: float) -> float:
+        before, after = token_units(token), token_units(text)
+        letters = max((len(u) for u in after if u.isalpha()), default=0)
+        if channel.endswith(">utf-8"):
+            lone = any(len(u) == 1 and "Ѐ" <= u <= "ӿ" for u in after) and letters < 2
+            return 0.2 if lone else 5.0
+        if channel.endswith(">lost"):
+            return 1.0
+        mixed = any(u.isalpha() and 0 < sum("Ѐ" <= c <= "ӿ" for c in u) < len(u) for u in before)
+        return 1.0 if letters >= 3 or mixed else 0.0
 
 
 def replaced(text: str, tokens: dict[str, str]) -> str:
     return TOKEN.sub(lambda m: tokens.get(m[0], m[0]), text)
 
 
-def corrections(documents: DataFrame, model: Model) -> DataFrame:
-    """unit, docs: by how much the counts change if the tokens that a channel explains are counted as what stands behind them."""
-    get = shared_model(documents.sparkSession, model)
+def document_tokens(documents: DataFrame) -> DataFrame:
+    """doc_id, tokens: the distinct tokens beyond ASCII of each document that has any. The texts are read here and nowhere else."""
+    beyond = lambda c: F.filter(c, lambda x: F.length(x) != F.octet_length(x))
+    cut = f"if(length(t) <= {PIECE}, array(t), transform(sequence(1, length(t), {PIECE}), i -> substring(t, i, {PIECE})))"
+    return documents.where("doc_id is not null and text is not null").select("doc_id", beyond(F.split("text", BETWEEN)).alias("t")).select(
+        "doc_id", F.array_distinct(beyond(F.expr(f"flatten(transform(t, t -> {cut}))"))).alias("tokens")
+    )
+
+
+def unit_counts(tokens: DataFrame) -> DataFrame:
+    """tokens(token, docs) to unit, docs: in how many tokens of documents each unit stands, if in LEAST or more."""
 
-    def correct(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = get()
-        change: Counter = Counter()
+    def split(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            for text in part["text"]:
-                tokens, _ = own.examine(text)
-                if tokens:
-                    before, after = units(text), units(replaced(text, tokens))
-                    change.update(after - before)
-                    change.subtract(before - after)
-                if len(change) > FLUSH:
-                    yield pd.DataFrame({"unit": list(change), "docs": list(change.values())})
-                    change.clear()
-        yield pd.DataFrame({"unit": list(change), "docs": list(change.values())}).astype({"unit": "object", "docs": "int64"})
+            yield pd.DataFrame({"unit": part["token"].map(token_units).map(sorted), "docs": part["docs"]}).explode("unit").dropna()
 
-    return documents.select("text").mapInPandas(correct, "unit string, docs bigint")
+    units = tokens.select("token", "docs").mapInPandas(split, "unit string, docs bigint")
+    return units.groupBy("unit").agg(F.sum("docs").alias("docs")).where(f"docs >= {LEAST}")
 
 
-def source_model(documents: DataFrame) -> Model:
-    """The model of a corpus: its size is bounded by MIN_SHARE, whatever the size of the corpus.
+def letter_counts(counts: DataFrame) -> dict[str, int]:
+    """For each character beyond ASCII, how frequent the most frequent word with it is. Unicode bounds what is collected."""
+    each = counts.select(F.explode(F.split("unit", "")).alias("c"), "docs").where(F.col("c") > "\x7f").where(F.col("c") != LOST)
+    return {r["c"]: r["docs"] for r in each.groupBy("c").agg(F.max("docs").alias("docs")).collect()}
 
-    Counted twice: as the texts stand, then with what the first model finds damaged as restored, so that frequent damage doesn't pass for the source.
+
+READINGS = "token string, readings array<struct<channel:string,text:string,price:double>>, units array<string>, gaps array<string>"
+
+
+def candidates(tokens: DataFrame, docs: int, letters: dict[str, int]) -> DataFrame:
+    """token, its readings, the units of the token and of all readings, and its parts with lost characters."""
+    shared = tokens.sparkSession.sparkContext.broadcast((docs, letters))
+
+    def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lattice = Lattice(*shared.value)
+        for part in parts:
+            rows = []
+            for token in part["token"]:
+                found = lattice.readings(token)
+                units = token_units(token).union(*[token_units(t) for t in {t for _, t, _ in found}])
+                rows.append((token, found, sorted(units), sorted({m[0].lower() for m in GAPS.finditer(token)})))
+            yield pd.DataFrame(rows, columns=["token", "readings", "units", "gaps"])
+
+    # a token costs a millisecond, so even a small table is spread over all cores
+    spread = int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return tokens.select("token").repartition(spread, "token").mapInPandas(read, READINGS)
+
+
+def lost_words(of: DataFrame, counts: DataFrame) -> DataFrame:
+    """gap, words: the two most frequent words, with their counts, that a part with lost characters may have been.
+
+    The parts of one skeleton (characters beyond ASCII left open) differ in where characters are lost; each word of the skeleton is hidden at those places
+    and compared as a whole, so no part is held against each word.
     """
-    counts = written(unit_counts(documents), "unit-counts")  # read for the number of documents, for what is frequent enough, and to be corrected
-    total = counts.where("unit = ''").first()
-    n = total["docs"] if total else 0
-    least = max(2, math.ceil(MIN_SHARE * n))
+    part = of.select(F.explode("gaps").alias("gap")).distinct().where("length(gap) >= 2")
+    shape = lambda c: F.regexp_replace(c, r"[^\x00-\x7f]", LOST)
+    part = part.select("gap", shape("gap").alias("shape"), F.expr(f"transform(split(gap, ''), x -> x = '{LOST}')").alias("mask"))
+    masks = part.select("shape", "mask").distinct()
+    words = counts.where(rf"unit rlike '^\\p{{L}}' and not contains(unit, '{LOST}')").select("unit", "docs", shape("unit").alias("shape"))
+    hidden = F.expr(f"array_join(transform(split(unit, ''), (c, i) -> if(mask[i], '{LOST}', c)), '')")
+    fits = words.join(masks, "shape").select(hidden.alias("gap"), "unit", "docs")
+    fits = fits.join(part.select("gap"), "gap", "left_semi")
+    first = fits.groupBy("gap").agg(F.max(F.struct("docs", F.col("unit"))).alias("a"))
+    second = fits.join(first, "gap").where("unit <> a.unit").groupBy("gap").agg(F.max(F.struct("docs", F.col("unit"))).alias("b"))
+    return first.join(second, "gap", "left").select("gap", F.array_compact(F.array("a", "b")).alias("words"))
+
+
+JUDGED = "token string, best struct<channel:string,text:string,gain:double,weight:double>, others array<struct<channel:string,text:string,gain:double>>"
+
+
+def token_readings(of: DataFrame, counts: DataFrame, docs: int) -> DataFrame:
+    """token, best, others (see Scores.judge) of the tokens that a channel explains better. Each token is judged with the counts of just its units."""
+    # only units of the model get through the join, a few for each token
+    known = of.select("token", F.explode("units").alias("unit")).join(counts, "unit").groupBy("token").agg(F.collect_list(F.struct("unit", "docs")).alias("known"))
+    gaps = of.where("size(gaps) > 0").select("token", F.explode("gaps").alias("gap")).join(lost_words(of, counts), "gap")
+    gaps = gaps.groupBy("token").agg(F.collect_list(F.struct("gap", "words")).alias("lost"))
+    rows = of.select("token", "readings").join(known, "token", "left").join(gaps, "token", "left")
+    letters = of.sparkSession.sparkContext.broadcast(letter_counts(counts))
 
-    def model(of: DataFrame) -> Model:
-        rows = of.where(f"unit <> '' and docs >= {least}").toPandas()
-        return Model(n, dict(zip(rows["unit"], rows["docs"].astype(int))))
+    def judge(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            out = []
+            for token, readings, known, lost in zip(part["token"], part["readings"], part["known"], part["lost"]):
+                counts = {x["unit"]: x["docs"] for x in (known if known is not None else ())}
+                words = {}
+                for x in lost if lost is not None else ():
+                    words[x["gap"]] = [w["unit"] for w in x["words"]]
+                    counts |= {w["unit"]: w["docs"] for w in x["words"]}
+                    # a word may hold characters that are units of their own, as mm² does
+                    counts |= {u: letters.value[u] for w in x["words"] for u in token_units(w["unit"]) - counts.keys() if u in letters.value}
+                best, others = Scores(docs, counts).judge(token, [(x["channel"], x["text"], x["price"]) for x in readings], words)
+                if best or others:
+                    out.append((token, best, others))
+            yield pd.DataFrame(out, columns=["token", "best", "others"])
+
+    return rows.mapInPandas(judge, JUDGED)
+
+
+def judged(of: DataFrame, readings: DataFrame) -> DataFrame:
+    """of(doc_id, tokens) to doc_id, fixes (token to text) of the documents in which some channel is sure.
+
+    A channel is sure where its readings gain enough over the document's distinct tokens; every other token then follows the sure channels, be it too
+    short or too frequent to tell its own. What is gathered for a document is bounded by its tokens.
+    """
+    hits = of.select("doc_id", F.explode("tokens").alias("token")).join(readings, "token")
+    each = hits.groupBy("doc_id").agg(F.collect_list(F.struct("token", "best", "others")).alias("hits")).where("exists(hits, h -> h.best is not null)")
+    told = each.withColumn("told", F.expr("filter(hits, h -> h.best is not null)"))
+    sure = f"filter(array_distinct(told.best.channel), c -> aggregate(filter(told, h -> h.best.channel = c), 0D, (a, h) -> a + h.best.gain * h.best.weight) >= {CHANNEL_GAIN})"
+    told = told.withColumn("sure", F.expr(sure)).where("size(sure) > 0")
+    follow = "array_max(transform(filter(h.others, o -> array_contains(sure, o.channel)), o -> struct(o.gain, o.text))).text"
+    text = f"if(array_contains(sure, h.best.channel), h.best.text, {follow})"
+    fixes = F.expr(f"filter(transform(hits, h -> struct(h.token as token, {text} as text)), x -> x.text is not null)")
+    return told.select("doc_id", F.map_from_entries(fixes).alias("fixes"))
 
-    return model(counts.unionByName(corrections(documents, model(counts))).groupBy("unit").agg(F.sum("docs").alias("docs")))
+
+def corrected(counts: DataFrame, fixed: DataFrame) -> DataFrame:
+    """The counts of tokens with those that a channel explains counted as what stands behind them."""
+    swaps = fixed.select(F.explode("fixes").alias("token", "text")).groupBy("token", "text").agg(F.count("*").alias("docs"))
+    less, more = swaps.select("token", -F.col("docs")), swaps.select(F.col("text").alias("token"), "docs")
+    return counts.unionAll(less).unionAll(more).groupBy("token").agg(F.sum("docs").alias("docs")).where("docs > 0")
+
+
+def damaged_ids(documents: DataFrame) -> DataFrame:
+    """doc_id, fixes (damaged tokens to their text, null where nothing can be told), lost (whether a character is lost) of the damaged documents.
+
+    Counted twice: as the texts stand, then with what the first model finds damaged as restored, so that frequent damage doesn't pass for the source.
+    """
+    docs = documents.count()
+    of = written(document_tokens(documents), "document-tokens")
+    tokens = written(of.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("docs")), "tokens")
+    counts = written(unit_counts(tokens), "unit-counts")
+    readings = written(candidates(tokens, docs, letter_counts(counts)), "readings")
+    first = judged(of, written(token_readings(readings, counts, docs), "first-judged"))
+    counts = written(unit_counts(corrected(tokens, first)), "unit-counts")
+    found = judged(of, written(token_readings(readings, counts, docs), "judged"))
+    lost = of.where(F.exists("tokens", lambda t: F.contains(t, F.lit(LOST)))).select("doc_id", F.lit(None).cast("map<string,string>").alias("fixes"), F.lit(True).alias("lost"))
+    both = found.select("doc_id", "fixes", F.lit(False).alias("lost")).unionByName(lost)
+    return both.groupBy("doc_id").agg(F.first("fixes", ignorenulls=True).alias("fixes"), F.max("lost").alias("lost"))
 
 
 FOUND = "doc_id bigint, tokens int, restored string, complete boolean"
 
 
-def damaged(documents: DataFrame, keep_text: bool = True) -> DataFrame:
+def damaged(documents: DataFrame) -> DataFrame:
     """doc_id, tokens (distinct damaged ones), restored (the text with them replaced), complete (no lost character is left) of the damaged documents.
 
-    Null and empty texts are never damaged. A replacement character is damage, recoverable or not. Documents are read whole; three passes, and no shuffle
-    of texts. Rows without doc_id are left out; repeated rows are each judged.
+    Null and empty texts are never damaged. A replacement character is damage, recoverable or not. Documents are read whole. Rows without doc_id are left
+    out; rows that share a doc_id are judged as one document, and each is restored.
     """
-    rows = documents.where("doc_id is not null").select("doc_id", "text")
-    get = shared_model(documents.sparkSession, source_model(rows))
+    found = written(damaged_ids(documents), "damaged")  # its size is known to the join: small, it is sent to the texts; else only their bloom filter is
 
-    def judge(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = get()
+    def restore(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            out = []
-            for doc_id, text in zip(part["doc_id"], part["text"]):
-                if text is None:
-                    continue
-                tokens, hit = own.examine(text)
-                if hit:
-                    better = replaced(text, tokens) if keep_text and tokens else text if keep_text else None
-                    out.append((doc_id, len(tokens), better, LOST not in (better or "")))
-            yield pd.DataFrame(out, columns=["doc_id", "tokens", "restored", "complete"])
+            fixes = [dict(x) if x is not None else {} for x in part["fixes"]]
+            texts = [replaced(t, f) if f else t for t, f in zip(part["text"], fixes)]
+            yield pd.DataFrame({"doc_id": part["doc_id"], "tokens": [len(f) for f in fixes], "restored": texts, "complete": [LOST not in t for t in texts]})
 
-    return rows.mapInPandas(judge, FOUND)
+    return documents.where("text is not null").select("doc_id", "text").join(found.select("doc_id", "fixes"), "doc_id").mapInPandas(restore, FOUND)

@@ -34,7 +34,7 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents that were decoded with a wrong encoding, wholly or in places."""
-    return mojibake.damaged(table(spark, d, "documents"), keep_text=False).select("doc_id").distinct()
+    return mojibake.damaged_ids(table(spark, d, "documents")).select("doc_id")
 
 
 def p8_restored(spark: SparkSession, d: str) -> DataFrame:

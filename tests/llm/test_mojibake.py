@@ -88,7 +88,34 @@ def test_empty(spark):
 
 
 def test_lattice_with_a_lost_byte():
-    model = mojibake.Model(100, {"présente": 60, "à": 50, "é": 3, "–": 90})
-    assert model.evaluate("prÃ©sente")[0] == "présente"
-    assert "présente" in model.viterbi("prÃ�sente", "cp1252")
-    assert model.evaluate("VELÃO") is None
+    counts = {"présente": 60, "à": 50, "é": 3, "–": 90}
+    lattice, scores = mojibake.Lattice(100, {"é": 60, "à": 50, "–": 90}), mojibake.Scores(100, counts)
+    assert scores.judge("prÃ©sente", lattice.readings("prÃ©sente"), {})[0][1] == "présente"
+    assert "présente" in lattice.viterbi("prÃ�sente", "cp1252")
+    assert scores.judge("VELÃO", lattice.readings("VELÃO"), {})[0] is None
+
+
+def test_tokens_are_those_of_both_engines(spark):
+    texts = ["plain", "é", "aé b\x7fü", "x" * 500 + "é" + "y" * 500, "é" * 450 + " ü", "a🙂b\u0085c-ß", "", None]
+    rows = mojibake.document_tokens(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()
+    assert {r["doc_id"]: set(r["tokens"]) for r in rows if r["tokens"]} == {i: x for i, t in enumerate(texts) if t and (x := {w for w in mojibake.TOKEN.findall(t) if not w.isascii()})}
+
+
+def test_share_restored(spark, data):
+    """Clean documents of the table read in a wrong encoding as a whole: all are found, nearly all come back character for character."""
+    docs = table(spark, data, "documents").where("lang in ('fr', 'de', 'ru')")
+    dirty = {r["doc_id"] for r in mojibake.damaged_ids(table(spark, data, "documents")).collect()}
+    clean = [(r["doc_id"], r["text"]) for r in docs.orderBy("doc_id").collect() if r["doc_id"] not in dirty]
+    channels = ("cp1252", "mac_roman", "cp850", "cp1251", "cp437")
+    chosen = clean[:: max(1, len(clean) // 20)][:20]
+    bad = {10**6 + i: (t, misread(t, "utf-8", channels[i % 5])) for i, (_, t) in enumerate(chosen)}
+    rows = [(r["doc_id"], r["text"]) for r in table(spark, data, "documents").collect()] + [(k, b) for k, (_, b) in bad.items()]
+    got = {r["doc_id"]: r["restored"] for r in mojibake.damaged(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert bad.keys() <= got.keys()
+    assert sum(got[k] == t for k, (t, _) in bad.items()) >= 0.8 * len(bad)
+
+
+def test_repeated_ids_and_an_undamaged_corpus(spark, corpus):
+    assert damaged(spark, corpus) == {}
+    df = spark.createDataFrame([*corpus, (1, misread(CLEAN["fr"], "utf-8", "cp1252")), (1, CLEAN["de"]), (1, None)], "doc_id bigint, text string")
+    assert sorted(r["restored"] for r in mojibake.damaged(df).collect()) == sorted([CLEAN["fr"], CLEAN["de"]])
