@@ -103,6 +103,7 @@ def test_tokens_are_those_of_both_engines(spark):
 
 def test_share_restored(spark, data):
     """Clean documents of the table read in a wrong encoding as a whole: all are found, nearly all come back character for character."""
+    data = data.replace("sf0.001", "sf0.01")  # a source model needs more than some dozen clean documents
     docs = table(spark, data, "documents").where("lang in ('fr', 'de', 'ru')")
     dirty = {r["doc_id"] for r in mojibake.damaged_ids(table(spark, data, "documents")).collect()}
     clean = [(r["doc_id"], r["text"]) for r in docs.orderBy("doc_id").collect() if r["doc_id"] not in dirty]
@@ -112,7 +113,7 @@ def test_share_restored(spark, data):
     rows = [(r["doc_id"], r["text"]) for r in table(spark, data, "documents").collect()] + [(k, b) for k, (_, b) in bad.items()]
     got = {r["doc_id"]: r["restored"] for r in mojibake.damaged(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert bad.keys() <= got.keys()
-    assert sum(got[k] == t for k, (t, _) in bad.items()) >= 0.8 * len(bad)
+    assert sum(got[k] == t for k, (t, _) in bad.items()) >= 0.95 * len(bad)
 
 
 def test_repeated_ids_and_an_undamaged_corpus(spark, corpus):
