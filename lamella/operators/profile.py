@@ -1,11 +1,13 @@
 """A data quality profile of every column of every load, from value counts that are kept and updated by signed deltas.
 
-Method. A table of (load, column, value, count) is kept; a load adds its values with +1, taking a load back subtracts them with -1, and values whose
-counts come to nothing vanish. A re-delivered record is cancelled before it is counted, where both deliveries meet. Every figure (counts, nulls, distinct values, range and pattern violations, medians, entropy) is exact and comes from the counts, not from the rows.
+Method. A table of (load, column, value, count) is kept in the shared folder; a delivery adds its values with +1, a later delivery of the same record takes
+the former one's values back with -1, as does taking back a whole load, and values whose counts come to nothing vanish. Every figure (counts, nulls, distinct
+values, range and pattern violations, medians, entropy) is exact and comes from the kept counts, not from the rows.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 
 from lamella.operators.ordered import split_lag
 from lamella.operators.registry import registered_files
-from lamella.session import fresh_path
+from lamella.session import fresh_path, written
 
 #: The profiled columns and the slot that keeps their values exactly: l whole numbers, d binary fractions, n decimals, s text.
 COLUMNS = {
@@ -25,77 +27,86 @@ RANGES = {"c_byte": (0, 255), "c_double": (-1e6, 1e6), "c_date": (-25_567, 47_48
 PATTERN = ("c_varchar", r"^[A-Z]{3}-[0-9]{5}$")
 #: Columns whose medians are compared between loads.
 CENTRED = ("c_int", "c_double")
-#: A load is split between tasks once it holds more than one part in so many of all rows; at most so many loads can be split.
-PARTS = 1_000
+#: Rows of a load in one task; a larger load is counted in pieces.
+PIECE_ROWS = 500_000
 
 
 def _number(name: str) -> int:
     return list(COLUMNS).index(name)
 
 
-def split_loads(row_records: DataFrame, parts: int = PARTS) -> dict[int, int]:
-    """The loads that hold more than 1/parts of all rows, and into how many pieces each is split. Fewer than `parts` loads can do so, whatever the size."""
-    counts = row_records.groupBy("file_id").agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n").alias("n")).first()["n"] or 0
-    limit = max(total // parts, 100_000)
-    return {r["file_id"]: -(-r["n"] // limit) for r in counts.where(F.col("n") > limit).collect()}
+def large_loads(row_records: DataFrame, rows: int | None = None) -> DataFrame:
+    """file_id, pieces of the loads with more than `rows` rows (PIECE_ROWS)."""
+    rows = rows or PIECE_ROWS
+    return row_records.where("file_id is not null").groupBy("file_id").agg(F.expr(f"cast(ceil(count(*) / {rows}) as int)").alias("pieces")).where("pieces > 1")
 
 
-def deltas(row_records: DataFrame, names: list[str], pieces: dict[int, int] | None = None) -> DataFrame:
-    """Signed single values: file_id, c (column number), l, d, n, s, delta.
+def deltas(row_records: DataFrame, names: list[str], large: DataFrame | None = None) -> DataFrame:
+    """Signed single values: file_id, piece, c (column number), l, d, n, s, delta.
 
-    Rows are brought together by load (large loads by load and a share of their record_ids) with one shuffle. There the +1 of a delivery and the -1 of
-    the later one that replaces it cancel, so that the last stands. Rows without record_id are single. To take a load back, negate the deltas.
+    Every delivery gives +1 for each of its values, and -1 if a later one replaces it, so that the last stands; of equal times the greater hash is the last.
+    Rows without record_id are never replaced. One shuffle brings a load together, the loads of `large` (see large_loads) by load and a share of their
+    record_ids; piece is null for the others. To take a load back, negate its deltas. To bring a later delivery into counts that are kept, pass the rows
+    that it replaces along with it and take theirs back.
     """
-    spark = row_records.sparkSession
     kept = [n for n in COLUMNS if n in names]
     rows = row_records.where("file_id is not null").select("file_id", "record_id", "ingested_at", *kept)
-    if pieces:
-        split = F.broadcast(spark.createDataFrame(list(pieces.items()), "file_id bigint, _pieces bigint"))  # fewer than PARTS rows
-        rows = rows.join(split, "file_id", "inner").withColumn("_piece", F.pmod(F.xxhash64("record_id"), F.col("_pieces"))).drop("_pieces")
-        key = ["file_id", "_piece"]
+    if large is None:
+        rows = rows.withColumn("piece", F.lit(None).cast("int"))
     else:
-        key = ["file_id"]
-    rows = rows.repartition(*key)
-    turn = Window.partitionBy(*key, "record_id").orderBy("ingested_at", F.xxhash64(*kept))
-    rows = rows.withColumn("_last", F.lead(F.lit(1)).over(turn).isNull() | F.col("record_id").isNull())
-    rows = rows.where("_last")
+        rows = rows.join(large, "file_id", "left").withColumn("piece", F.expr("cast(pmod(xxhash64(record_id), pieces) as int)")).drop("pieces")
+    rows = rows.repartition("file_id", "piece")
+    turn = Window.partitionBy("file_id", "piece", "record_id").orderBy("ingested_at", F.xxhash64(*kept))
+    replaced = F.lead(F.lit(True)).over(turn).isNotNull() & F.col("record_id").isNotNull()
+    signs = F.when(replaced, F.array(F.lit(1), F.lit(-1))).otherwise(F.array(F.lit(1))).cast("array<bigint>")
+    rows = rows.withColumn("signs", signs).withColumn("delta", F.explode("signs"))
 
     def packed(name: str) -> Column:
         slot = COLUMNS[name]
         value = F.unix_date(name) if name == "c_date" else F.col(name)
         return F.struct(F.lit(_number(name)).cast("tinyint").alias("c"), *[(value if s == slot else F.lit(None)).cast(t).alias(s) for s, t in SLOTS.items()])
 
-    return rows.select("file_id", F.explode(F.array(*map(packed, kept))).alias("v")).select("file_id", "v.*", F.lit(1).cast("bigint").alias("delta"))
+    return rows.select("file_id", "piece", "delta", F.explode(F.array(*map(packed, kept))).alias("v")).select("file_id", "piece", "v.*", "delta")
 
 
 def value_counts(signed: DataFrame) -> DataFrame:
-    """file_id, c, l, d, n, s, count: the sum of the deltas of each value; values whose deltas cancel vanish."""
-    return signed.groupBy("file_id", "c", *SLOTS).agg(F.sum("delta").alias("count")).where("count <> 0")
+    """file_id, piece, c, l, d, n, s, count: the sum of the deltas of each value; values whose deltas cancel vanish."""
+    return signed.groupBy("file_id", "piece", "c", *SLOTS).agg(F.sum("delta").alias("count")).where("count <> 0")
 
 
 class ValueCounts:
-    """A value-count table kept in a folder: every load is applied as a file of signed counts, and reading sums them up.
+    """A value-count table kept in a folder: a batch of signed deltas of any loads is applied as a part of its own, and reading sums the parts up.
 
-    Applying a load twice is prevented by its name: a batch already there is left alone. `compact` folds the batches into one.
+    Applying a batch twice is prevented by its name: one already there is left alone.
     """
 
     def __init__(self, spark, path: str | None = None):
         self.spark, self.path = spark, path or fresh_path(spark, "value-counts")
+        self.fs = spark._jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
 
-    def _there(self, folder: str) -> bool:
-        jvm = self.spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
+    def _path(self, below: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{below}")
+
+    def batches(self) -> list[str]:
+        """The batches that are wholly there."""
+        if not self.fs.exists(self._path("")):
+            return []
+        names = [x.getPath().getName() for x in self.fs.listStatus(self._path(""))]
+        return sorted(n for n in names if self.fs.exists(self._path(f"{n}/_SUCCESS")))
 
     def apply(self, batch: str, signed: DataFrame) -> None:
-        folder = f"{self.path}/batch={batch}"
-        if not self._there(folder):
-            value_counts(signed).write.mode("overwrite").parquet(folder)
+        if batch not in self.batches():
+            value_counts(signed).write.mode("overwrite").option("compression", "zstd").parquet(f"{self.path}/{batch}")
 
     def counts(self) -> DataFrame:
-        stored = self.spark.read.option("basePath", self.path).parquet(f"{self.path}/batch=*")
-        return value_counts(stored.withColumn("delta", F.col("count")).drop("count", "batch"))
+        """file_id, c, l, d, n, s, count. What one batch has in one piece needs no summing up."""
+        there = self.batches()
+        stored = self.spark.read.parquet(*[f"{self.path}/{x}" for x in there])
+        key = ["file_id", "c", *SLOTS]
+        summed = lambda df: df.groupBy(*key).agg(F.sum("count").alias("count")).where("count <> 0")
+        if len(there) > 1:
+            return summed(stored)
+        return stored.where("piece is null").select(*key, "count").unionByName(summed(stored.where("piece is not null")))
 
 
 def measures(counts: DataFrame) -> DataFrame:
@@ -120,19 +131,15 @@ def measures(counts: DataFrame) -> DataFrame:
 
 
 def medians(counts: DataFrame) -> DataFrame:
-    """file_id, c, median of loads that fit in one task each: Spark's exact percentile, weighted by the counts."""
-    v = F.coalesce(F.col("d"), F.col("l").cast("double"))
-    return counts.where(v.isNotNull()).groupBy("file_id", "c").agg(F.percentile(v, 0.5, F.col("count")).alias("median"))
-
-
-def split_medians(counts: DataFrame) -> DataFrame:
-    """The same for loads of any size: counts by coarse bucket find the buckets of the middle ranks, and only their values are ranked.
+    """file_id, c, median of the CENTRED columns of loads of any size; NaN counts as the greatest value.
 
-    Buckets follow the value's logarithm, 256 to a doubling, so a load has at most some 530,000 of them.
+    Counts by coarse bucket find the buckets of the middle ranks, and only their values are ranked. Buckets follow the value's logarithm, 256 to a doubling,
+    so a load has at most some 530,000 of them.
     """
     v = F.coalesce(F.col("d"), F.col("l").cast("double"))
-    bucket = F.when(F.isnan(v), F.lit(1 << 40)).otherwise(F.floor(F.signum(v) * F.log2(F.abs(v) + 1) * 256)).cast("bigint")
-    values = counts.where(v.isNotNull()).select("file_id", "c", v.alias("v"), "count", bucket.alias("bucket"))
+    finite = F.floor(F.signum("v") * F.log2(F.abs("v") + 1) * 256)
+    bucket = F.when(F.isnan("v"), F.lit((1 << 63) - 1)).when(F.col("v") == math.inf, F.lit((1 << 63) - 2)).when(F.col("v") == -math.inf, F.lit(-(1 << 63))).otherwise(finite)
+    values = counts.where(F.col("c").isin([_number(n) for n in CENTRED])).select("file_id", "c", v.alias("v"), "count").where("v is not null").withColumn("bucket", bucket.cast("bigint"))
     key = Window.partitionBy("file_id", "c")
     before = key.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = values.groupBy("file_id", "c", "bucket").agg(F.sum("count").alias("k"))
@@ -146,22 +153,20 @@ def split_medians(counts: DataFrame) -> DataFrame:
     return near.groupBy("file_id", "c").agg(((F.max(F.when(hit(lo), F.col("v"))) + F.max(F.when(hit(hi), F.col("v")))) / 2).alias("median"))
 
 
-def profile(row_records: DataFrame) -> DataFrame:
-    """file_id, c, rows, n, distinct, out_of_range, off_pattern, entropy, median of every column of every load that has rows.
+def figures(counts: DataFrame) -> DataFrame:
+    """file_id, c, rows, n, distinct, out_of_range, off_pattern, entropy, median of every column of every load in the counts."""
+    return measures(counts).join(medians(counts), ["file_id", "c"], "left")
 
-    Loads of ordinary size are counted where one shuffle by load puts them; loads with more than a thousandth of all rows are split by record, then
-    by value. Each record counts once, with its latest delivery. NaN counts as a value, outside every range.
-    """
-    pieces = split_loads(row_records)
 
-    def both(rows: DataFrame, cut: dict[int, int] | None, middle) -> DataFrame:
-        main = measures(value_counts(deltas(rows, list(COLUMNS), cut)))
-        return main.join(middle(value_counts(deltas(rows, list(CENTRED), cut))), ["file_id", "c"], "left")
+def profile(row_records: DataFrame) -> DataFrame:
+    """The figures of every column of every load that has rows, from value counts kept in the shared folder.
 
-    if not pieces:
-        return both(row_records, None, medians)
-    large = F.col("file_id").isin(list(pieces))
-    return both(row_records.where(~large), None, medians).unionByName(both(row_records.where(large), pieces, split_medians))
+    Each record counts once, with its latest delivery. NaN counts as a value, outside every range.
+    """
+    kept = ValueCounts(row_records.sparkSession)
+    large = written(large_loads(row_records), "large-loads")  # its size is known to the join
+    kept.apply("deliveries", deltas(row_records, list(COLUMNS), large))
+    return figures(kept.counts())
 
 
 @dataclass
@@ -181,7 +186,7 @@ def issues(row_records: DataFrame, orc_files: DataFrame, column_stats: DataFrame
     Null feeds form one feed. Columns of column_stats beyond the twelve are left out.
     """
     files = registered_files(orc_files).where("file_layout = 'flat'").select("file_id", "feed_id", "written_at")
-    seen = profile(row_records)
+    seen = written(profile(row_records), "profile")  # twelve rows for each load, read three times below
     numbered = F.explode(F.array(*[F.struct(F.lit(i).cast("tinyint").alias("c"), F.lit(n).alias("column_name")) for i, n in enumerate(COLUMNS)]))
     loads = files.join(seen.where("c = 0").select("file_id"), "file_id", "left_semi")
     order = split_lag(loads, ["feed_id"], ["written_at", "file_id"], F.coalesce(F.to_date("written_at"), F.lit("0001-01-01").cast("date")), {"before": "file_id"})
