@@ -1,7 +1,8 @@
 """Far too many small files: which to join, into which containers, and the joining itself, byte for byte.
 
-Newline-delimited files and complete zstandard frames can be concatenated without parsing them: a missing last newline is supplied, a repeated header line
-is dropped, frames are copied as they are. What was written is held against the sum of the lengths, the number of records and a checksum of the pieces.
+Newline-delimited files and complete zstandard frames are concatenated without parsing them: a missing last newline is supplied, a repeated header line is
+dropped, frames are copied as they are. Every source is held against the length and checksum stated for it when it was written, and a joined file, read
+back, against the bytes that went into it.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 
 from lamella.operators.ordered import split_sum
 from lamella.operators.registry import registered_files, stripe_lengths
+from lamella.session import fresh_path, written
 
 #: Files below this many bytes of data are small.
 SMALL = 65_536
@@ -91,131 +93,199 @@ def frame_lengths(data: bytes) -> list[int]:
     return out
 
 
-def join_lines(pieces: list[bytes], header: bytes | None = None) -> tuple[bytes, int]:
-    """Newline-delimited pieces as one, and the bytes that this must have. header: a first line that each piece repeats; it is kept once."""
-    out, length = [], 0
-    for data in pieces:
-        if header is not None and data.startswith(header):
-            data = data[len(header) :]
-        if data:
-            if data[-1:] != b"\n":
-                data += b"\n"
-            out.append(data)
-            length += len(data)
-    if header is not None and pieces:
-        out.insert(0, header)
-        length += len(header)
-    return b"".join(out), length
+_filesystems: dict[tuple[str, str], tuple] = {}
 
 
-def join_frames(pieces: list[bytes]) -> tuple[bytes, int]:
-    """Pieces made of complete zstandard frames as one, and the bytes that this must have. Incomplete frames raise ValueError."""
-    length = sum(sum(frame_lengths(x)) for x in pieces)
-    return b"".join(pieces), length
+def opened(uri: str):
+    """(file system, path) of a URI or an absolute local path: local, HDFS and object stores, as Arrow knows them. Connections are kept."""
+    from urllib.parse import urlsplit
 
+    from pyarrow import fs
 
-JOINED = "container_id string, files bigint, frames bigint, bytes bigint, crc bigint, intact boolean, body binary"
+    parts = urlsplit(uri)
+    key = parts.scheme, parts.netloc
+    if key not in _filesystems:
+        system, path = fs.FileSystem.from_uri(uri)
+        _filesystems[key] = system, len(uri) - len(path)
+    system, prefix = _filesystems[key]
+    return system, uri[prefix:]
 
 
-def join_containers(pieces: DataFrame, form: str = "lines", header: bytes | None = None) -> DataFrame:
-    """Concatenates the bodies of each container: pieces(container_id, ordinal, body) to (container_id, files, frames, bytes, crc, intact, body).
+def put(uri: str, data: bytes) -> None:
+    """Writes a file under a temporary name first, so that none is ever half there."""
+    import uuid
 
-    form: `lines` or `zstd`. The plan bounds a container, so its bodies fit in one task. Null bodies count as empty files. `intact` holds if the joined
-    bytes have the length worked out from the pieces and their CRC-32 equals the one run over the pieces one by one.
+    system, path = opened(uri)
+    system.create_dir(path.rpartition("/")[0], recursive=True)
+    temporary = f"{path}.{uuid.uuid4().hex}.part"
+    with system.open_output_stream(temporary, compression=None) as out:
+        out.write(data)
+    system.move(temporary, path)
+
+
+class Damaged(ValueError):
+    """A file that isn't what it is stated to be."""
+
+
+def compact_paths(plan: DataFrame, form: str = "lines", header: bytes | None = None, chunk: int = 8 << 20) -> DataFrame:
+    """Joins files: plan(target_path, ordinal, source_path, length, crc) to (target_path, files, bytes, crc, intact, fault).
+
+    length and crc (CRC-32), where not null, are those of the source as it was written. Each target is written by one task under a temporary name, read
+    back, and renamed only if every source and the whole have the right length and CRC-32; otherwise it is removed, and `fault` says why. So a lost
+    executor leaves no half file; sources are never touched. Bytes stream through in chunks; only with form `zstd` a source is read as a whole, to check
+    that it consists of whole frames. A target is bounded by the plan, its sources are listed in one row.
     """
     if form not in ("lines", "zstd"):
         raise ValueError(f"unknown form {form!r}")
 
-    def joined(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def pieces(it):
+        """The bytes of a source, checked when the last one has gone through."""
+        system, path = opened(it["source_path"])
+        crc, length = 0, 0
+        with system.open_input_stream(path, compression=None) as f:
+            if form == "zstd":
+                data = f.read()
+                frame_lengths(data)
+                crc, length = zlib.crc32(data), len(data)
+                yield data
+            else:
+                first = True
+                while data := f.read(chunk):
+                    crc, length = zlib.crc32(data, crc), length + len(data)
+                    if first and header is not None and data.startswith(header):
+                        data = data[len(header) :]
+                    first = False
+                    yield data
+        if it["length"] is not None and it["length"] != length or it["crc"] is not None and it["crc"] != crc:
+            raise Damaged(f"{it['source_path']} has {length} bytes with checksum {crc}, not {it['length']} with {it['crc']}")
+
+    def joined(target: str, items) -> tuple[int, int]:
+        import uuid
+
+        system, path = opened(target)
+        system.create_dir(path.rpartition("/")[0], recursive=True)
+        temporary = f"{path}.{uuid.uuid4().hex}.part"
+        crc, length = 0, 0
+        try:
+            with system.open_output_stream(temporary, compression=None) as out:
+
+                def add(data: bytes) -> None:
+                    nonlocal crc, length
+                    out.write(data)
+                    crc, length = zlib.crc32(data, crc), length + len(data)
+
+                if header is not None and form == "lines":
+                    add(header)
+                for it in items:
+                    last = b""
+                    for data in pieces(it):
+                        add(data)
+                        last = data[-1:] or last
+                    if form == "lines" and last and last != b"\n":
+                        add(b"\n")
+            back, size = 0, 0
+            with system.open_input_stream(temporary, compression=None) as f:
+                while data := f.read(chunk):
+                    back, size = zlib.crc32(data, back), size + len(data)
+            if (back, size) != (crc, length):
+                raise Damaged(f"{target} came back with {size} bytes, not {length}")
+            system.move(temporary, path)
+        except ValueError:
+            system.delete_file(temporary)
+            raise
+        return length, crc
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             rows = []
-            for key, items in zip(part["container_id"], part["items"]):
-                bodies = [bytes(x["body"] or b"") for x in items]
-                data, length = join_lines(bodies, header) if form == "lines" else join_frames(bodies)
-                crc = zlib.crc32(header) if form == "lines" and header is not None and bodies else 0
-                for b in bodies:
-                    if form == "lines":
-                        b = b[len(header) :] if header is not None and b.startswith(header) else b
-                        b = b + b"\n" if b and b[-1:] != b"\n" else b
-                    crc = zlib.crc32(b, crc)
-                frames = sum(len(frame_lengths(b)) for b in bodies) if form == "zstd" else 0
-                rows.append((key, len(bodies), frames, len(data), zlib.crc32(data), len(data) == length and zlib.crc32(data) == crc, data))
-            yield pd.DataFrame(rows, columns=["container_id", "files", "frames", "bytes", "crc", "intact", "body"])
-
-    grouped = pieces.groupBy("container_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "body"))).alias("items"))
-    return grouped.mapInPandas(joined, JOINED)
-
-
-def joined_rows(plan: DataFrame, row_records: DataFrame, nested_rows: DataFrame) -> DataFrame:
-    """The plan carried out on the files' rows as newline-delimited JSON: container_id, files, records, bytes, crc, intact.
-
-    Each small file becomes one newline-delimited body without a last newline (a small file is bounded by the plan), in row order, each record once; the
-    bodies are then joined byte for byte. `intact` also holds the number of lines joined against the number of records put in. Files without rows have no body.
-    """
-    late = F.coalesce("ingested_at", F.lit("9999-12-31").cast("timestamp_ntz"))
-    flat = row_records.where("record_id is not null").select("file_id", F.col("record_id").alias("id"), F.struct("stripe_no", "row_no", "record_id").alias("at"), late.alias("late"), F.to_json(F.struct(*[c for c in row_records.columns if c != "ingested_at"])).alias("line"))
-    nested = nested_rows.where("row_id is not null").select("file_id", F.col("row_id").alias("id"), F.struct(F.lit(0).alias("stripe_no"), "row_no", F.col("row_id").alias("record_id")).alias("at"), late.alias("late"), F.to_json(F.struct("row_id", "row_no", "payload")).alias("line"))
-    small = plan.select("file_id", "feed_id", "day", "container", "written_at")
-    rows = flat.unionByName(nested).join(small, "file_id")
-    rows = rows.groupBy("file_id", "id").agg(F.min_by(F.struct("at", "line", "feed_id", "day", "container", "written_at"), F.struct("late", "line")).alias("it"))
-    bodies = rows.groupBy("file_id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("it.at", "it.line"))), lambda x: x["line"]), "\n").cast("binary").alias("body"),
-        F.count("*").alias("records"), F.first("it.feed_id").alias("feed_id"), F.first("it.day").alias("day"), F.first("it.container").alias("container"), F.first("it.written_at").alias("written_at"),
-    )
-    name = F.concat_ws("/", F.coalesce(F.col("feed_id").cast("string"), F.lit("none")), F.col("day").cast("string"), F.col("container").cast("string"))
-    pieces = bodies.select(name.alias("container_id"), F.struct("written_at", "file_id", "records").alias("ordinal"), "body")
-    done = join_containers(pieces)
-    held = pieces.groupBy("container_id").agg(F.sum("ordinal.records").alias("records"))
-    lines = F.length("body") - F.length(F.translate(F.decode("body", "UTF-8"), "\n", "").cast("binary"))
-    return done.join(held, "container_id").select("container_id", "files", "records", "bytes", "crc", (F.col("intact") & (lines == F.col("records"))).alias("intact"))
+            for target, items in zip(part["target_path"], part["items"]):
+                try:
+                    rows.append((target, len(items), *joined(target, items), True, None))
+                except ValueError as e:
+                    rows.append((target, len(items), 0, 0, False, str(e)))
+            yield pd.DataFrame(rows, columns=["target_path", "files", "bytes", "crc", "intact", "fault"])
 
+    grouped = plan.groupBy("target_path").agg(F.array_sort(F.collect_list(F.struct("ordinal", "source_path", "length", "crc"))).alias("items"))
+    # a row may stand for 128 MB of work, so few of them go to a task at once
+    return grouped.mapInPandas(run, "target_path string, files bigint, bytes bigint, crc bigint, intact boolean, fault string")
 
-def compact_paths(spark, plan: DataFrame, form: str = "lines", header: bytes | None = None, chunk: int = 8 << 20) -> DataFrame:
-    """Joins files on a file system that all executors mount: plan(target_path, ordinal, source_path) to (target_path, files, bytes, crc, intact).
 
-    Each target is written by one task to a temporary name, read back, and renamed only if its length and CRC-32 are right, so a lost executor
-    leaves no half file; sources are never touched. Bytes stream through in chunks. With form `zstd` every source is first checked for whole frames.
+def file_lines(plan: DataFrame, row_records: DataFrame, nested_rows: DataFrame) -> DataFrame:
+    """file_id, id, line: the rows of the plan's files as JSON, file by file and in row order, deliveries of one record one after another, the earliest
+    first. Each file begins with a row without a line. The plan is joined before anything is shuffled by file, and rendered after.
+    """
+    late = F.coalesce("ingested_at", F.lit("9999-12-31").cast("timestamp_ntz")).alias("late")
+    small = plan.select("file_id")
+    columns = [c for c in row_records.columns if c != "ingested_at"]
+    flat = row_records.join(small, "file_id", "left_semi").select("file_id", F.col("record_id").alias("id"), "stripe_no", "row_no", late, F.struct(*columns).alias("flat"))
+    nested = nested_rows.join(small, "file_id", "left_semi").select("file_id", F.col("row_id").alias("id"), F.lit(0).alias("stripe_no"), "row_no", late, F.struct("row_id", "row_no", "payload").alias("nested"))
+    begin = small.select("file_id", F.lit(True).alias("begin"))
+    rows = flat.unionByName(nested, allowMissingColumns=True).unionByName(begin, allowMissingColumns=True)
+    rows = rows.repartition("file_id").sortWithinPartitions("file_id", F.col("begin").asc_nulls_last(), "stripe_no", "row_no", F.col("id").asc_nulls_last(), "late")
+    return rows.select("file_id", F.col("id").cast("string").alias("id"), F.when(F.col("begin").isNull(), F.coalesce(F.to_json("flat"), F.to_json("nested"))).alias("line"))
+
+
+def written_files(plan: DataFrame, row_records: DataFrame, nested_rows: DataFrame, folder: str, form: str) -> DataFrame:
+    """Writes each file of the plan as a file of its own: file_id, source_path, length, crc, records.
+
+    The tables hold what the feeds' files contain, not the files; these stand for them, newline-delimited without a last newline, with form `zstd` as one
+    frame. Each record stands in its file once; one without an id at each delivery; a file without rows is an empty file.
     """
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import os
-        import uuid
+    def write(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import zstandard
+
+        packer = zstandard.ZstdCompressor(write_checksum=True)
+        now, before, lines = None, None, []
+
+        def closed() -> tuple:
+            data = "\n".join(lines).encode()
+            if form == "zstd" and lines:
+                data = packer.compress(data + b"\n")
+            path = f"{folder}/{now % 997}/{now}"
+            put(path, data)
+            return now, path, len(data), zlib.crc32(data), len(lines)
 
+        columns = ["file_id", "source_path", "length", "crc", "records"]
         for part in parts:
             rows = []
-            for target, items in zip(part["target_path"], part["items"]):
-                os.makedirs(os.path.dirname(target), exist_ok=True)
-                temporary = f"{target}.{uuid.uuid4().hex}.part"
-                crc, length = 0, 0
-                with open(temporary, "wb") as out:
-                    if header is not None and form == "lines":
-                        out.write(header)
-                        crc, length = zlib.crc32(header), len(header)
-                    for it in items:
-                        if form == "zstd":
-                            with open(it["source_path"], "rb") as f:
-                                frame_lengths(f.read())
-                        with open(it["source_path"], "rb") as f:
-                            if header is not None and form == "lines" and f.read(len(header)) != header:
-                                f.seek(0)
-                            last = b""
-                            while data := f.read(chunk):
-                                out.write(data)
-                                crc, length, last = zlib.crc32(data, crc), length + len(data), data[-1:]
-                            if form == "lines" and last and last != b"\n":
-                                out.write(b"\n")
-                                crc, length = zlib.crc32(b"\n", crc), length + 1
-                back, size = 0, 0
-                with open(temporary, "rb") as f:
-                    while data := f.read(chunk):
-                        back, size = zlib.crc32(data, back), size + len(data)
-                intact = (back, size) == (crc, length)
-                if intact:
-                    os.replace(temporary, target)
-                else:
-                    os.remove(temporary)
-                rows.append((target, len(items), size, back, intact))
-            yield pd.DataFrame(rows, columns=["target_path", "files", "bytes", "crc", "intact"])
-
-    grouped = plan.groupBy("target_path").agg(F.array_sort(F.collect_list(F.struct("ordinal", "source_path"))).alias("items"))
-    return grouped.mapInPandas(run, "target_path string, files bigint, bytes bigint, crc bigint, intact boolean")
+            for file_id, id_, line in zip(part["file_id"].to_numpy(), part["id"], part["line"]):
+                if file_id != now:
+                    if now is not None:
+                        rows.append(closed())
+                    now, before, lines = int(file_id), None, []
+                if line is not None and (id_ is None or id_ != before):
+                    lines.append(line)
+                    before = id_
+            yield pd.DataFrame(rows, columns=columns)
+        if now is not None:
+            yield pd.DataFrame([closed()], columns=columns)
+
+    lines = file_lines(plan, row_records, nested_rows)
+    return lines.mapInPandas(write, "file_id bigint, source_path string, length bigint, crc bigint, records bigint")
+
+
+def removed(spark, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def joined_files(plan: DataFrame, row_records: DataFrame, nested_rows: DataFrame, form: str = "zstd", keep: bool = False) -> DataFrame:
+    """The plan carried out: file_id, container_id, records, bytes, container_bytes, container_crc, intact, fault, container_path, one row per small file.
+
+    The small files are written out one by one (see written_files), each with its length and checksum, and then joined byte by byte by compact_paths.
+    The small files are removed, and with keep=False the containers too, once the result is written.
+    """
+    spark = plan.sparkSession
+    folder = fresh_path(spark, "compacted")
+    plan = written(plan, "compaction-plan")  # its size is known to the joins
+    sources = written(written_files(plan, row_records, nested_rows, f"{folder}/small", form), "small-files")
+    name = F.concat_ws("/", F.coalesce(F.col("feed_id").cast("string"), F.lit("none")), F.col("day").cast("string"), F.col("container").cast("string"))
+    laid = plan.join(sources, "file_id").withColumn("container_id", name)
+    laid = laid.withColumn("target_path", F.concat(F.lit(f"{folder}/joined/"), "container_id"))
+    done = written(compact_paths(laid.select("target_path", F.struct("written_at", "file_id").alias("ordinal"), "source_path", "length", "crc"), form), "joined-files")
+    removed(spark, f"{folder}/small")
+    if not keep:
+        removed(spark, f"{folder}/joined")
+    done = done.select("target_path", F.col("bytes").alias("container_bytes"), F.col("crc").alias("container_crc"), "intact", "fault")
+    return laid.join(done, "target_path").select("file_id", "container_id", "records", F.col("length").alias("bytes"), "container_bytes", "container_crc", "intact", "fault", F.col("target_path").alias("container_path"))
