@@ -1,15 +1,18 @@
 """Deeply nested records, shredded into columns with levels and rebuilt as related flat tables.
 
-Method. Every leaf path of a file's type tree becomes a column of (repetition level, definition level, value) triples, as in the Dremel paper (Melnik et
-al., 2010): the repetition level tells at which repeated ancestor a new element begins, the definition level how much of the path is there. The tables of
-the repeated and optional ancestors, with the link from each child to its parent, are then rebuilt from the level sequences alone.
+Method. Every leaf path of a type tree becomes a column of (repetition level, definition level, value) triples, as in the Dremel paper (Melnik et al.,
+2010): the repetition level tells at which repeated ancestor a new element begins, the definition level how much of the path is there. Records of one tree
+share their columns, a repetition level of 0 beginning each. The tables of the repeated and optional ancestors, with the link from each child to its parent,
+are then rebuilt from the level sequences alone, a whole column at a time.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -98,107 +101,188 @@ def as_typed(value, kind: str):
     return value if isinstance(value, dict) else None
 
 
-def shred(root: Node, leaves: list[Node], value) -> list[list[tuple[int, int, object]]]:
-    """For each leaf, its (repetition level, definition level, value) triples for one record."""
-    out: list[list[tuple[int, int, object]]] = [[] for _ in leaves]
+class Columns:
+    """The level columns of the records of one tree, and how to write a record into them."""
 
-    def blank(node: Node, rep: int, level: int) -> None:
-        if node.leaf >= 0:
-            out[node.leaf].append((rep, level, None))
-        for _, child in node.children:
-            blank(child, rep, level)
-
-    def write(node: Node, v, rep: int, level: int) -> None:
-        """level: what is defined above the node. The node itself is optional."""
-        v = as_typed(v, node.kind)
-        if v is None:
-            return blank(node, rep, level)
+    def __init__(self, root: Node, leaves: list[Node]):
+        self.root, self.leaves = root, leaves
+        self.rep: list[list[int]] = [[] for _ in leaves]
+        self.level: list[list[int]] = [[] for _ in leaves]
+        self.value: list[list] = [[] for _ in leaves]
+        self._write = self._writer(root)
+
+    def add(self, record) -> None:
+        self._write(record, 0, -1)
+
+    def _blank(self, node: Node) -> Callable[[int, int], None]:
+        below = []
+
+        def gather(at: Node) -> None:
+            if at.leaf >= 0:
+                below.append((self.rep[at.leaf].append, self.level[at.leaf].append, self.value[at.leaf].append))
+            for _, child in at.children:
+                gather(child)
+
+        gather(node)
+
+        def blank(rep: int, level: int) -> None:
+            for r, d, v in below:
+                r(rep)
+                d(level)
+                v(None)
+
+        return blank
+
+    def _writer(self, node: Node) -> Callable[[object, int, int], None]:
+        """Writes one occurrence of a node: its value, the repetition level, and what is defined above it. Every node is optional."""
+        kind, full, slot, again = node.kind, node.full, node.slot, node.rep + 1
+        blank = self._blank(node)
         if node.leaf >= 0:
-            out[node.leaf].append((rep, node.full, v))
-        elif node.kind == "STRUCT":
-            for name, child in node.children:
-                write(child, v.get(name), rep, node.full)
-        elif node.kind == "UNION":
-            tag = v.get("tag")
-            for i, (_, child) in enumerate(node.children):
-                if isinstance(tag, int) and not isinstance(tag, bool) and i == tag:
-                    write(child, v.get("value"), rep, node.full)
+            r, d, put = self.rep[node.leaf].append, self.level[node.leaf].append, self.value[node.leaf].append
+
+            def leaf(v, rep, level):
+                v = as_typed(v, kind)
+                r(rep)
+                d(level if v is None else full)
+                put(v)
+
+            return leaf
+        children = [(name, self._writer(child)) for name, child in node.children]
+        if kind == "STRUCT":
+
+            def struct(v, rep, level):
+                if type(v) is not dict and (v := as_typed(v, kind)) is None:
+                    return blank(rep, level)
+                for name, write in children:
+                    write(v.get(name), rep, full)
+
+            return struct
+        if kind == "UNION":
+            blanks = [self._blank(child) for _, child in node.children]
+
+            def union(v, rep, level):
+                if (v := as_typed(v, kind)) is None:
+                    return blank(rep, level)
+                tag = v.get("tag")
+                tag = tag if isinstance(tag, int) and not isinstance(tag, bool) else -1
+                for i, (_, write) in enumerate(children):
+                    if i == tag:
+                        write(v.get("value"), rep, full)
+                    else:
+                        blanks[i](rep, full)
+
+            return union
+        one = children[0][1]
+
+        def repeated(v, rep, level):
+            if type(v) is not list or kind == "MAP":
+                v = as_typed(v, kind)
+            if v is None:
+                return blank(rep, level)
+            if not v:
+                return blank(rep, full)
+            for x in v:
+                if kind == "LIST":
+                    one(x, rep, slot)
                 else:
-                    blank(child, rep, node.full)
-        elif not v:
-            for _, child in node.children:
-                blank(child, rep, node.full)
-        else:
-            for i, x in enumerate(v):
-                r = rep if i == 0 else node.rep + 1
-                if node.kind == "LIST":
-                    for _, child in node.children:
-                        write(child, x, r, node.slot)
-                else:
-                    pair = x if isinstance(x, dict) else {}
-                    for name, child in node.children:
-                        write(child, pair.get(name), r, node.slot)
-        return None
+                    pair = x if type(x) is dict else {}
+                    for name, write in children:
+                        write(pair.get(name), rep, slot)
+                rep = again
 
-    write(root, value, 0, -1)
-    return out
+        return repeated
 
 
-def children_of(root: Node, levels: list[list[tuple[int, int]]]) -> list[tuple[str, str]]:
-    """(parent path, child path) of every child, from the leaves' (repetition, definition) sequences alone.
+def shred(root: Node, leaves: list[Node], value) -> list[list[tuple[int, int, object]]]:
+    """For each leaf, its (repetition level, definition level, value) triples for one record."""
+    columns = Columns(root, leaves)
+    columns.add(value)
+    return [list(zip(*x)) for x in zip(columns.rep, columns.level, columns.value)]
+
 
-    A node's own sequence is that of its first leaf, cut to the entries at which one of its occurrences begins: those whose repetition level is no deeper
-    than the node. Occurrences of siblings come in the same order, so walking each leaf once finds the index of every element.
+class Rebuilt:
+    """The rows of the related tables, from level columns alone.
+
+    A leaf's entries at which an occurrence of one of its ancestors begins are those whose repetition level is no deeper than the ancestor; its definition
+    level there tells whether the occurrence exists. The place of an element is the number of entries of its level since one of a lower level.
     """
-    out: list[tuple[str, str]] = []
-    width: dict[int, tuple[int, int]] = {}
 
-    def spread(node: Node) -> tuple[int, int]:
-        if node.leaf >= 0:
-            width[id(node)] = (node.leaf, node.leaf)
-        else:
-            spans = [spread(c) for _, c in node.children]
-            width[id(node)] = (spans[0][0], spans[-1][1])
-        return width[id(node)]
-
-    spread(root)
-
-    def walk(node: Node, bounds: list[tuple[int, int]], path: str, parent: str, element: bool, variant: bool = False) -> None:
-        """bounds: for each leaf below the node, the range of its entries that belong to this one occurrence."""
-        lo = width[id(node)][0]
-        d = levels[lo][bounds[0][0]][1]
-        if d < node.full:
-            return
-        if node.kind in ("STRUCT", "UNION") and path != "$":
-            if not element:
-                out.append((parent, path))
-            parent = path
-        if node.leaf >= 0:
-            return
-        if node.kind in ("STRUCT", "UNION"):
-            for _, child in node.children:
-                a, b = width[id(child)]
-                walk(child, bounds[a - lo : b - lo + 1], path + child.step, parent, False)
-            return
-        if d < node.slot:
-            return
-        # a new element begins wherever the repetition level is that of this node
-        cuts = []
-        for k, (s, e) in enumerate(bounds):
-            seq = levels[lo + k]
-            at = [s, *[j for j in range(s + 1, e) if seq[j][0] == node.rep + 1], e]
-            cuts.append(at)
-        for i in range(len(cuts[0]) - 1):
-            here = f"{path}[{i}]"
-            out.append((parent, here))
+    def __init__(self, root: Node, rep: list, level: list):
+        self.root = root
+        self.rep = [np.asarray(x, dtype="int32") for x in rep]
+        self.level = [np.asarray(x, dtype="int32") for x in level]
+        self.record: dict[int, np.ndarray] = {}
+        self.places: dict[tuple[int, int], np.ndarray] = {}
+        #: (record of each row, parent path of each row, path of each row, table)
+        self.rows: list[tuple[np.ndarray, list[str], list[str], str]] = []
+        #: (leaf, entries, path of the row that each belongs to, column)
+        self.cells: list[tuple[int, np.ndarray, list[str], str]] = []
+
+    def _record(self, leaf: int) -> np.ndarray:
+        if leaf not in self.record:
+            self.record[leaf] = np.cumsum(self.rep[leaf] == 0) - 1
+        return self.record[leaf]
+
+    def _place(self, leaf: int, r: int) -> np.ndarray:
+        """For each entry of a leaf, the place of its element in the r-th repeated ancestor."""
+        if (leaf, r) not in self.places:
+            rep = self.rep[leaf]
+            many = np.cumsum(rep == r)
+            fresh = np.maximum.accumulate(np.where(rep < r, np.arange(len(rep)), 0))
+            self.places[leaf, r] = many - many[fresh]
+        return self.places[leaf, r]
+
+    def _paths(self, leaf: int, at: np.ndarray, form: str, depth: int) -> list[str]:
+        if not depth:
+            return [form % ()] * len(at)
+        return [form % x for x in zip(*[self._place(leaf, r)[at].tolist() for r in range(1, depth + 1)])]
+
+    def _emit(self, leaf: int, at: np.ndarray, parent: tuple[str, int], path: tuple[str, int], table: str) -> None:
+        if len(at):
+            self.rows.append((self._record(leaf)[at], self._paths(leaf, at, *parent), self._paths(leaf, at, *path), table))
+
+    def walk(self, with_cells: bool = False) -> Rebuilt:
+        first: dict[int, int] = {}
+
+        def lead(node: Node) -> int:
+            if node.leaf < 0:
+                each = [lead(c) for _, c in node.children]
+            first[id(node)] = node.leaf if node.leaf >= 0 else each[0]
+            return first[id(node)]
+
+        def go(node: Node, path: tuple[str, int], parent: tuple[str, int], table: str, owner: str, column: str, element: bool) -> None:
+            """path, parent: a format and the number of places in it. owner: the table that the node's values belong to, as `column`."""
+            leaf = first[id(node)]
+            rep, level = self.rep[leaf], self.level[leaf]
+            if node.kind in ("STRUCT", "UNION") and node is not self.root:
+                if not element:
+                    self._emit(leaf, np.flatnonzero((rep <= node.rep) & (level >= node.full)), parent, path, table)
+                parent, owner, column = path, table, ""
+            if node.leaf >= 0:
+                if with_cells:
+                    at = np.flatnonzero(level >= node.full)
+                    self.cells.append((leaf, at, self._paths(leaf, at, *parent), column))
+                return
+            if node.kind in ("STRUCT", "UNION"):
+                for name, child in node.children:
+                    step = child.step if node.kind == "STRUCT" else f".value<{name}>"
+                    go(child, (path[0] + child.step.replace("%", "%%"), path[1]), parent, table + step, owner, (column + step).lstrip("."), False)
+                return
+            here, inside = (path[0] + "[%d]", path[1] + 1), table + "[]"
+            self._emit(leaf, np.flatnonzero((rep <= node.rep + 1) & (level >= node.slot)), parent, here, inside)
             for _, child in node.children:
-                a, b = width[id(child)]
-                own = [(cuts[k][i], cuts[k][i + 1]) for k in range(a - lo, b - lo + 1)]
-                walk(child, own, here + child.step, here, node.kind == "LIST")
+                go(child, (here[0] + child.step.replace("%", "%%"), here[1]), here, inside + child.step, inside, child.step.lstrip("."), node.kind == "LIST")
+
+        if self.rep and len(self.rep[0]):
+            lead(self.root)
+            go(self.root, ("$", 0), ("$", 0), "$", "$", "", False)
+        return self
 
-    if levels and all(levels):
-        walk(root, [(0, len(x)) for x in levels], "$", "$", False)
-    return out
+
+def children_of(root: Node, levels: list[list[tuple[int, int]]]) -> list[tuple[str, str]]:
+    """(parent path, child path) of every child, from the leaves' (repetition, definition) sequences alone."""
+    built = Rebuilt(root, [[r for r, _ in x] for x in levels], [[d for _, d in x] for x in levels]).walk()
+    return [link for _, parents, paths, _ in built.rows for link in zip(parents, paths)]
 
 
 def leaf_names(root: Node) -> list[str]:
@@ -227,70 +311,104 @@ def complete_json(text):
 
 
 def with_trees(nested_rows: DataFrame, file_types: DataFrame) -> DataFrame:
-    """row_id, payload, tree: each row once (the earliest delivery; a null ingested_at counts as the latest) with its file's type tree.
+    """row_id, payload, tree: each row once (the earliest delivery; a null ingested_at counts as the latest) with its file's type tree as JSON.
 
     The join is on file_id; a file with a third of all rows is split by adaptive skew handling, as nothing after it needs the partitioning.
     """
     late = F.lit("9999-12-31").cast("timestamp_ntz")
     once = nested_rows.where("row_id is not null").groupBy("row_id").agg(F.min_by(F.struct("file_id", "payload"), F.struct(F.coalesce("ingested_at", late), "payload")).alias("it"))
     rows = once.select("row_id", F.col("it.file_id").alias("file_id"), F.col("it.payload").alias("payload"))
-    return rows.join(type_trees(file_types), "file_id").select("row_id", "payload", "tree")
-
-
-LEVELS = "row_id bigint, leaves array<struct<path:string,rep:array<int>,def:array<int>,value:array<string>>>, tree array<struct<type_id:int,kind:string,subtypes:array<int>,field_names:array<string>>>"
-
-
-def _planned(cache: dict, tree):
-    key = tuple((x["type_id"], x["kind"], tuple(x["subtypes"]), tuple(x["field_names"])) for x in tree)
-    if key not in cache:
-        if len(cache) > 4096:
-            cache.clear()
-        cache[key] = plan_tree(tree)
-    return cache[key]
+    trees = type_trees(file_types).select("file_id", F.to_json("tree").alias("tree"))
+    return rows.join(trees, "file_id").select("row_id", "payload", "tree")
 
 
-def _shred(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    cache: dict = {}
+def _by_tree(parts: Iterator[pd.DataFrame]) -> Iterator[tuple[list[int], Columns]]:
+    """Records of one tree within a batch, shredded: (their row_ids, columns)."""
+    plans: dict[str, tuple[Node, list[Node]] | None] = {}
     for part in parts:
-        rows = []
-        for row_id, payload, tree in zip(part["row_id"], part["payload"], part["tree"]):
-            got, plan = complete_json(payload), _planned(cache, tree)
-            if got is None or plan is None:
-                continue
-            columns = shred(*plan, got[0])
-            text = lambda v: v if v is None or isinstance(v, str) else json.dumps(v)
-            leaves = [
-                {"path": p, "rep": [t[0] for t in c], "def": [t[1] for t in c], "value": [text(t[2]) for t in c]} for p, c in zip(leaf_names(plan[0]), columns)
-            ]
-            rows.append((row_id, leaves, tree))
-        yield pd.DataFrame(rows, columns=["row_id", "leaves", "tree"])
+        groups = defaultdict(lambda: ([], []))
+        for row_id, payload, tree in zip(part["row_id"].tolist(), part["payload"], part["tree"]):
+            if (got := complete_json(payload)) is not None:
+                ids, values = groups[tree]
+                ids.append(row_id)
+                values.append(got[0])
+        for tree, (ids, values) in groups.items():
+            if tree not in plans:
+                if len(plans) > 4096:
+                    plans.clear()
+                plans[tree] = plan_tree([{"kind": None, **x} for x in json.loads(tree)])
+            if plans[tree] is not None:
+                columns = Columns(*plans[tree])
+                for value in values:
+                    columns.add(value)
+                yield ids, columns
+
+
+LEVELS = "row_id bigint, leaves array<struct<path:string,rep:array<int>,def:array<int>,value:array<string>>>"
+LINKS = "row_id bigint, parent_path string, child_path string"
+TABLES = "row_id bigint, table string, parent_path string, child_path string, columns map<string,string>"
+
+
+def _text(v):
+    return v if v is None or isinstance(v, str) else json.dumps(v)
+
+
+def _levels(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for ids, columns in _by_tree(parts):
+        rows = [(i, []) for i in ids]
+        for path, rep, level, value in zip(leaf_names(columns.root), columns.rep, columns.level, columns.value):
+            cuts = [*np.flatnonzero(np.asarray(rep) == 0).tolist(), len(rep)]
+            for (_, leaves), s, e in zip(rows, cuts, cuts[1:]):
+                leaves.append({"path": path, "rep": rep[s:e], "def": level[s:e], "value": [_text(v) for v in value[s:e]]})
+        yield pd.DataFrame(rows, columns=["row_id", "leaves"])
 
 
 def shredded(nested_rows: DataFrame, file_types: DataFrame) -> DataFrame:
-    """row_id, leaves (for each leaf path its levels and values), tree: one row per readable payload.
+    """row_id, leaves (for each leaf path its levels and values): one row per readable payload.
 
     A payload that is null, empty or not complete JSON has no row, nor has one whose file has no type tree. Composite values count in the shape that the
     type asks for; members that the type doesn't name are left out. Work on a row is bounded by its payload.
     """
-    return with_trees(nested_rows, file_types).mapInPandas(_shred, LEVELS)
+    return with_trees(nested_rows, file_types).mapInPandas(_levels, LEVELS)
 
 
-def _rebuild(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    cache: dict = {}
-    for part in parts:
-        ids: list[int] = []
-        links: list[tuple[str, str]] = []
-        for row_id, leaves, tree in zip(part["row_id"], part["leaves"], part["tree"]):
-            plan = _planned(cache, tree)
-            found = children_of(plan[0], [list(zip(x["rep"], x["def"])) for x in leaves])
-            ids += [row_id] * len(found)
-            links += found
-        yield pd.DataFrame({"row_id": pd.Series(ids, dtype="int64"), "parent_path": [a for a, _ in links], "child_path": [b for _, b in links]})
-
-
-def children(levels: DataFrame) -> DataFrame:
-    """row_id, parent_path, child_path of every child, rebuilt from the levels of `shredded`."""
-    return levels.mapInPandas(_rebuild, "row_id bigint, parent_path string, child_path string")
+def _links(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for ids, columns in _by_tree(parts):
+        row_id = np.asarray(ids, dtype="int64")
+        rows = Rebuilt(columns.root, columns.rep, columns.level).walk().rows
+        if rows:
+            parents, paths = [x for r in rows for x in r[1]], [x for r in rows for x in r[2]]
+            yield pd.DataFrame({"row_id": row_id[np.concatenate([r[0] for r in rows])], "parent_path": parents, "child_path": paths})
+
+
+def children(nested_rows: DataFrame, file_types: DataFrame) -> DataFrame:
+    """row_id, parent_path, child_path of every child, rebuilt from the levels of its payload, under the terms of `shredded`."""
+    return with_trees(nested_rows, file_types).mapInPandas(_links, LINKS)
+
+
+def _tables(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for ids, columns in _by_tree(parts):
+        built = Rebuilt(columns.root, columns.rep, columns.level).walk(with_cells=True)
+        held = {(i, "$"): {} for i in range(len(ids))}
+        rows = [(i, "$", None, "$") for i in range(len(ids))]
+        for record, parents, paths, table in built.rows:
+            record = record.tolist()
+            rows += zip(record, [table] * len(record), parents, paths)
+            held |= {k: {} for k in zip(record, paths)}
+        for leaf, at, owners, column in built.cells:
+            value = columns.value[leaf]
+            for record, owner, k in zip(built._record(leaf)[at].tolist(), owners, at.tolist()):
+                held[record, owner][column] = _text(value[k])
+        yield pd.DataFrame([(ids[i], table, parent, path, held[i, path]) for i, table, parent, path in rows], columns=["row_id", "table", "parent_path", "child_path", "columns"])
+
+
+def flat_tables(nested_rows: DataFrame, file_types: DataFrame) -> DataFrame:
+    """The related flat tables: row_id, table, parent_path, child_path, columns, one row for each record (table and child_path `$`, no parent) and child.
+
+    table is the path of a child without its places, as $.a[].value.b; filter on it for one table. columns holds the non-null values of the leaves whose
+    nearest child (else the record) the row is, named by the path from it; an element that is itself a leaf has the name "". Terms as for `shredded`.
+    """
+    return with_trees(nested_rows, file_types).mapInPandas(_tables, TABLES)
 
 
 def leaf_values(levels: DataFrame) -> DataFrame:

@@ -36,7 +36,7 @@ def p1_unified(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Every child row of the nested payloads with its parent, rebuilt from levels."""
-    return shredding.children(shredding.shredded(table(spark, d, "nested_rows"), table(spark, d, "file_types")))
+    return shredding.children(table(spark, d, "nested_rows"), table(spark, d, "file_types"))
 
 
 def p2_leaves(spark: SparkSession, d: str) -> DataFrame:
@@ -44,6 +44,12 @@ def p2_leaves(spark: SparkSession, d: str) -> DataFrame:
     return shredding.leaf_values(shredding.shredded(table(spark, d, "nested_rows"), table(spark, d, "file_types")))
 
 
+def p2_tables(spark: SparkSession, d: str) -> DataFrame:
+    """The related flat tables: every record and child row with its values and its parent."""
+    it = shredding.flat_tables(table(spark, d, "nested_rows"), table(spark, d, "file_types"))
+    return it.withColumn("columns", F.to_json("columns"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Columns of loads that are out of order."""
     return profile.issues(table(spark, d, "row_records"), table(spark, d, "orc_files"), table(spark, d, "column_stats"))
@@ -57,14 +63,16 @@ def p3_profile(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    """The files that the compaction plan joins with others."""
-    return compaction.compaction_plan(table(spark, d, "orc_files"), table(spark, d, "stripes")).select("file_id")
+    """The small files that stand in a joined file: planned, joined frame by frame, and found intact."""
+    plan = compaction.compaction_plan(table(spark, d, "orc_files"), table(spark, d, "stripes"))
+    return compaction.joined_files(plan, table(spark, d, "row_records"), table(spark, d, "nested_rows")).where("intact").select("file_id")
 
 
 def p4_joined(spark: SparkSession, d: str) -> DataFrame:
-    """The plan carried out on the rows of the small files as newline-delimited JSON: one row per container, checked byte for byte."""
+    """What the joined files hold, the small ones being newline-delimited: one row per container."""
     plan = compaction.compaction_plan(table(spark, d, "orc_files"), table(spark, d, "stripes"))
-    return compaction.joined_rows(plan, table(spark, d, "row_records"), table(spark, d, "nested_rows"))
+    each = compaction.joined_files(plan, table(spark, d, "row_records"), table(spark, d, "nested_rows"), "lines")
+    return each.groupBy("container_id").agg(F.count("*").alias("files"), F.sum("records").alias("records"), F.expr("max(container_bytes) = sum(bytes) + count_if(records > 0) and every(intact)").alias("intact"))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -73,7 +81,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = reference.QUERIES | {
-    f.__name__: f for f in (p1_found, p1_lifespans, p1_casts, p1_unified, p2_found, p2_leaves, p3_found, p3_profile, p4_found, p4_joined, p5_found)
+    f.__name__: f for f in (p1_found, p1_lifespans, p1_casts, p1_unified, p2_found, p2_leaves, p2_tables, p3_found, p3_profile, p4_found, p4_joined, p5_found)
 }
 #: Rows through a file and out as JSON lines.
 FLAGSHIP = "json_lineitem"
