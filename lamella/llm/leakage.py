@@ -1,12 +1,14 @@
-"""Evaluation texts that leaked into training text.
+"""Evaluation texts that leaked into training text, by latent semantic retrieval.
 
-Documents are read into the numbers of those of their words that occur in any item. Cases are found exactly: every run of RUN words of every document is
-looked up among the runs of all items, and the item's words under the shared runs are counted.
+Documents are read into the numbers of those of their words that occur in any item. A randomised SVD of the TF-IDF passages of all documents gives a
+latent space: every task multiplies its own passages with a random sketch, and only sums of vocabulary times sketch width are gathered. Passages are then
+searched by cosine at two scales, and what comes near is checked on the words themselves.
 
-The report adds what is merely near, by latent semantic retrieval. Passages are windows of two blocks of words. The Gram matrix of the TF-IDF passages is
-summed up over all documents, and a randomised SVD of it gives the latent space. Every passage is projected and compared with every item by cosine; what
-comes near is checked by longest common subsequence and by the item's telling words. No case depends on the cosine, which a long item or short separate
-runs push below any useful threshold.
+Short passages are RUN words long. A case consists of runs that document and item share; a shared run is a short passage of both with the same words,
+hence the same latent vector, so its cosine is 1 whatever the space. The search at this scale asks for cosine 1 and therefore loses no case; the check
+that follows counts the item's words under the runs found. Long passages are two blocks of words, compared with whole items; they find what is merely
+near and serve the report only, since a long item or short separate runs push their cosine below any useful threshold. Longest common subsequence and
+the item's telling words tell a paraphrase from what is alike.
 """
 
 from __future__ import annotations
@@ -40,18 +42,20 @@ INVISIBLE = re.compile("[\u00ad\u200b-\u200d\u2060\ufeff]")
 
 #: Words in a block; a passage is two blocks, so that any run of up to a block lies within one passage.
 BLOCK = 12
-#: Dimensions of the latent space, and those more in which the randomised range is sought; steps of power iteration.
-LATENT, OVERSAMPLING, POWER = 96, 16, 4
+#: Dimensions of the latent space, and those more in which the randomised range is sought.
+LATENT, OVERSAMPLING = 96, 16
 #: Weight of the items' own passages in the Gram matrix against all passages of the corpus: without them, words that are rare in the corpus have no axis.
 ITEM_WEIGHT = 10.0
-#: Cosine from which a passage is a candidate.
+#: Cosine from which a long passage is a candidate.
 NEAR = 0.4
+#: By how much the latent vectors of equal short passages may differ, as a share of their length: they are summed up in different orders.
+ROUNDING = 1e-9
 #: Consecutive words that make a run, and the share of the item's words that must recur in runs.
 RUN, SHARE = 6, 0.5
 #: Words of documents, and blocks, that are worked on at once; they bound memory, not results.
 SLICE_WORDS, SEGMENTS = 300_000, 8_192
-#: Items searched together; their words bound the vocabulary, the Gram matrix and what is sent to the executors.
-ITEM_BLOCK = 1_000
+#: Items searched together; their words bound the vocabulary, the sketch and what is sent to the executors.
+ITEM_BLOCK = 5_000
 
 
 def words(text: str, known=frozenset()) -> list[str]:
@@ -93,20 +97,27 @@ class Items:
     latent: np.ndarray | None = None
     foreign: float = 0.0
     least: float = 0.0
-
-
-def run_hashes(seq: np.ndarray, length: int = RUN) -> np.ndarray:
-    """A 64-bit number for every run of `length` consecutive words."""
-    if len(seq) < length:
-        return np.zeros(0, dtype="uint64")
-    x = seq.astype("uint64") + np.uint64(1)
-    out = np.zeros(len(seq) - length + 1, dtype="uint64")
-    for j in range(length):
-        out = (out * np.uint64(0x9E3779B97F4A7C15)) ^ (x[j : len(x) - length + 1 + j] * np.uint64(0xC2B2AE3D27D4EB4F))
+    #: The latent vector of each word; a random direction's part of it; the short passages of all items by their part in that direction, and their vectors.
+    rows: np.ndarray | None = None
+    mark: np.ndarray | None = None
+    marks: np.ndarray | None = None
+    short: np.ndarray | None = None
+
+
+def run_hashes(runs: np.ndarray) -> np.ndarray:
+    """A 64-bit number for every row of consecutive words."""
+    out = np.zeros(len(runs), dtype="uint64")
+    for j in range(runs.shape[1]):
+        out = (out * np.uint64(0x9E3779B97F4A7C15)) ^ ((runs[:, j].astype("uint64") + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F))
         out ^= out >> np.uint64(29)
     return out
 
 
+def runs_of(seq: np.ndarray) -> np.ndarray:
+    """All runs of RUN consecutive words, one a row."""
+    return np.lib.stride_tricks.sliding_window_view(seq, RUN) if len(seq) >= RUN else np.zeros((0, RUN), dtype=seq.dtype)
+
+
 def read_items(rows: list[tuple[int, str]]) -> Items:
     """Items without words are left out."""
     vocabulary: dict[str, int] = {}
@@ -116,7 +127,7 @@ def read_items(rows: list[tuple[int, str]]) -> Items:
         if item_id is not None and seq:
             ids.append(item_id)
             sequences.append(np.array(seq, dtype="int32"))
-    out = Items(ids, vocabulary, sequences, [run_hashes(s) for s in sequences])
+    out = Items(ids, vocabulary, sequences, [run_hashes(runs_of(s)) for s in sequences])
     sizes = [len(r) for r in out.runs]
     every = np.concatenate([np.zeros(0, dtype="uint64"), *out.runs])
     order = np.argsort(every, kind="stable")
@@ -182,49 +193,73 @@ def distinct(key: np.ndarray) -> np.ndarray:
     return key[np.r_[True, key[1:] != key[:-1]]] if len(key) else key
 
 
-def gram(found: DataFrame, size: int) -> tuple[np.ndarray, int]:
-    """How many blocks of all documents hold each pair of words, and the number of blocks. Executors send sums only: at most size² numbers each."""
+def random_matrix(size: int, dimensions: int = LATENT, seed: int = 11) -> np.ndarray:
+    return np.random.default_rng(seed).standard_normal((size, dimensions + OVERSAMPLING))
+
+
+def multiplied(b: np.ndarray, w: np.ndarray, omega: np.ndarray, out: np.ndarray) -> None:
+    """Adds AᵀAΩ to `out`, A being the 0/1 matrix of blocks and their words: distinct pairs in order."""
+    begin = np.flatnonzero(np.r_[True, b[1:] != b[:-1]]) if len(b) else np.zeros(0, dtype="int64")
+    ends = np.r_[begin[1:], len(b)]
+    for s in range(0, len(begin), SEGMENTS):
+        lo, hi = begin[s], ends[min(s + SEGMENTS, len(begin)) - 1]
+        inside = begin[s : s + SEGMENTS] - lo
+        z = np.add.reduceat(omega[w[lo:hi]], inside, axis=0)
+        block = np.repeat(np.arange(len(inside)), np.diff(np.r_[inside, hi - lo]))
+        order = np.argsort(w[lo:hi], kind="stable")
+        ordered = w[lo:hi][order]
+        new = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
+        out[ordered[new]] += np.add.reduceat(z[block[order]], new, axis=0)
+
+
+def sketch(found: DataFrame, size: int, omega: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """(AᵀAΩ, number of blocks with each word, number of blocks) of the blocks of all documents, in one pass over them.
+
+    A task sends its sum, vocabulary times sketch width; the sums are combined before and after a shuffle, and the driver gets one of that size.
+    """
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.stat import Summarizer
+
+    small = omega.astype("float32")
 
     def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, n = np.zeros(size * size, dtype="int64"), 0
+        total, held, n = np.zeros(omega.shape), np.zeros(size, dtype="int64"), 0
         for part in slices(parts):
             place, word, _, width = blocks_of(part)
-            where = place // BLOCK
             n += int((width > 0).sum())
-            key = distinct(where * size + word)
-            b, w = key // size, key % size
-            begin = np.flatnonzero(np.r_[True, b[1:] != b[:-1]]) if len(b) else np.zeros(0, dtype="int64")
-            rank = np.arange(len(b)) - np.repeat(begin, np.diff(np.r_[begin, len(b)]))
-            for step in range(int(rank.max()) + 1 if len(rank) else 0):
-                # pairs that lie `step` places apart within a block
-                left = np.flatnonzero(rank >= step)
-                total += np.bincount(w[left - step] * size + w[left], minlength=size * size)
-        cells = np.flatnonzero(total)
-        yield pd.DataFrame({"cell": np.r_[cells, -1], "k": np.r_[total[cells], n]})
-
-    sums = found.mapInPandas(count, "cell bigint, k bigint").groupBy("cell").agg(F.sum("k").alias("k")).toPandas()
-    n = int(sums.loc[sums["cell"] == -1, "k"].sum())
-    sums = sums[sums["cell"] >= 0]
-    out = np.zeros(size * size)
-    out[sums["cell"].to_numpy(dtype="int64")] = sums["k"]
-    out = out.reshape(size, size)
-    return out + np.triu(out, 1).T, n
-
-
-def latent_space(g: np.ndarray, own: np.ndarray, n: int, dimensions: int = LATENT, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
-    """(idf, basis): right singular vectors of the TF-IDF passages by a randomised range finder with power iteration (Halko, Martinsson, Tropp, 2011).
-
-    g and own are the Gram matrices of the corpus and of the items, n the number of blocks in the corpus.
+            key = distinct(place // BLOCK * size + word)
+            held += np.bincount(key % size, minlength=size)
+            multiplied(key // size, key % size, small, total)
+        there = np.flatnonzero(held)
+        yield pd.DataFrame({"word": np.r_[there, -1], "held": np.r_[held[there], n], "row": [*total[there], np.zeros(omega.shape[1])]})
+
+    sums = found.mapInPandas(count, "word int, held bigint, row array<double>").groupBy("word")
+    sums = sums.agg(F.sum("held").alias("held"), Summarizer.sum(array_to_vector(F.col("row"))).alias("row"))
+    out, held, n = np.zeros(omega.shape), np.zeros(size), 0
+    for r in sums.toLocalIterator():
+        if r["word"] < 0:
+            n = r["held"]
+        else:
+            out[r["word"]], held[r["word"]] = r["row"].toArray(), r["held"]
+    return out, held, n
+
+
+def latent_space(y: np.ndarray, held: np.ndarray, own_y: np.ndarray, own: np.ndarray, n: int, omega: np.ndarray, dimensions: int = LATENT) -> tuple[np.ndarray, np.ndarray]:
+    """(idf, basis): right singular vectors of the TF-IDF passages from a one-pass sketch of their Gram matrix (Nyström; Halko, Martinsson, Tropp, 2011).
+
+    y and own_y are the sketches of the corpus and of the items with the test matrix omega, held and own the words' numbers of blocks, n all blocks of the
+    corpus. With D the diagonal of idf, D y is the sketch of the weighted Gram matrix with the test matrix D⁻¹ omega, so weights need no pass of their own.
     """
-    idf = np.log((n + 1.0) / (np.diag(g) + 1.0))
-    scaled = lambda x: x * idf[:, None] * idf[None, :] / max(1e-9, float((np.diag(x) * idf**2).sum()))
-    a = scaled(g) + ITEM_WEIGHT * scaled(own)
-    k = min(len(idf), dimensions + OVERSAMPLING)
-    q = np.linalg.qr(a @ np.random.default_rng(seed).standard_normal((len(idf), k)))[0]
-    for _ in range(POWER):
-        q = np.linalg.qr(a @ q)[0]
-    values, vectors = np.linalg.eigh(q.T @ a @ q)
-    return idf, (q @ vectors[:, np.argsort(-values)[:dimensions]]).astype("float32")
+    idf = np.maximum(np.log((n + 1.0) / (held + 1.0)), 0.05)
+    share = lambda a, k: idf[:, None] * a / max(1e-9, float((k * idf**2).sum()))
+    y = share(y, held) + ITEM_WEIGHT * share(own_y, own)
+    core = (omega / idf[:, None]).T @ y
+    values, vectors = np.linalg.eigh((core + core.T) / 2)
+    kept = values > max(values[-1], 0.0) * 1e-10
+    if not kept.any():
+        return idf, np.zeros((len(idf), 1))
+    u, size, _ = np.linalg.svd(y @ (vectors[:, kept] / np.sqrt(values[kept])), full_matrices=False)
+    return idf, u[:, :dimensions][:, size[:dimensions] > size[0] * 1e-9]
 
 
 def least_mass(items: Items) -> float:
@@ -244,21 +279,59 @@ def least_mass(items: Items) -> float:
 
 
 def fit(items: Items, found: DataFrame) -> Items:
+    """The latent space of all documents, and the items in it."""
     size = len(items.vocabulary)
-    g, n = gram(found, size)
-    own = np.zeros((size, size))
+    omega = random_matrix(size)
+    y, held, n = sketch(found, size, omega)
+    own_y, own = np.zeros(omega.shape), np.zeros(size)
     for seq in items.sequences:
-        for i in range(0, len(seq), BLOCK):
-            u = np.unique(seq[i : i + BLOCK])
-            own[np.ix_(u, u)] += 1
-    items.idf, items.basis = latent_space(g, own, n)
+        key = distinct(np.arange(len(seq)) // BLOCK * size + seq)
+        multiplied(key // size, key % size, omega, own_y)
+        own += np.bincount(key % size, minlength=size)
+    items.idf, basis = latent_space(y, held, own_y, own, n, omega)
+    items.basis = basis.astype("float32")
     z = np.stack([np.minimum(np.bincount(s, minlength=size), 2) * items.idf for s in items.sequences]).astype("float32") @ items.basis
     items.latent = z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)
     items.foreign = float(np.log(n + 1.0)) ** 2
     items.least = least_mass(items)
+    items.rows = basis * items.idf[:, None]
+    items.mark = items.rows @ np.random.default_rng(5).standard_normal(items.rows.shape[1])
+    at = np.concatenate([np.zeros((0, RUN), dtype="int64"), *map(runs_of, items.sequences)])
+    at = np.unique(np.sort(at, axis=1), axis=0)  # of passages with the same words one will do
+    marks = items.mark[at].sum(axis=1)
+    order = np.argsort(marks)
+    items.marks, items.short = marks[order], at[order]
     return items
 
 
+def short_candidates(word: np.ndarray, run: np.ndarray, items: Items) -> np.ndarray:
+    """Which of the short passages that begin at `run` have cosine 1 with a short passage of an item.
+
+    Equal vectors have equal parts in any direction, so item passages are looked up by their part in one; those found are compared as a whole.
+    """
+    if not len(items.marks) or not len(run):
+        return run[:0]
+    mark = items.mark[word]
+    parts = mark[run].copy()
+    for j in range(1, RUN):
+        parts += mark[run + j]
+    slack = ROUNDING * max(1.0, float(np.abs(items.mark).max()))
+    lo, hi = np.searchsorted(items.marks, parts - slack), np.searchsorted(items.marks, parts + slack)
+    some = np.flatnonzero(hi > lo)
+    hit = np.zeros(len(run), dtype=bool)
+    for s in range(0, len(some), SEGMENTS):
+        at = some[s : s + SEGMENTS]
+        many = hi[at] - lo[at]
+        own = np.repeat(at, many)
+        theirs = np.repeat(lo[at] - np.r_[0, np.cumsum(many)[:-1]], many) + np.arange(many.sum())
+        a = items.rows[word[run[own][:, None] + np.arange(RUN)]].sum(axis=1)
+        b = items.rows[items.short[theirs]].sum(axis=1)
+        # cosine 1, stated by the distance as it also holds for vectors of length 0
+        near = np.linalg.norm(a - b, axis=1) <= 1e-6 * np.linalg.norm(b, axis=1) + 1e-9
+        hit[own[near]] = True
+    return run[hit]
+
+
 def candidates(part: pd.DataFrame, items: Items, near: float) -> list[tuple[int, int, float, int]]:
     """(row, item, cosine, first word of the best passage) of every document and item with a passage as near as `near`."""
     place, word, first, width = blocks_of(part)
@@ -320,13 +393,19 @@ def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def coverage(part: pd.DataFrame, items: Items) -> pd.DataFrame:
-    """row, item, coverage, at of every document and item that share a run: the share of the item's words under shared runs, and where the first one begins."""
+    """row, item, coverage, at of every document and item that share a run: the share of the item's words under shared runs, and where the first one begins.
+
+    The runs are the short passages that the latent search gives, checked word for word.
+    """
     place, word, first, _ = blocks_of(part)
     none = pd.DataFrame({"row": [], "item": [], "coverage": [], "at": []}).astype({"row": "int64", "item": "int64", "at": "int64"})
     if len(place) < RUN or not len(items.keys):
         return none
     run = np.flatnonzero(place[RUN - 1 :] - place[: len(place) - RUN + 1] == RUN - 1)
-    hashes = run_hashes(word)[run]
+    run = short_candidates(word, run, items)
+    if not len(run):
+        return none
+    hashes = run_hashes(word[run[:, None] + np.arange(RUN)])
     slot = np.minimum(np.searchsorted(items.keys, hashes), len(items.keys) - 1)
     hit = items.keys[slot] == hashes
     run, slot = place[run[hit]], slot[hit]
@@ -429,6 +508,14 @@ def matches(documents: DataFrame, eval_items: DataFrame, near: float = NEAR, ite
 
 
 def leaked(documents: DataFrame, eval_items: DataFrame, item_block: int = ITEM_BLOCK) -> DataFrame:
-    """item_id, doc_id of the pairs in which at least half of the item's words recur in runs of six or more; exact, in one pass over the documents."""
+    """item_id, doc_id of the pairs in which at least half of the item's words recur in runs of six or more.
+
+    Complete: short passages are searched at cosine 1, which every shared run has (see above), and then checked. Otherwise as `matches`.
+    """
     schema = "item_id bigint, doc_id bigint"
-    return _by_blocks(documents, eval_items, item_block, lambda items: hits(documents, items.vocabulary).mapInPandas(_cases(items), schema), schema)
+
+    def searched(items: Items) -> DataFrame:
+        found = written(hits(documents, items.vocabulary), "leak-hits")
+        return found.mapInPandas(_cases(fit(items, found)), schema)
+
+    return _by_blocks(documents, eval_items, item_block, searched, schema)

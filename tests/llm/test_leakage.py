@@ -119,7 +119,37 @@ def test_common_subsequence(a, b):
     assert leakage.common_subsequence(np.array(a, dtype="int64"), np.array(b, dtype="int64")) == best[-1]
 
 
-def test_gram_matrix_is_exact(spark):
+def test_sketch_is_exact(spark):
     docs = spark.createDataFrame([(1, "a b c a " * 9), (2, "b z c"), (3, None)], "doc_id bigint, text string")
-    g, n = leakage.gram(leakage.hits(docs, {"a": 0, "b": 1, "c": 2}), 3)
-    assert n == 4 and g.tolist() == [[3, 3, 3], [3, 4, 4], [3, 4, 4]]
+    omega = leakage.random_matrix(3)
+    y, held, n = leakage.sketch(leakage.hits(docs, {"a": 0, "b": 1, "c": 2}), 3, omega)
+    assert n == 4 and held.tolist() == [3, 4, 4]
+    assert np.allclose(y, np.array([[3, 3, 3], [3, 4, 4], [3, 4, 4]]) @ omega, atol=1e-4)
+
+
+def test_latent_space_is_that_of_the_gram_matrix():
+    """Passages on eight topics: the one-pass sketch has the topics' directions; of passages without any structure it has most of the ten strongest."""
+    rng = np.random.default_rng(3)
+    topics = rng.random((8, 60)) ** 6
+    for rates, strongest, least in ((topics[rng.integers(0, 8, 4_000)] * 0.5, 8, 0.98), (np.tile(rng.random(60) * 0.2, (4_000, 1)), 10, 0.9)):
+        a = (rng.random((4_000, 60)) < rates).astype(float)
+        g, omega = a.T @ a, leakage.random_matrix(60, 40)
+        idf, basis = leakage.latent_space(g @ omega, np.diag(g), np.zeros((60, omega.shape[1])), np.zeros(60), len(a), omega, 40)
+        values, vectors = np.linalg.eigh(g * idf[:, None] * idf[None, :])
+        assert np.linalg.norm(basis.T @ vectors[:, -strongest:], axis=0).min() > least
+
+
+def test_recall_of_interrupted_runs(spark):
+    """Every case by the definition: items in runs of 6 to 14 words with gaps of 0 to 30 other words of the same vocabulary between them."""
+    rng = np.random.default_rng(17)
+    word = lambda n: [f"w{k}" for k in rng.zipf(1.3, n) % 3_000]
+    items = {i: word(n) for i, n in enumerate(rng.integers(12, 200, 60))}
+    docs = []
+    for k, (run, gap, share) in enumerate((r, g, q) for r in (6, 8, 12, 14) for g in (0, 3, 6, 10, 18, 30) for q in (0.4, 0.5, 0.7, 1.0)):
+        w, text = items[k % 60], word(40)
+        for i in range(0, int(len(w) * share), run):
+            text += [*w[i : i + run], *word(gap)]
+        docs.append((k, " ".join(text + word(40))))
+    texts = [(i, " ".join(w)) for i, w in items.items()]
+    expected = brute(docs, texts)
+    assert len(expected) > 50 and found(spark, docs, texts) == sorted(expected)
