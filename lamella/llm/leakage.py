@@ -1,8 +1,9 @@
 """Evaluation texts that leaked into training text, by latent semantic retrieval.
 
 Documents are read into the numbers of those of their words that occur in any item. A randomised SVD of the TF-IDF passages of all documents gives a
-latent space: every task multiplies its own passages with a random sketch, and only sums of vocabulary times sketch width are gathered. Passages are then
-searched by cosine at two scales, and what comes near is checked on the words themselves.
+latent space: the pairs of words that share passages are counted once, as a sparse table in the shared folder, and each step of the range finder is a
+product with that table, made where its parts are; the driver only gets vocabulary times sketch width numbers. Passages are then searched by cosine at two
+scales, and what comes near is checked on the words themselves.
 
 Short passages are RUN words long. A case consists of runs that document and item share; a shared run is a short passage of both with the same words,
 hence the same latent vector, so its cosine is 1 whatever the space. The search at this scale asks for cosine 1 and therefore loses no case; the check
@@ -42,8 +43,10 @@ INVISIBLE = re.compile("[\u00ad\u200b-\u200d\u2060\ufeff]")
 
 #: Words in a block; a passage is two blocks, so that any run of up to a block lies within one passage.
 BLOCK = 12
-#: Dimensions of the latent space, and those more in which the randomised range is sought.
-LATENT, OVERSAMPLING = 96, 16
+#: Dimensions of the latent space, those more in which the randomised range is sought, and steps of power iteration.
+LATENT, OVERSAMPLING, POWER = 96, 16, 4
+#: Cells up to which a task counts word pairs in an array; beyond, it sorts them. The counts are the same.
+DENSE = 1 << 22
 #: Weight of the items' own passages in the Gram matrix against all passages of the corpus: without them, words that are rare in the corpus have no axis.
 ITEM_WEIGHT = 10.0
 #: Cosine from which a long passage is a candidate.
@@ -54,7 +57,7 @@ ROUNDING = 1e-9
 RUN, SHARE = 6, 0.5
 #: Words of documents, and blocks, that are worked on at once; they bound memory, not results.
 SLICE_WORDS, SEGMENTS = 300_000, 8_192
-#: Items searched together; their words bound the vocabulary, the sketch and what is sent to the executors.
+#: Items searched together; their words bound the vocabulary, the range that is sought and what is sent to the executors.
 ITEM_BLOCK = 5_000
 
 
@@ -193,73 +196,81 @@ def distinct(key: np.ndarray) -> np.ndarray:
     return key[np.r_[True, key[1:] != key[:-1]]] if len(key) else key
 
 
-def random_matrix(size: int, dimensions: int = LATENT, seed: int = 11) -> np.ndarray:
-    return np.random.default_rng(seed).standard_normal((size, dimensions + OVERSAMPLING))
-
-
-def multiplied(b: np.ndarray, w: np.ndarray, omega: np.ndarray, out: np.ndarray) -> None:
-    """Adds AᵀAΩ to `out`, A being the 0/1 matrix of blocks and their words: distinct pairs in order."""
+def block_pairs(place: np.ndarray, word: np.ndarray, size: int) -> np.ndarray:
+    """The pairs of words (the lower number times size plus the higher) of each block, each word with itself included, one entry for each block."""
+    key = distinct(place // BLOCK * size + word)
+    b, w = key // size, key % size
     begin = np.flatnonzero(np.r_[True, b[1:] != b[:-1]]) if len(b) else np.zeros(0, dtype="int64")
-    ends = np.r_[begin[1:], len(b)]
-    for s in range(0, len(begin), SEGMENTS):
-        lo, hi = begin[s], ends[min(s + SEGMENTS, len(begin)) - 1]
-        inside = begin[s : s + SEGMENTS] - lo
-        z = np.add.reduceat(omega[w[lo:hi]], inside, axis=0)
-        block = np.repeat(np.arange(len(inside)), np.diff(np.r_[inside, hi - lo]))
-        order = np.argsort(w[lo:hi], kind="stable")
-        ordered = w[lo:hi][order]
-        new = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
-        out[ordered[new]] += np.add.reduceat(z[block[order]], new, axis=0)
+    rank = np.arange(len(b)) - np.repeat(begin, np.diff(np.r_[begin, len(b)]))
+    out = []
+    left = np.arange(len(b))
+    for step in range(BLOCK):
+        left = left[rank[left] >= step]  # those with a word `step` places before them in their block
+        out.append(w[left - step] * size + w[left])
+    return np.concatenate(out)
 
 
-def sketch(found: DataFrame, size: int, omega: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-    """(AᵀAΩ, number of blocks with each word, number of blocks) of the blocks of all documents, in one pass over them.
-
-    A task sends its sum, vocabulary times sketch width; the sums are combined before and after a shuffle, and the driver gets one of that size.
-    """
-    from pyspark.ml.functions import array_to_vector
-    from pyspark.ml.stat import Summarizer
-
-    small = omega.astype("float32")
+def word_pairs(found: DataFrame, size: int) -> DataFrame:
+    """a, b, k: in how many blocks of all documents the words a <= b stand together, once for a = b; and the number of blocks, as a = b = -1."""
 
     def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, held, n = np.zeros(omega.shape), np.zeros(size, dtype="int64"), 0
+        dense = np.zeros(size * size, dtype="int64") if size * size <= DENSE else None
+        n = 0
+        frame = lambda cells, k: pd.DataFrame({"a": cells // size, "b": cells % size, "k": k})
         for part in slices(parts):
             place, word, _, width = blocks_of(part)
             n += int((width > 0).sum())
-            key = distinct(place // BLOCK * size + word)
-            held += np.bincount(key % size, minlength=size)
-            multiplied(key // size, key % size, small, total)
-        there = np.flatnonzero(held)
-        yield pd.DataFrame({"word": np.r_[there, -1], "held": np.r_[held[there], n], "row": [*total[there], np.zeros(omega.shape[1])]})
-
-    sums = found.mapInPandas(count, "word int, held bigint, row array<double>").groupBy("word")
-    sums = sums.agg(F.sum("held").alias("held"), Summarizer.sum(array_to_vector(F.col("row"))).alias("row"))
-    out, held, n = np.zeros(omega.shape), np.zeros(size), 0
-    for r in sums.toLocalIterator():
-        if r["word"] < 0:
-            n = r["held"]
-        else:
-            out[r["word"]], held[r["word"]] = r["row"].toArray(), r["held"]
-    return out, held, n
+            pairs = block_pairs(place, word, size)
+            if dense is not None:
+                dense += np.bincount(pairs, minlength=size * size)
+            else:
+                yield frame(*np.unique(pairs, return_counts=True))
+        if dense is not None:
+            yield frame(np.flatnonzero(dense), dense[np.flatnonzero(dense)])
+        yield pd.DataFrame({"a": [-1], "b": [-1], "k": [n]})
+
+    return found.mapInPandas(count, "a bigint, b bigint, k bigint").groupBy("a", "b").agg(F.sum("k").alias("k"))
+
+
+def times(a: np.ndarray, b: np.ndarray, k: np.ndarray, q: np.ndarray, out: np.ndarray) -> None:
+    """Adds G q to `out`, G being the symmetric matrix with the cells (a, b, k), a <= b."""
+    off = a != b
+    row, column, k = np.r_[a, b[off]], np.r_[b, a[off]], np.r_[k, k[off]]
+    order = np.argsort(row, kind="stable")
+    for s in range(0, len(order), SEGMENTS):
+        at = order[s : s + SEGMENTS]
+        new = np.flatnonzero(np.r_[True, row[at][1:] != row[at][:-1]])
+        out[row[at][new]] += np.add.reduceat(q[column[at]] * k[at][:, None], new, axis=0)
+
+
+def product(pairs: DataFrame, q: np.ndarray) -> np.ndarray:
+    """G q for the table of `word_pairs`. A task sends its sum, the sums are combined before and after a shuffle, and the driver gets one of q's size."""
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.stat import Summarizer
 
+    def multiply(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(q.shape)
+        for part in parts:
+            times(*(part[c].to_numpy() for c in ("a", "b", "k")), q, total)
+        there = np.flatnonzero(total.any(axis=1))
+        if len(there):
+            yield pd.DataFrame({"word": there, "row": list(total[there])})
+
+    sums = pairs.where("a >= 0").mapInPandas(multiply, "word bigint, row array<double>")
+    out = np.zeros(q.shape)
+    for r in sums.groupBy("word").agg(Summarizer.sum(array_to_vector(F.col("row"))).alias("row")).toLocalIterator():
+        out[r["word"]] = r["row"].toArray()
+    return out
 
-def latent_space(y: np.ndarray, held: np.ndarray, own_y: np.ndarray, own: np.ndarray, n: int, omega: np.ndarray, dimensions: int = LATENT) -> tuple[np.ndarray, np.ndarray]:
-    """(idf, basis): right singular vectors of the TF-IDF passages from a one-pass sketch of their Gram matrix (Nyström; Halko, Martinsson, Tropp, 2011).
 
-    y and own_y are the sketches of the corpus and of the items with the test matrix omega, held and own the words' numbers of blocks, n all blocks of the
-    corpus. With D the diagonal of idf, D y is the sketch of the weighted Gram matrix with the test matrix D⁻¹ omega, so weights need no pass of their own.
-    """
-    idf = np.maximum(np.log((n + 1.0) / (held + 1.0)), 0.05)
-    share = lambda a, k: idf[:, None] * a / max(1e-9, float((k * idf**2).sum()))
-    y = share(y, held) + ITEM_WEIGHT * share(own_y, own)
-    core = (omega / idf[:, None]).T @ y
+def latent_space(g: Callable[[np.ndarray], np.ndarray], size: int, dimensions: int = LATENT, seed: int = 11) -> np.ndarray:
+    """The strongest right singular vectors of A by a randomised range finder with power iteration (Halko, Martinsson, Tropp, 2011); g multiplies by AᵀA."""
+    q = np.random.default_rng(seed).standard_normal((size, min(size, dimensions + OVERSAMPLING)))
+    for _ in range(1 + POWER):
+        q = np.linalg.qr(g(q))[0]
+    core = q.T @ g(q)
     values, vectors = np.linalg.eigh((core + core.T) / 2)
-    kept = values > max(values[-1], 0.0) * 1e-10
-    if not kept.any():
-        return idf, np.zeros((len(idf), 1))
-    u, size, _ = np.linalg.svd(y @ (vectors[:, kept] / np.sqrt(values[kept])), full_matrices=False)
-    return idf, u[:, :dimensions][:, size[:dimensions] > size[0] * 1e-9]
+    return q @ vectors[:, np.argsort(-values)[:dimensions]]
 
 
 def least_mass(items: Items) -> float:
@@ -281,14 +292,28 @@ def least_mass(items: Items) -> float:
 def fit(items: Items, found: DataFrame) -> Items:
     """The latent space of all documents, and the items in it."""
     size = len(items.vocabulary)
-    omega = random_matrix(size)
-    y, held, n = sketch(found, size, omega)
-    own_y, own = np.zeros(omega.shape), np.zeros(size)
-    for seq in items.sequences:
-        key = distinct(np.arange(len(seq)) // BLOCK * size + seq)
-        multiplied(key // size, key % size, omega, own_y)
-        own += np.bincount(key % size, minlength=size)
-    items.idf, basis = latent_space(y, held, own_y, own, n, omega)
+    pairs = written(word_pairs(found, size), "word-pairs")
+    own = np.concatenate([block_pairs(np.arange(len(s)), s.astype("int64"), size) for s in items.sequences])
+    own, own_k = np.unique(own, return_counts=True)
+    held = np.zeros(size)
+    n = 0
+    for r in pairs.where("a = b").toLocalIterator():
+        if r["a"] < 0:
+            n = r["k"]
+        else:
+            held[r["a"]] = r["k"]
+    items.idf = np.log((n + 1.0) / (held + 1.0))
+    d = items.idf[:, None]
+    same = own // size == own % size
+    mass = max(1e-9, float((held * items.idf**2).sum()))
+    own_mass = max(1e-9, float((own_k[same] * items.idf[own[same] % size] ** 2).sum()))
+
+    def g(q: np.ndarray) -> np.ndarray:
+        theirs = np.zeros(q.shape)
+        times(own // size, own % size, own_k, d * q, theirs)
+        return d * product(pairs, d * q) / mass + ITEM_WEIGHT * d * theirs / own_mass
+
+    basis = latent_space(g, size)
     items.basis = basis.astype("float32")
     z = np.stack([np.minimum(np.bincount(s, minlength=size), 2) * items.idf for s in items.sequences]).astype("float32") @ items.basis
     items.latent = z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)

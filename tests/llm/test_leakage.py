@@ -119,24 +119,24 @@ def test_common_subsequence(a, b):
     assert leakage.common_subsequence(np.array(a, dtype="int64"), np.array(b, dtype="int64")) == best[-1]
 
 
-def test_sketch_is_exact(spark):
+@pytest.mark.parametrize("dense", [0, 1 << 22])
+def test_word_pairs_are_exact(spark, monkeypatch, dense):
+    monkeypatch.setattr(leakage, "DENSE", dense)
     docs = spark.createDataFrame([(1, "a b c a " * 9), (2, "b z c"), (3, None)], "doc_id bigint, text string")
-    omega = leakage.random_matrix(3)
-    y, held, n = leakage.sketch(leakage.hits(docs, {"a": 0, "b": 1, "c": 2}), 3, omega)
-    assert n == 4 and held.tolist() == [3, 4, 4]
-    assert np.allclose(y, np.array([[3, 3, 3], [3, 4, 4], [3, 4, 4]]) @ omega, atol=1e-4)
+    pairs = leakage.word_pairs(leakage.hits(docs, {"a": 0, "b": 1, "c": 2}), 3)
+    assert {(r["a"], r["b"]): r["k"] for r in pairs.collect()} == {(-1, -1): 4, (0, 0): 3, (0, 1): 3, (0, 2): 3, (1, 1): 4, (1, 2): 4, (2, 2): 4}
+    q = np.arange(6.0).reshape(3, 2)
+    assert np.allclose(leakage.product(pairs, q), np.array([[3, 3, 3], [3, 4, 4], [3, 4, 4]]) @ q)
 
 
 def test_latent_space_is_that_of_the_gram_matrix():
-    """Passages on eight topics: the one-pass sketch has the topics' directions; of passages without any structure it has most of the ten strongest."""
+    """Passages on eight topics, and passages without any structure: the strongest directions lie in the space."""
     rng = np.random.default_rng(3)
     topics = rng.random((8, 60)) ** 6
-    for rates, strongest, least in ((topics[rng.integers(0, 8, 4_000)] * 0.5, 8, 0.98), (np.tile(rng.random(60) * 0.2, (4_000, 1)), 10, 0.9)):
+    for rates, strongest in ((topics[rng.integers(0, 8, 4_000)] * 0.5, 8), (np.tile(rng.random(60) * 0.2, (4_000, 1)), 10)):
         a = (rng.random((4_000, 60)) < rates).astype(float)
-        g, omega = a.T @ a, leakage.random_matrix(60, 40)
-        idf, basis = leakage.latent_space(g @ omega, np.diag(g), np.zeros((60, omega.shape[1])), np.zeros(60), len(a), omega, 40)
-        values, vectors = np.linalg.eigh(g * idf[:, None] * idf[None, :])
-        assert np.linalg.norm(basis.T @ vectors[:, -strongest:], axis=0).min() > least
+        basis = leakage.latent_space(lambda q: a.T @ (a @ q), 60, 20)
+        assert np.linalg.norm(basis.T @ np.linalg.eigh(a.T @ a)[1][:, -strongest:], axis=0).min() > 0.99
 
 
 def test_recall_of_interrupted_runs(spark):
