@@ -1,12 +1,16 @@
 """Filling containers of fixed token capacity with texts.
 
 Method. A sequence's cost is linear in its tokens plus quadratic in each document's (attention stays inside a document). Documents, longest first, go to
-the sequence of lowest cost that still has room. A text longer than the capacity gives full containers and one rest; no other text is split.
+the sequence of lowest cost that still has room. Balanced sequences may end up with rooms too small for the last documents. Such a document takes the
+place of a smaller one that fits elsewhere; and where balance alone would take more sequences than the tightest packing (best fit), a share of the longest
+documents is placed tightly first, the smallest share of SHARES with which balance takes no more. A text longer than the capacity gives full containers
+and one rest; no other text is split.
 """
 
 from __future__ import annotations
 
 import base64
+import bisect
 import re
 from collections.abc import Iterator
 
@@ -23,6 +27,8 @@ TOKENIZERS, VOCABULARY = "/opt/tokenizers", "byte_bpe_multi_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Cost of a token, and of a pair of tokens within a document: of a model with hidden size 4096, where attention equals the rest near 12,288 tokens.
 LINEAR, QUADRATIC = 1.0, 1.0 / 12_288
+#: Shares of the longest documents that may be placed by best fit before the others are placed by cost.
+SHARES = (0.0, 0.5, 0.8, 0.95)
 #: Items packed together in one task. The waste of a shard is less than one sequence beyond its own packing.
 SHARD_ITEMS = 20_000
 #: Texts are tokenised in pieces of about so many characters, cut where tokens cannot cross.
@@ -63,30 +69,81 @@ def token_counts(documents: DataFrame, folder: str = TOKENIZERS, vocabulary: str
     return documents.select("doc_id", "text").mapInPandas(count, "doc_id bigint, n_tokens bigint")
 
 
-def assign(sizes: np.ndarray, capacity: int, linear: float = LINEAR, quadratic: float = QUADRATIC) -> np.ndarray:
-    """The sequence of each item: sizes in descending order, none above the capacity.
+def tightest(sizes: np.ndarray, capacity: int) -> np.ndarray:
+    """The sequence of each item by best fit: sizes in descending order, none above the capacity."""
+    rooms: list[tuple[int, int]] = []
+    out = np.empty(len(sizes), dtype="int64")
+    opened = 0
+    for i, size in enumerate(sizes.tolist()):
+        k = bisect.bisect_left(rooms, (size, -1))
+        if k < len(rooms):
+            room, at = rooms.pop(k)
+        else:
+            room, at, opened = capacity, opened, opened + 1
+        out[i] = at
+        bisect.insort(rooms, (room - size, at))
+    return out
 
-    As many sequences are open from the start as the tokens need at least; another is opened only for an item that fits in none.
-    """
-    n = len(sizes)
-    least = int(-(-int(sizes.sum()) // capacity)) if n else 0
-    room, cost = np.full(least, capacity, dtype="int64"), np.zeros(least)
-    out = np.empty(n, dtype="int64")
-    opened = least
-    room, cost = np.concatenate([room, np.zeros(n, dtype="int64")]), np.concatenate([cost, np.full(n, np.inf)])
-    for i, size in enumerate(sizes):
-        fits = np.flatnonzero(room[:opened] >= size)
+
+def balanced(sizes: np.ndarray, capacity: int, price: np.ndarray, placed: np.ndarray, sequences: int) -> np.ndarray:
+    """The sequence of each item, of which the first stand as `placed` says: the others go to the sequence of lowest cost with room, among at least so many."""
+    n, m = len(sizes), len(placed)
+    opened = max(sequences, int(placed.max()) + 1 if m else 0)
+    room = np.concatenate([np.full(opened, capacity, dtype="int64"), np.zeros(n, dtype="int64")])
+    cost = np.concatenate([np.zeros(opened), np.full(n, np.inf)])
+    out = np.full(n, -1, dtype="int64")
+    out[:m] = placed
+    np.subtract.at(room, placed, sizes[:m])
+    np.add.at(cost, placed, price[:m])
+
+    def put(i: int, at: int) -> None:
+        if out[i] >= 0:
+            room[out[i]] += sizes[i]
+            cost[out[i]] -= price[i]
+        room[at] -= sizes[i]
+        cost[at] += price[i]
+        out[i] = at
+
+    def cheapest(i: int) -> bool:
+        fits = np.flatnonzero(room[:opened] >= sizes[i])
         if len(fits):
-            at = fits[np.argmin(cost[fits])]
+            put(i, fits[np.argmin(cost[fits])])
+        return len(fits) > 0
+
+    left = [i for i in range(m, n) if not cheapest(i)]
+    for i in left:
+        if cheapest(i):
+            continue
+        widest = int(np.argmax(room[:opened])) if opened else 0
+        second = int(np.partition(room[:opened], -2)[-2]) if opened > 1 else 0
+        gap = room[out] + sizes - sizes[i]  # what an exchange would leave of the room, for every item that stands somewhere
+        able = (out >= 0) & (sizes < sizes[i]) & (gap >= 0) & (sizes <= np.where(out == widest, second, room[widest] if opened else 0))
+        if able.any():
+            j = int(np.flatnonzero(able)[np.argmin(gap[able])])
+            at = int(out[j])
+            others = np.flatnonzero((room[:opened] >= sizes[j]) & (np.arange(opened) != at))
+            put(j, others[np.argmin(room[others])])
+            put(i, at)
         else:
-            at, opened = opened, opened + 1
-            room[at], cost[at] = capacity, 0.0
-        room[at] -= size
-        cost[at] += linear * size + quadratic * float(size) * size
-        out[i] = at
+            room[opened], cost[opened] = capacity, 0.0
+            put(i, opened)
+            opened += 1
     return out
 
 
+def assign(sizes: np.ndarray, capacity: int, linear: float = LINEAR, quadratic: float = QUADRATIC) -> np.ndarray:
+    """The sequence of each item: sizes in descending order, none above the capacity. Never more sequences than best fit takes."""
+    sizes = np.asarray(sizes, dtype="int64")
+    price = linear * sizes + quadratic * sizes.astype(float) ** 2
+    tight = tightest(sizes, capacity)
+    least = int(tight.max()) + 1 if len(sizes) else 0
+    for share in SHARES:
+        out = balanced(sizes, capacity, price, tight[: int(share * len(sizes))], least)
+        if not len(out) or out.max() < least:
+            return out
+    return tight
+
+
 PACKED = "target_id bigint, container_id string, doc_id bigint, piece int, start_token bigint, n_tokens bigint"
 
 
@@ -111,7 +168,7 @@ def pack(counts: DataFrame, targets: DataFrame, shard_items: int = SHARD_ITEMS,
     none = rest.where("n_tokens = 0").select("target_id", F.lit(None).cast("string").alias("container_id"), "doc_id", F.lit(0).alias("piece"), F.lit(0).cast("bigint").alias("start_token"), "n_tokens")
     items = rest.where("size > 0").select("target_id", "capacity", "doc_id", F.col("whole").cast("int").alias("piece"), (F.col("whole") * F.col("capacity")).alias("start_token"), "size", F.pmod(F.xxhash64("doc_id", "n_tokens"), F.lit(shards)).alias("shard"))
 
-    def fill(key, part: pd.DataFrame) -> pd.DataFrame:
+    def fill(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["size", "doc_id"], ascending=[False, True], kind="stable").reset_index(drop=True)
         at = assign(part["size"].to_numpy(), int(part["capacity"].iloc[0]), linear, quadratic)
         names = [f"s{key[1]}-{x}" for x in at]

@@ -41,6 +41,28 @@ def test_assignment(sizes):
     assert len(load) <= max(1, 2 * -(-int(sizes.sum()) // 100))
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(1, 100), max_size=150))
+def test_no_more_sequences_than_best_fit(sizes):
+    rooms = []
+    for x in sorted(sizes, reverse=True):
+        fits = [i for i, r in enumerate(rooms) if r >= x]
+        if fits:
+            rooms[min(fits, key=lambda i: rooms[i])] -= x
+        else:
+            rooms.append(100 - x)
+    at = packing.assign(np.array(sorted(sizes, reverse=True), dtype="int64"), 100)
+    assert (max(at) + 1 if len(at) else 0) <= len(rooms) and set(at) == set(range(max(at) + 1 if len(at) else 0))
+
+
+def test_costs_are_balanced():
+    rng = np.random.default_rng(2)
+    sizes = np.sort(np.minimum(rng.lognormal(5, 1, 3_000).astype("int64") + 1, 4_096))[::-1]
+    price = sizes + sizes.astype(float) ** 2 * packing.QUADRATIC
+    spread = lambda at: np.bincount(at, weights=price).std()
+    assert spread(packing.assign(sizes, 4_096)) < 0.5 * spread(packing.tightest(sizes, 4_096))
+
+
 def test_whole_documents(spark, data):
     docs, targets = table(spark, data, "documents"), table(spark, data, "pack_targets")
     counts = {r["doc_id"]: r["n_tokens"] for r in packing.token_counts(docs).collect()}
