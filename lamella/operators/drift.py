@@ -1,9 +1,9 @@
 """Schemas that drift between the files of a feed: a catalogue of column lifespans, its log of changes, and casts into one table.
 
-Method. The type trees of the footers are exploded into (feed, version, path, kind), where a new version begins at each file whose tree differs from
-the one before. A lag over the versions in which a path has a kind finds islands without a gap: the lifespans. Their starts and endings, logged under
-the file at which they happen, are the raw changes; where an ending and a start of one kind meet at one ordinal, they are an alias (a rename), and what
-lies below an alias is compared under the new name.
+Method. A lag over the files of a feed finds those whose type tree differs from the one before; each begins a new version, and the trees of the versions
+are exploded into (feed, version, path, kind). The versions in which a path has a kind fall into islands without a gap (version less rank is the same all
+through one): the catalogue of lifespans. Its starts and endings, logged under the file at which they happen, are the raw changes; where an ending and a
+start of one kind meet at one ordinal, they are an alias (a rename), and what lies below an alias is compared under the new name.
 """
 
 from __future__ import annotations
@@ -11,7 +11,8 @@ from __future__ import annotations
 import json
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -117,32 +118,20 @@ def nodes_of(of: DataFrame) -> DataFrame:
     return of.select("feed_id", "version", "file_id", "tree").mapInPandas(_explode, NODES)
 
 
-def edges(nodes: DataFrame) -> DataFrame:
-    """Each node with `starts` and `ends`: whether its path had this kind in no version just before, or has it in none just after."""
-    block = F.expr(f"version div {BLOCK}")
-    back = F.expr(f"(-version) div {BLOCK}")
-    key = ["feed_id", "path", "kind"]
-    seen = split_lag(nodes, key, ["version"], block, {"version_before": "version"})
-    seen = seen.withColumn("mirror", -F.col("version"))
-    seen = split_lag(seen, key, ["mirror"], back, {"mirror_after": "mirror"})
-    return seen.select(
-        *nodes.columns,
-        (F.col("version_before").isNull() | (F.col("version_before") < F.col("version") - 1)).alias("starts"),
-        (F.col("mirror_after").isNull() | (-F.col("mirror_after") > F.col("version") + 1)).alias("ends"),
-    )
+def catalogue(of: DataFrame) -> DataFrame:
+    """The lifespans of `versions`: feed_id, path, parent, name, kind, and first and last (version, file_id, ordinal, parent_kind) of each island."""
+    nodes = written(nodes_of(of).withColumn("one", F.lit(1)), "nodes")
+    ranked = split_sum(nodes, ["feed_id", "path", "kind"], ["version"], F.expr(f"version div {BLOCK}"), "one", "rank")
+    end = F.struct("version", "file_id", "ordinal", "parent_kind")
+    spans = ranked.groupBy("feed_id", "path", "parent", "name", "kind", (F.col("version") - F.col("rank")).alias("island")).agg(F.min(end).alias("first"), F.max(end).alias("last"))
+    return spans.drop("island")
 
 
 def lifespans(orc_files: DataFrame, file_types: DataFrame) -> DataFrame:
     """The catalogue: feed_id, field_path, kind, first_version, last_version, first_file_id, one row per island of consecutive versions."""
-    it = written(edges(nodes_of(versions(orc_files, file_types))).where("path <> ''"), "edges")
-    opened = it.where("starts").select("feed_id", "path", "kind", "version", "file_id", F.lit(1).alias("opens"))
-    it = it.join(opened.select("feed_id", "path", "kind", "version", "opens"), ["feed_id", "path", "kind", "version"], "left")
-    it = split_sum(it, ["feed_id", "path", "kind"], ["version"], F.expr(f"version div {BLOCK}"), "opens", "_islands")
-    island = F.col("_islands") + F.coalesce("opens", F.lit(0))
-    spans = it.groupBy("feed_id", "path", "kind", island.alias("island")).agg(
-        F.min("version").alias("first_version"), F.max("version").alias("last_version"), F.min_by("file_id", "version").alias("first_file_id")
-    )
-    return spans.select("feed_id", F.translate(F.substring("path", 2, 1 << 30), STEP, ".").alias("field_path"), "kind", "first_version", "last_version", "first_file_id")
+    spans = catalogue(versions(orc_files, file_types)).where("path <> ''")
+    path = F.translate(F.substring("path", 2, 1 << 30), STEP, ".")
+    return spans.select("feed_id", path.alias("field_path"), "kind", F.col("first.version").alias("first_version"), F.col("last.version").alias("last_version"), F.col("first.file_id").alias("first_file_id"))
 
 
 CHANGES = "feed_id bigint, version bigint, file_id bigint, change_kind string, field_path string, old_path string, kind string, old_kind string"
@@ -209,11 +198,11 @@ def schema_changes(orc_files: DataFrame, file_types: DataFrame) -> DataFrame:
     kind, old_kind (empty where there is none). Names are case-sensitive, kinds are not. Where the root's kind changes nothing below is compared.
     Empty tables give no rows; null feeds form one feed; files without type rows are passed over.
     """
-    seen = written(versions(orc_files, file_types), "versions")  # used three times below
-    it = edges(nodes_of(seen))
-    event = lambda side, at: F.struct(F.lit(side).alias("side"), at.alias("version"), "path", "parent", "name", "ordinal", "kind", "parent_kind")
-    both = F.array(F.when(F.expr("starts and version > 1"), event("start", F.col("version"))), F.when(F.col("ends"), event("end", F.col("version") + 1)))
-    log = it.where("starts or ends").select("feed_id", F.explode(F.array_compact(both)).alias("event")).select("feed_id", "event.version", "event")
+    seen = written(versions(orc_files, file_types), "versions")  # read for the catalogue and for the files
+    event = lambda side, at: F.struct(F.lit(side).alias("side"), "path", "parent", "name", f"{at}.ordinal", "kind", f"{at}.parent_kind")
+    start = F.when(F.col("first.version") > 1, F.struct(F.col("first.version").alias("version"), event("start", "first").alias("event")))
+    ending = F.struct((F.col("last.version") + 1).alias("version"), event("end", "last").alias("event"))
+    log = catalogue(seen).select("feed_id", F.explode(F.array_compact(F.array(start, ending))).alias("x")).select("feed_id", "x.version", "x.event")
     # the events of one version are bounded by two footers
     log = log.groupBy("feed_id", "version").agg(F.collect_list("event").alias("events"))
     at = seen.select(F.col("feed_id").alias("_feed"), F.col("version").alias("_version"), "file_id")
@@ -247,7 +236,7 @@ def common_kind(kinds: list[str]) -> str:
 ALIASES = "feed_id bigint, canonical string, field_path string, kinds array<string>, target_kind string, cast_sql string, first_version bigint, last_version bigint, kind string, path string, canonical_path string"
 
 
-def lineages(trees: list[tuple[int, list]]) -> list[tuple[str, str, str, int, int]]:
+def lineages(trees: Iterable[tuple[int, list]]) -> list[tuple[str, str, str, int, int]]:
     """(canonical path, path, kind, first version, last version) from the trees of one feed in order.
 
     A field keeps its canonical name, the first it had below its parent, through renames and retypes; one that was removed and comes back under its last
@@ -315,29 +304,30 @@ def lineages(trees: list[tuple[int, list]]) -> list[tuple[str, str, str, int, in
     return [(canonical[i], p, k, a, b) for (p, i, k), all_ in spans.items() for a, b in all_]
 
 
-def _alias_rows(part: pd.DataFrame) -> pd.DataFrame:
-    part = part.sort_values("version")
-    spans = lineages(list(zip(part["version"], part["tree"])))
-    kinds: dict[str, set] = {}
-    for root, _, kind, _, _ in spans:
-        kinds.setdefault(root, set()).add(kind)
-    feed = None if part["feed_id"].isna().iloc[0] else int(part["feed_id"].iloc[0])
+def _aliases(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The alias rows of feeds whose versions come one after another, in order. Of a feed only its fields and their spans are kept, not its trees."""
+    trees = ((None if pd.isna(f) else int(f), v, t) for part in parts for f, v, t in zip(part["feed_id"], part["version"], part["tree"]))
     dotted = lambda p: p[1:].replace(STEP, ".")
     quoted = lambda p: ".".join("`" + x.replace("`", "``") + "`" for x in p[1:].split(STEP))
-    rows = []
-    for root, path, kind, first, last in spans:
-        target = common_kind(sorted(kinds[root]))
-        cast = f"CAST({quoted(path)} AS {CAST[target]})" if target in CAST else quoted(path)
-        alias = "`" + root.split(STEP)[-1].replace("`", "``") + "`"
-        rows.append((feed, dotted(root), dotted(path), sorted(kinds[root]), target, f"{cast} AS {alias}", first, last, kind, path, root))
-    out = pd.DataFrame(rows, columns=["feed_id", "canonical", "field_path", "kinds", "target_kind", "cast_sql", "first_version", "last_version", "kind", "path", "canonical_path"])
-    return out.astype({"feed_id": "Int64"})
+    for feed, own in groupby(trees, key=lambda x: x[0]):
+        spans = lineages((v, t) for _, v, t in own)
+        kinds: dict[str, set] = {}
+        for root, _, kind, _, _ in spans:
+            kinds.setdefault(root, set()).add(kind)
+        rows = []
+        for root, path, kind, first, last in spans:
+            target = common_kind(sorted(kinds[root]))
+            cast = f"CAST({quoted(path)} AS {CAST[target]})" if target in CAST else quoted(path)
+            alias = "`" + root.split(STEP)[-1].replace("`", "``") + "`"
+            rows.append((feed, dotted(root), dotted(path), sorted(kinds[root]), target, f"{cast} AS {alias}", first, last, kind, path, root))
+        out = pd.DataFrame(rows, columns=["feed_id", "canonical", "field_path", "kinds", "target_kind", "cast_sql", "first_version", "last_version", "kind", "path", "canonical_path"])
+        yield out.astype({"feed_id": "Int64"})
 
 
 def _plan(seen: DataFrame) -> DataFrame:
-    """The footers of one feed's versions come together in one task."""
-    tree = seen.select("feed_id", "version", "tree")
-    return tree.groupBy("feed_id").applyInPandas(_alias_rows, ALIASES)
+    """The aliases of every feed. A feed's versions stream through one task in order; what that task holds is bounded by the feed's fields."""
+    tree = seen.select("feed_id", "version", "tree").repartition("feed_id").sortWithinPartitions("feed_id", "version")
+    return tree.mapInPandas(_aliases, ALIASES)
 
 
 def cast_plan(orc_files: DataFrame, file_types: DataFrame) -> DataFrame:
