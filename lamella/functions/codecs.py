@@ -1,4 +1,5 @@
-"""The byte layouts of encoded columns: runs, packed bits, base-128 numbers. Plain Python over bytes, used through Arrow batches.
+"""The byte layouts of encoded columns: runs, packed bits, base-128 numbers. Whole chunks at a time in numpy, a step in Python for each run; numbers beyond
+62 bits take a plain way. Used through Arrow batches.
 
 Spark's reader and writer do this for files; here it is open to inspection. Inputs that end early or hold surplus bytes raise ValueError.
 """
@@ -44,14 +45,67 @@ def get_varint(data: bytes, at: int) -> tuple[int, int]:
             return n, at
 
 
+#: Magnitude from which numbers are worked on one by one, as their differences or zigzag forms may leave 64 bits.
+WIDE = 1 << 62
+
+
+def narrow(values) -> np.ndarray | None:
+    """The values as 64-bit numbers, or None where one is too wide."""
+    try:
+        v = np.asarray(values, dtype="int64")
+    except OverflowError:
+        return None
+    return v if not len(v) or (v.max() < WIDE and v.min() > -WIDE) else None
+
+
+def zigzagged(v: np.ndarray) -> np.ndarray:
+    return (v << 1 ^ v >> 63).view("uint64")
+
+
+def put_varints(u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, how many each number takes) of numbers that aren't negative."""
+    size = np.ones(len(u), dtype="int64")
+    for k in range(1, 10):
+        size += u >= np.uint64(1 << 7 * k)
+    ends = np.cumsum(size)
+    out = np.empty(int(ends[-1]) if len(u) else 0, dtype="uint8")
+    for k in range(int(size.max()) if len(u) else 0):
+        own = np.flatnonzero(size > k)
+        part = (u[own] >> np.uint64(7 * k)) & np.uint64(127)
+        out[ends[own] - size[own] + k] = part.astype("uint8") | ((size[own] > k + 1) << 7).astype("uint8")
+    return out, size
+
+
 def encode_varints(values, signed: bool = True) -> bytes:
+    v = narrow(values)
+    if v is not None and (signed or not len(v) or v.min() >= 0):
+        return put_varints(zigzagged(v) if signed else v.view("uint64"))[0].tobytes()
     out = bytearray()
-    for v in values:
-        put_varint(zig(int(v)) if signed else int(v), out)
+    for x in values:
+        put_varint(zig(int(x)) if signed else int(x), out)
     return bytes(out)
 
 
+def get_varints(data: np.ndarray) -> np.ndarray | None:
+    """The numbers in bytes that end with a number's end; None where one takes more than 62 bits."""
+    ends = np.flatnonzero(data < 128)
+    begins = np.r_[0, ends[:-1] + 1]
+    size = ends - begins + 1
+    if len(size) and size.max() > 8:
+        return None
+    out = np.zeros(len(ends), dtype="int64")
+    for k in range(int(size.max()) if len(size) else 0):
+        own = np.flatnonzero(size > k)
+        out[own] |= (data[begins[own] + k].astype("int64") & 127) << 7 * k
+    return out
+
+
 def decode_varints(data: bytes, signed: bool = True) -> list[int]:
+    if data and data[-1] > 127:
+        raise ValueError("a number doesn't end")
+    u = get_varints(np.frombuffer(data, dtype="uint8"))
+    if u is not None:
+        return (u >> 1 ^ -(u & 1) if signed else u).tolist()
     out, at = [], 0
     while at < len(data):
         n, at = get_varint(data, at)
@@ -59,40 +113,40 @@ def decode_varints(data: bytes, signed: bool = True) -> list[int]:
     return out
 
 
-def _segments(values: list[int], deltas: bool) -> Iterator[tuple[int, int, int | None]]:
+def _segments(values, deltas: bool) -> Iterator[tuple[int, int, int | None]]:
     """(start, length, delta) of each run and (start, length, None) of each stretch of literals. Runs have one delta of -128..127, 0 where not `deltas`."""
-    n, i, literal = len(values), 0, 0
-    while i < n:
-        j, step = i + 1, None
-        if j < n:
-            step = values[j] - values[i]
-            if step == 0 or (deltas and -128 <= step <= 127):
-                while j < n and j - i < RUN_MOST and values[j] - values[j - 1] == step:
-                    j += 1
-        if j - i >= RUN_LEAST:
-            while literal < i:
-                size = min(LITERALS, i - literal)
-                yield literal, size, None
-                literal += size
-            yield i, j - i, step
-            i = literal = j
-        else:
-            i += 1
-    while literal < n:
-        size = min(LITERALS, n - literal)
-        yield literal, size, None
-        literal += size
+    n = len(values)
+    v = narrow(values)
+    step = np.diff(v if v is not None else np.asarray(values, dtype=object))
+    fits = (step >= -128) & (step <= 127) if deltas else step == 0
+    # where the stretch of equal steps that holds each step ends
+    last = np.flatnonzero(np.r_[step[1:] != step[:-1], True]) if n > 1 else np.zeros(0, dtype="int64")
+    upto = last[np.searchsorted(last, np.arange(n - 1))] if n > 1 else last
+    begins = np.flatnonzero(fits.astype(bool) & (upto - np.arange(max(0, n - 1)) + 2 >= RUN_LEAST)) if n > 1 else last
+    literal = k = 0
+    while True:
+        k = int(np.searchsorted(begins, literal)) if k < len(begins) else k
+        at = int(begins[k]) if k < len(begins) else n
+        while literal < at:
+            size = min(LITERALS, at - literal)
+            yield literal, size, None
+            literal += size
+        if at == n:
+            return
+        size = min(RUN_MOST, int(upto[at]) - at + 2)
+        yield at, size, int(step[at])
+        literal = at + size
 
 
 def encode_bytes(values: bytes) -> bytes:
     """Runs of equal bytes, and literals."""
-    out, v = bytearray(), list(values)
-    for start, size, step in _segments(v, False):
+    out = bytearray()
+    for start, size, step in _segments(np.frombuffer(values, dtype="uint8").astype("int64"), False):
         if step is None:
             out.append(256 - size)
             out += values[start : start + size]
         else:
-            out += bytes((size - RUN_LEAST, v[start]))
+            out += bytes((size - RUN_LEAST, values[start]))
     return bytes(out)
 
 
@@ -123,45 +177,54 @@ def decode_bits(data: bytes, count: int) -> list[bool]:
 
 def encode_runs(values, signed: bool = True) -> bytes:
     """Runs with a constant step, and literals (version 1). Whole values are compared, never their low byte alone."""
-    v = [int(x) for x in values]
+    v = narrow(values)
+    if v is None or (not signed and len(v) and v.min() < 0):
+        v = [int(x) for x in values]
+        one = [encode_varints([x], signed) for x in v]
+        body, ends = b"".join(one), np.cumsum([len(x) for x in one])
+    else:
+        data, size = put_varints(zigzagged(v) if signed else v.view("uint64"))
+        body, ends = data.tobytes(), np.cumsum(size)
+    begins = np.r_[0, ends]  # where each number's bytes stand, were it a literal
     out = bytearray()
     for start, size, step in _segments(v, True):
-        if step is None:
-            out.append(256 - size)
-            for x in v[start : start + size]:
-                put_varint(zig(x) if signed else x, out)
-        else:
-            out += bytes((size - RUN_LEAST, step & 255))
-            put_varint(zig(v[start]) if signed else v[start], out)
+        out += bytes((256 - size,) if step is None else (size - RUN_LEAST, step & 255))
+        out += body[begins[start] : begins[start + (size if step is None else 1)]]
     return bytes(out)
 
 
 def decode_runs(data: bytes, signed: bool = True) -> list[int]:
+    raw = np.frombuffer(data, dtype="uint8")
+    ends = np.flatnonzero(raw < 128)
     out: list[int] = []
     at = 0
     while at < len(data):
-        head, at = data[at], at + 1
-        if head < 128:
-            if at >= len(data):
-                raise ValueError("a run doesn't end")
-            step = data[at] - 256 if data[at] > 127 else data[at]
-            n, at = get_varint(data, at + 1)
-            base = zag(n) if signed else n
-            out += [base + i * step for i in range(head + RUN_LEAST)]
+        head = data[at]
+        run = head < 128
+        begin = at + (2 if run else 1)
+        # the numbers end at bytes below 128
+        k = int(np.searchsorted(ends, begin)) + (0 if run else 255 - head)
+        if begin > len(data) or k >= len(ends):
+            raise ValueError("a run doesn't end")
+        at = int(ends[k]) + 1
+        own = decode_varints(data[begin:at], signed)
+        if run:
+            step = data[begin - 1] - 256 if data[begin - 1] > 127 else data[begin - 1]
+            out += range(own[0], own[0] + step * (head + RUN_LEAST), step) if step else own * (head + RUN_LEAST)
         else:
-            for _ in range(256 - head):
-                n, at = get_varint(data, at)
-                out.append(zag(n) if signed else n)
+            out += own
     return out
 
 
 def unpack(data: bytes, width: int, count: int) -> list[int]:
-    """`count` numbers of `width` bits each, high bits first."""
+    """`count` numbers of `width` bits each, at most 64, high bits first."""
     if width * count > 8 * len(data):
         raise ValueError("too few bits")
-    whole, spare = int.from_bytes(data, "big"), 8 * len(data)
-    mask = (1 << width) - 1
-    return [whole >> (spare - width * (i + 1)) & mask for i in range(count)]
+    bits = np.unpackbits(np.frombuffer(data, dtype="uint8"), count=width * count).reshape(count, width)
+    out = np.zeros(count, dtype="uint64")
+    for k in range(width):
+        out = out << np.uint64(1) | bits[:, k]
+    return out.tolist()
 
 
 def pack(values, width: int) -> bytes:
@@ -245,6 +308,8 @@ CODECS: dict[str, tuple[Callable, Callable]] = {
     "runs": (encode_runs, decode_runs),
     "bytes": (lambda v: encode_bytes(bytes(int(x) & 255 for x in v)), lambda d: list(decode_bytes(d))),
     "double": (encode_floats, decode_floats),
+    "float": (lambda v: encode_floats(v, 4), lambda d: decode_floats(d, 4)),
+    "runs2": (None, decode_runs_2),
 }
 
 
