@@ -19,17 +19,16 @@ SHORT = {"\\": "\\\\", '"': '\\"', "\n": "\\n", "\r": "\\r", "\t": "\\t"}
 
 
 def text(value: Column) -> Column:
-    """A quoted string; control characters without a short escape become \\u00xx."""
-    v = F.replace(value, F.lit("\\"), F.lit("\\\\"))
-    rare = v
-    for c in range(32):
-        if chr(c) not in SHORT:
-            rare = F.replace(rare, F.lit(chr(c)), F.lit(f"\\u{c:04x}"))
-    v = F.when(value.rlike(r"[\x00-\x08\x0b\x0c\x0e-\x1f]"), rare).otherwise(v)
+    """A quoted string; control characters without a short escape become \\u00xx. The usual string, without any, is only looked through."""
+    rare = F.array_join(F.transform(F.split(value, ""), lambda c: F.when(c.rlike(r"[\x00-\x08\x0b\x0c\x0e-\x1f]"), F.concat(F.lit("\\u00"), F.lpad(F.lower(F.hex(F.ascii(c))), 2, "0"))).otherwise(_short(c))), "")
+    escaped = F.when(value.rlike(r"[\x00-\x08\x0b\x0c\x0e-\x1f]"), rare).when(value.rlike(r'["\\\n\r\t]'), _short(value)).otherwise(value)
+    return F.concat(F.lit('"'), escaped, F.lit('"'))
+
+
+def _short(v: Column) -> Column:
     for c, e in SHORT.items():
-        if c != "\\":
-            v = F.replace(v, F.lit(c), F.lit(e))
-    return F.concat(F.lit('"'), v, F.lit('"'))
+        v = F.replace(v, F.lit(c), F.lit(e))
+    return v
 
 
 def fraction(value: Column) -> Column:
@@ -38,10 +37,8 @@ def fraction(value: Column) -> Column:
     small = s
     # the JVM writes 0.001 to 0.1 without an exponent
     for zeros in (1, 2):
-        lead = rf"^(-?)0\.{'0' * zeros}([1-9])"
-        small = F.regexp_replace(small, lead + "$", f"$1$2.0e-{zeros + 1}")
-        small = F.regexp_replace(small, lead + r"(\d+)$", f"$1$2.$3e-{zeros + 1}")
-    return F.when(F.abs(value) < 0.1, small).otherwise(s)
+        small = F.regexp_replace(small, rf"^(-?)0\.{'0' * zeros}([1-9])(\d*)$", f"$1$2.$3e-{zeros + 1}")
+    return F.when(F.abs(value) < 0.1, F.replace(small, F.lit(".e"), F.lit(".0e"))).otherwise(s)
 
 
 def _laid(plain: Column) -> Column:

@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from lamella.operators.ordered import split_sum
 from lamella.operators.registry import registered_files, stripe_lengths
-from lamella.session import fresh_path, written
+from lamella.session import fresh_path, removed, written
+from lamella.sources.files import opened, put
 
 #: Files below this many bytes of data are small.
 SMALL = 65_536
@@ -93,36 +94,6 @@ def frame_lengths(data: bytes) -> list[int]:
     return out
 
 
-_filesystems: dict[tuple[str, str], tuple] = {}
-
-
-def opened(uri: str):
-    """(file system, path) of a URI or an absolute local path: local, HDFS and object stores, as Arrow knows them. Connections are kept."""
-    from urllib.parse import urlsplit
-
-    from pyarrow import fs
-
-    parts = urlsplit(uri)
-    key = parts.scheme, parts.netloc
-    if key not in _filesystems:
-        system, path = fs.FileSystem.from_uri(uri)
-        _filesystems[key] = system, len(uri) - len(path)
-    system, prefix = _filesystems[key]
-    return system, uri[prefix:]
-
-
-def put(uri: str, data: bytes) -> None:
-    """Writes a file under a temporary name first, so that none is ever half there."""
-    import uuid
-
-    system, path = opened(uri)
-    system.create_dir(path.rpartition("/")[0], recursive=True)
-    temporary = f"{path}.{uuid.uuid4().hex}.part"
-    with system.open_output_stream(temporary, compression=None) as out:
-        out.write(data)
-    system.move(temporary, path)
-
-
 class Damaged(ValueError):
     """A file that isn't what it is stated to be."""
 
@@ -265,11 +236,6 @@ def written_files(plan: DataFrame, row_records: DataFrame, nested_rows: DataFram
     return lines.mapInPandas(write, "file_id bigint, source_path string, length bigint, crc bigint, records bigint")
 
 
-def removed(spark, folder: str) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def joined_files(plan: DataFrame, row_records: DataFrame, nested_rows: DataFrame, form: str = "zstd", keep: bool = False) -> DataFrame:
     """The plan carried out: file_id, container_id, records, bytes, container_bytes, container_crc, intact, fault, container_path, one row per small file.
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -16,8 +18,11 @@ SEMANTICS = {
     "spark.sql.caseSensitive": "false",
 }
 
+#: The JVM compiles no method of more than so many bytes of code; beyond it, expressions are better generated in parts.
+CODEGEN = {"spark.sql.codegen.hugeMethodLimit": "8000"}
+
 #: Settings that only change speed; a cluster may override them.
-SPEED = {
+SPEED = CODEGEN | {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
@@ -26,6 +31,10 @@ SPEED = {
 }
 
 
+#: The paths given out by `fresh_path`.
+_made: list[str] = []
+
+
 def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A local session for tests and benchmarks. On a cluster, pass the cluster's own session around instead."""
     conf = SEMANTICS | SPEED | {"spark.sql.shuffle.partitions": str(partitions), "spark.driver.memory": memory, "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false"}
@@ -46,15 +55,31 @@ def shared_folder(spark: SparkSession) -> str:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     made = getattr(spark, "_lamella_folder", None)
     if made is None:
-        made = "file://" + tempfile.mkdtemp(prefix="lamella-")
+        folder = tempfile.mkdtemp(prefix="lamella-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        made = "file://" + folder
         spark._lamella_folder = made
         spark.sparkContext.setCheckpointDir(made)
     return made
 
 
 def fresh_path(spark: SparkSession, what: str) -> str:
-    """A path below the shared folder that no other call gets. The files are left to the owner of the folder, as Spark reads them lazily."""
-    return os.path.join(shared_folder(spark), f"{what}-{uuid.uuid4().hex}")
+    """A path below the shared folder that no other call gets. What is written there stays until `clear`, as Spark reads it lazily."""
+    path = os.path.join(shared_folder(spark), f"{what}-{uuid.uuid4().hex}")
+    _made.append(path)
+    return path
+
+
+def removed(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder, wherever Hadoop reaches it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all that this process has written to the shared folder. Call it when no result that was read from there is needed any more."""
+    while _made:
+        removed(spark, _made.pop())
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
