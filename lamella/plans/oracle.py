@@ -50,6 +50,20 @@ SQL: dict[str, str] = {
     "meta_statistics": """select 0 as column_id, count(*) as number_of_values, false as has_null from documents union all select 1, count(doc_id), count(doc_id) < count(*) from documents
         union all select 2, count(lang), count(lang) < count(*) from documents union all select 3, count(family_id), count(family_id) < count(*) from documents
         union all select 4, count(n_claims), count(n_claims) < count(*) from documents""",
+    "meta_stripes": """select column_id, encoding, n, true as zone, true as streams from (select count(*) as n from lineitem),
+        (values (0, 'DIRECT'), (1, 'DIRECT_V2'), (2, 'DIRECT_V2'), (3, 'DIRECT'), (4, 'DICTIONARY_V2'), (5, 'DIRECT_V2')) t(column_id, encoding)""",
+    "meta_typed": """select 1 as column_id, count(*) as n, cast(min(l_orderkey) as double) as least, cast(max(l_orderkey) as double) as most, cast(sum(l_orderkey) as double) as total, null as first_text from lineitem
+        union all select 2, count(*), null, null, cast(sum(strlen(l_returnflag)) as double), min(l_returnflag) from lineitem union all select 3, count(*), min(l_quantity), max(l_quantity), sum(l_quantity), null from lineitem""",
+    "meta_items": "select 'org.apache.spark.version' as item_name, true as four",
+    "meta_checked": "select 'good' as name, true as ok, count(*) as n, 'zstd' as codec from orders union all select 'bad', false, null, null",
+    "scan_streams": "select 1 as column_id, l_orderkey as value, count(*) as n from lineitem group by 2 union all select 2, l_partkey, count(*) from lineitem group by 2 union all select 3, cast(l_linenumber as bigint), count(*) from lineitem group by 2",
+    "sink_attempted": "select * from (values ('good', true), ('doubled', false), ('codec', false), ('schema', false)) t(name, ok)",
+    "proj_composites": "select vec_id as id, cast(len(embedding) as int) as size, cast(null as timestamp) as moment, null as bytes from embeddings union all select event_id, null, ts, hex(encode(event_type)) from events",
+    "enc_coded_varint": f"""with z as (select chunk, ordinal, 2 * l_partkey as z from {CHUNKED}), h as (select chunk, string_agg(case when z < 128 then printf('%02X', z) when z < 16384 then printf('%02X%02X', z & 127 | 128, z >> 7)
+        when z < 2097152 then printf('%02X%02X%02X', z & 127 | 128, (z >> 7) & 127 | 128, z >> 14) else printf('%02X%02X%02X%02X', z & 127 | 128, (z >> 7) & 127 | 128, (z >> 14) & 127 | 128, z >> 21) end, '' order by ordinal) as h from z group by 1)
+        select chunk, cast(length(h) // 2 as bigint) as bytes, md5(h) as digest from h""",
+    "enc_bytes_float": f"select ordinal, cast(l_quantity as float) as value from {CHUNKED}",
+    "stream_observed": "select count(*) as written, count(*) as n, count(*) filter (event_type = 'click') as clicks, cast(sum(user_id) as bigint) as total from events",
     "meta_types": "select * from (values (0, '', 'struct'), (1, 'vec_id', 'bigint'), (2, 'embedding', 'array'), (3, 'embedding.item', 'float'), (4, 'label', 'int')) t(column_id, path, kind)",
     "meta_registered": f"select file_id, feed_id, number_of_rows, date_order from {FILES}",
     "sink_rows_per_file": "select cast(least(1000, n - 1000 * i) as bigint) as number_of_rows, count(*) as files from (select count(*) as n from orders), (select unnest(range(0, 100000)) as i) where 1000 * i < n group by 1",
@@ -76,14 +90,21 @@ SQL: dict[str, str] = {
     "col_timestamps": "select record_id, c_ts.seconds as seconds, c_ts.nanos as nanos from row_records where c_ts is not null",
     "col_zip": "select o as ordinal, s_suppkey, n_nationkey from (select row_number() over (order by s_suppkey) - 1 as o, s_suppkey from supplier) join (select row_number() over (order by n_nationkey) - 1 as o, n_nationkey from nation) using (o)",
     "col_chunks": f"select chunk, count(*) as n, sum(l_quantity) as quantity, min(l_orderkey) as first_key from {CHUNKED} group by 1",
-    "col_transpose": "select cast(i - 1 as int) as pos, row_number() over (partition by i order by vec_id) - 1 as k, cast(embedding[i] as double) as value from embeddings, unnest(range(1, least(label + 1, len(embedding)) + 1)) t(i)",
+    "col_transpose": "select cast(i - 1 as int) as pos, row_number() over (partition by i order by vec_id) - 1 as k, cast(embedding[i] as double) as value from embeddings, unnest(range(1, len(embedding) + 1)) t(i)",
+    "col_transpose_jagged": """with v as (select l_orderkey, l_partkey, row_number() over (partition by l_orderkey order by l_partkey) - 1 as pos from lineitem)
+        select cast(pos as int) as pos, row_number() over (partition by pos order by l_orderkey) - 1 as k, l_partkey as value from v""",
+    "col_segments_back": f"select ordinal, coalesce(event_type, '') as event_type from {EVENTS}",
+    "col_typed_rows": """select case when event_id % 7 <> 0 then event_id end as event_id, case when event_id % 7 <> 0 then user_id end as user_id,
+        case when event_id % 7 = 0 then '{"event_id": ' || event_id || ', "user_id": "x"}' end as text from events""",
     "col_segments": "select doc_id, cast(coalesce(sum(strlen(text)) over (order by doc_id rows between unbounded preceding and 1 preceding), 0) as bigint) as \"offset\", strlen(text) as length from documents",
     "col_heads": "select vec_id, cast(embedding[1] as double) as head, case when len(embedding) > 0 then cast(len(embedding) - 1 as int) end as rest from embeddings",
-    "set_append": "select o_orderkey, o_orderstatus from orders where o_orderstatus = 'F' union all select o_orderkey, o_orderstatus from orders where o_orderkey % 3 = 0",
+    "set_append": "select o_orderkey as key, o_totalprice as amount from orders union all select c_custkey, c_acctbal from customer",
     "set_concat": "select o_orderkey, o_orderpriority from orders",
     "set_length": "select count(*) as n from lineitem",
     "set_empty": "select cast(0 as bigint) as n",
-    "chunk_resize": "select i as chunk, cast(least(65536, n - 65536 * i) as bigint) as n from (select sum(strlen(text)) as n from documents), (select unnest(range(0, 1000000)) as i) where 65536 * i < n",
+    "chunk_resize": """with h as materialized (select hex(encode(string_agg(text, '' order by doc_id))) as h from documents), l as materialized (select cast(sum(strlen(text)) as bigint) as l from documents)
+        select i as chunk, cast(least(65536, l - 65536 * i) as bigint) as n, md5(substr(h, 131072 * i + 1, 131072)) as digest from l, h, unnest(range(0, (select (l + 65535) // 65536 from l))) t(i)""",
+    "chunk_gather": "select 'all' as what, 25 as n, string_agg(n_name, '|' order by n_nationkey) as names from nation union all select 'ten', 10, string_agg(n_name, '|' order by n_nationkey) from nation where n_nationkey < 10",
     "chunk_total": "select cast(sum(strlen(text)) as bigint) as n from documents",
     "chunk_fold": f"select chunk, cast(sum(length(cast(step as varchar)) + 1) as bigint) as n from (select chunk, event_id - coalesce(nullif(lag(event_id) over (partition by chunk order by event_id), 0), event_id) as step from {EVENTS}) group by 1",
     "chunk_map": "select event_id, upper(event_type) as upper_type from events",
@@ -141,6 +162,14 @@ SQL: dict[str, str] = {
     "enc_bytes_double": f"select ordinal, l_extendedprice as value from {CHUNKED}",
     "udf_stripes": "select event_id, value * 2.0 as doubled from events",
     "stream_files": "select event_id, user_id, event_type from events",
+    "p4_joined": f"""with f as {FILES}, s as (select file_id, stripe_no, max(stripe_offset) as o, max(index_length) as i, max(data_length) as d, max(footer_length) as l, max(si_number_of_rows) as n from stripes group by all),
+        e as (select s.*, coalesce(d, coalesce(lead(o) over (partition by s.file_id order by stripe_no), content_length) - o - i - l) as size from s join f using (file_id)),
+        z as (select file_id, sum(size) as size, sum(n) as n from e group by 1 having count(size) = count(*)),
+        k as (select f.*, row_number() over (partition by feed_id, body_digest order by written_at, file_id) as turn from f),
+        small as (select file_id, feed_id, cast(written_at as date) as day, written_at, size from k join z using (file_id) where (turn = 1 or body_digest is null) and n >= 1 and size < 65536),
+        laid as (select *, count(*) over (partition by feed_id, day) as c, (sum(size) over (partition by feed_id, day order by written_at, file_id) - size) // 134217728 as container from small),
+        r as (select file_id, count(*) as n from (select distinct file_id, record_id as id from row_records union all select distinct file_id, row_id from nested_rows) group by 1)
+        select feed_id || '/' || day || '/' || cast(container as bigint) as container_id, count(*) as files, cast(coalesce(sum(r.n), 0) as bigint) as records, true as intact from laid left join r using (file_id) where c >= 2 group by 1""",
     "p4_found": f"""with f as {FILES}, s as (select file_id, stripe_no, max(stripe_offset) as o, max(index_length) as i, max(data_length) as d, max(footer_length) as l, max(si_number_of_rows) as n from stripes group by all),
         e as (select s.*, coalesce(d, coalesce(lead(o) over (partition by s.file_id order by stripe_no), content_length) - o - i - l) as size from s join f using (file_id)),
         z as (select file_id, sum(size) as size, sum(n) as n from e group by 1 having count(size) = count(*)),
@@ -177,3 +206,42 @@ def _profile_sql() -> tuple[str, str]:
 
 
 SQL["p3_profile"], SQL["p3_found"] = _profile_sql()
+
+
+def _drift_sql() -> tuple[str, str]:
+    """(every change between a file's type tree and the one before, the lifespans of fields)."""
+    trees = f"""f as (select * from {FILES}),
+        d as (select distinct file_id, type_id, upper(trim(kind)) as kind, coalesce(subtypes, []) as subs, coalesce(field_names, []) as fields from file_types),
+        t as (select *, case kind when 'STRUCT' then fields when 'LIST' then ['item'] when 'MAP' then ['key', 'value'] else list_transform(range(0, len(subs)), lambda i: 'v' || i) end as names from d),
+        c as (select file_id, type_id as parent, kind as parent_kind, i as ordinal, subs[i] as sub, names[i] as name from t, unnest(range(1, len(subs) + 1)) u(i)),
+        ch as (select c.*, t.kind from c join t on t.file_id = c.file_id and t.type_id = c.sub),
+        p as (select file_id, string_agg(type_id || kind || subs::varchar || fields::varchar, '|' order by type_id) as print from d group by 1),
+        o as (select file_id, feed_id, written_at, print, lag(print) over w as print_before, lag(file_id) over w as before from f join p using (file_id) window w as (partition by feed_id order by written_at, file_id))"""
+    changes = f"""with recursive {trees},
+        m(file_id, before, a, b, path) as (
+            select o.file_id, o.before, 0, 0, '' from o join t x on x.file_id = o.before and x.type_id = 0 join t y on y.file_id = o.file_id and y.type_id = 0 where x.kind = y.kind and o.print <> o.print_before
+            union all select m.file_id, m.before, x.sub, y.sub, m.path || '.' || y.name
+            from m join ch x on x.file_id = m.before and x.parent = m.a join ch y on y.file_id = m.file_id and y.parent = m.b
+                join t s on s.file_id = m.before and s.type_id = m.a join t z on z.file_id = m.file_id and z.type_id = m.b
+            where x.kind = y.kind and (x.name = y.name or (y.parent_kind = 'STRUCT' and x.ordinal = y.ordinal and not list_contains(s.names, y.name) and not list_contains(z.names, x.name)))),
+        old as (select m.*, x.name, x.kind, x.ordinal, s.kind as parent_kind, z.names as others from m join ch x on x.file_id = m.before and x.parent = m.a join t s on s.file_id = m.before and s.type_id = m.a join t z on z.file_id = m.file_id and z.type_id = m.b),
+        new as (select m.*, x.name, x.kind, x.ordinal, s.kind as parent_kind, z.names as others from m join ch x on x.file_id = m.file_id and x.parent = m.b join t s on s.file_id = m.file_id and s.type_id = m.b join t z on z.file_id = m.before and z.type_id = m.a),
+        gone as (select * from old where not list_contains(others, name)), fresh as (select * from new where not list_contains(others, name)),
+        r as (select y.file_id, y.path, y.a, y.b, x.name as was, y.name from gone x join fresh y on x.file_id = y.file_id and x.a = y.a and x.b = y.b and x.ordinal = y.ordinal and x.kind = y.kind and y.parent_kind = 'STRUCT')
+        select file_id, change_kind, substr(path || '.' || name, 2) as field_path from (
+            select file_id, 'renamed' as change_kind, path, name from r
+            union all select file_id, 'removed', path, name from gone g where not exists (select 1 from r where r.file_id = g.file_id and r.a = g.a and r.b = g.b and r.was = g.name)
+            union all select file_id, 'added', path, name from fresh g where not exists (select 1 from r where r.file_id = g.file_id and r.a = g.a and r.b = g.b and r.name = g.name)
+            union all select n.file_id, 'retyped', n.path, n.name from new n join old x on x.file_id = n.file_id and x.a = n.a and x.b = n.b and x.name = n.name and x.kind <> n.kind)"""
+    spans = f"""with recursive {trees},
+        v as (select file_id, feed_id, sum(case when print is distinct from print_before then 1 else 0 end) over (partition by feed_id order by written_at, file_id) as version, print is distinct from print_before as changed from o),
+        w as (select * from v where changed),
+        n(feed_id, file_id, version, type_id, kind, path) as (select feed_id, file_id, version, 0, cast('' as varchar), cast('' as varchar) from w
+            union all select n.feed_id, n.file_id, n.version, ch.sub, ch.kind, n.path || chr(1) || ch.name from n join ch on ch.file_id = n.file_id and ch.parent = n.type_id),
+        i as (select *, version - row_number() over (partition by feed_id, path, kind order by version) as island from n where path <> '')
+        select feed_id, replace(substr(path, 2), chr(1), '.') as field_path, kind, cast(min(version) as bigint) as first_version, cast(max(version) as bigint) as last_version, arg_min(file_id, version) as first_file_id
+        from i group by feed_id, path, kind, island"""
+    return changes, spans
+
+
+SQL["p1_found"], SQL["p1_lifespans"] = _drift_sql()

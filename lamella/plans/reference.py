@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lamella.functions import bits, civil, codecs, jsontext
 from lamella.operators import assembly, chunking, columns, encodings, projection
@@ -108,6 +109,62 @@ def meta_registered(spark: SparkSession, d: str) -> DataFrame:
     return registered_files(table(spark, d, "orc_files")).select("file_id", "feed_id", "number_of_rows", "date_order")
 
 
+@query
+def meta_stripes(spark: SparkSession, d: str) -> DataFrame:
+    """Stripe footers of written files: the encoding of each column with the rows of its stripes, and whether the writer's zone is there."""
+    path = _stored(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag", F.col("l_shipdate").cast("timestamp").alias("l_shipdate")), "stripe-footers", "zlib")
+    f = footer.stripe_footers(spark, path)
+    each = f.select("rows", F.col("writer_timezone").isNotNull().alias("zone"), F.size("streams").alias("streams"), F.explode("encodings").alias("e"))
+    return each.groupBy(F.col("e.column_id").alias("column_id"), F.col("e.encoding").alias("encoding")).agg(F.sum("rows").alias("n"), F.expr("every(zone)").alias("zone"), F.expr("every(streams > 5)").alias("streams"))
+
+
+@query
+def meta_typed(spark: SparkSession, d: str) -> DataFrame:
+    """Least and greatest values and totals as the footers state them."""
+    path = _stored(table(spark, d, "lineitem").select("l_orderkey", "l_returnflag", "l_quantity"), "typed", "snappy")
+    s = footer.footers(spark, path).select(F.explode("statistics").alias("s")).select("s.*").where("column_id > 0")
+    number = lambda c: F.expr(f"try_cast({c} as double)")
+    return s.groupBy("column_id").agg(F.sum("number_of_values").alias("n"), F.min(number("minimum")).alias("least"), F.max(number("maximum")).alias("most"), F.sum(number("total")).alias("total"), F.min("minimum").alias("first_text")).select(
+        "column_id", "n", "least", "most", "total", F.when(F.col("column_id") == 2, F.col("first_text")).alias("first_text")
+    )
+
+
+@query
+def meta_items(spark: SparkSession, d: str) -> DataFrame:
+    """User metadata that the writer leaves in each file."""
+    path = _stored(table(spark, d, "region"), "items", single=True)
+    return footer.footers(spark, path).select(F.explode("user_metadata").alias("x")).select("x.item_name", F.col("x.item_value").startswith("4.").alias("four"))
+
+
+@query
+def meta_checked(spark: SparkSession, d: str) -> DataFrame:
+    """A file's stripes, fields and codec without its data; one that is none gives an error."""
+    path = _stored(table(spark, d, "orders"), "checked", "zstd", single=True)
+    good, bad = orc.attempt(lambda: footer.check_file(spark, path)), orc.attempt(lambda: footer.check_file(spark, path + "/_SUCCESS"))
+    rows = [("good", good.ok, sum(s["rows"] for s in good.value[0]), good.value[2]), ("bad", bad.ok, None, None)]
+    return spark.createDataFrame(rows, "name string, ok boolean, n bigint, codec string")
+
+
+@query
+def scan_streams(spark: SparkSession, d: str) -> DataFrame:
+    """Whole-number columns decoded from the streams of a file that Spark wrote: deltas, packed numbers and short repeats."""
+    path = _stored(table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber"), "streams", "zlib")
+    return footer.whole_numbers(spark, path, [1, 2, 3]).groupBy("column_id", "value").agg(F.count("*").alias("n"))
+
+
+@query
+def sink_attempted(spark: SparkSession, d: str) -> DataFrame:
+    """Errors of a sink as values: a good table, one with two fields of one name, an unknown codec, another schema."""
+    r = table(spark, d, "region")
+    tries = {
+        "good": lambda: orc.sink(r, fresh_path(spark, "tried")),
+        "doubled": lambda: orc.sink(r.select("r_name", "r_name"), fresh_path(spark, "tried")),
+        "codec": lambda: orc.sink(r, fresh_path(spark, "tried"), "lzma"),
+        "schema": lambda: orc.sink(r, fresh_path(spark, "tried"), schema=r.select("r_name").schema),
+    }
+    return spark.createDataFrame([(k, orc.attempt(f).ok) for k, f in tries.items()], "name string, ok boolean")
+
+
 @query
 def sink_rows_per_file(spark: SparkSession, d: str) -> DataFrame:
     """Files of exactly 1,000 rows, the last shorter."""
@@ -160,6 +217,16 @@ def proj_scalars(spark: SparkSession, d: str) -> DataFrame:
     return r.select("record_id", *[projection.take(r, c, k).alias(c) for c, k in kinds.items()])
 
 
+@query
+def proj_composites(spark: SparkSession, d: str) -> DataFrame:
+    """A timestamp, a list and a binary column as exactly their kinds."""
+    e = table(spark, d, "embeddings")
+    lists = e.select(F.col("vec_id").alias("id"), F.size(projection.take(e, "embedding", "LIST")).alias("size"), F.lit(None).cast("timestamp_ntz").alias("moment"), F.lit(None).cast("string").alias("bytes"))
+    v = table(spark, d, "events").select("event_id", "ts", F.col("event_type").cast("binary").alias("body"))
+    rest = v.select(F.col("event_id").alias("id"), F.lit(None).cast("int").alias("size"), projection.take(v, "ts", "TIMESTAMP").alias("moment"), F.hex(projection.take(v, "body", "BINARY")).alias("bytes"))
+    return lists.unionByName(rest)
+
+
 @query
 def proj_struct(spark: SparkSession, d: str) -> DataFrame:
     """A struct's fields by name and by position."""
@@ -296,9 +363,36 @@ def col_chunks(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def col_transpose(spark: SparkSession, d: str) -> DataFrame:
-    """Jagged rows as columns; short rows are passed over."""
-    rows = table(spark, d, "embeddings").select("vec_id", F.slice("embedding", F.lit(1), F.col("label") + 1).alias("v"))
-    return assembly.transpose(rows, "vec_id", "v").select("pos", "k", F.col("value").cast("double").alias("value"))
+    """Whole vectors as columns."""
+    return assembly.transpose(table(spark, d, "embeddings"), "vec_id", "embedding").select("pos", "k", F.col("value").cast("double").alias("value"))
+
+
+@query
+def col_transpose_jagged(spark: SparkSession, d: str) -> DataFrame:
+    """Lists of differing lengths as columns; short ones are passed over."""
+    rows = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list("l_partkey")).alias("v"))
+    return assembly.transpose(rows, "l_orderkey", "v")
+
+
+@query
+def col_segments_back(spark: SparkSession, d: str) -> DataFrame:
+    """Pieces cut out of one buffer by offset and length: each chunk's event types end to end, and apart again."""
+    it = _chunked_events(spark, d, "event_type").select("chunk", "ordinal", F.coalesce("event_type", F.lit("")).alias("piece"))
+    cut = F.struct("ordinal", "piece", F.octet_length("piece").alias("length"))
+    buffers = it.groupBy("chunk").agg(F.array_sort(F.collect_list(cut)).alias("x"))
+    laid = buffers.select("chunk", F.array_join(F.transform("x", lambda e: e["piece"]), "").cast("binary").alias("buffer"), F.posexplode("x").alias("k", "e"))
+    own = Window.partitionBy("chunk").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    laid = laid.withColumn("offset", F.coalesce(F.sum("e.length").over(own), F.lit(0)))
+    return laid.select("e.ordinal", F.decode(assembly.cut_segments(F.col("buffer"), F.col("offset"), F.col("e.length")), "UTF-8").alias("event_type"))
+
+
+@query
+def col_typed_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of text checked value by value against a schema; every seventh has a word where a number is due."""
+    user = F.when(F.col("event_id") % 7 == 0, F.lit('"x"')).otherwise(F.col("user_id").cast("string"))
+    rows = table(spark, d, "events").select(F.concat(F.lit('{"event_id": '), F.col("event_id").cast("string"), F.lit(', "user_id": '), user, F.lit("}")).alias("text"))
+    good, bad = orc.checked_rows(rows, "text", T.StructType.fromDDL("event_id bigint, user_id bigint"))
+    return good.select("event_id", "user_id", F.lit(None).cast("string").alias("text")).unionByName(bad.select(F.lit(None).cast("bigint").alias("event_id"), F.lit(None).cast("bigint").alias("user_id"), "text"))
 
 
 @query
@@ -316,8 +410,9 @@ def col_heads(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def set_append(spark: SparkSession, d: str) -> DataFrame:
-    o = table(spark, d, "orders").select("o_orderkey", "o_orderstatus")
-    return columns.append(o.where("o_orderstatus = 'F'"), o.where("o_orderkey % 3 = 0"))
+    """Two whole tables of one shape."""
+    a = table(spark, d, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_totalprice").alias("amount"))
+    return columns.append(a, table(spark, d, "customer").select(F.col("c_custkey").alias("key"), F.col("c_acctbal").alias("amount")))
 
 
 @query
@@ -342,7 +437,15 @@ def set_empty(spark: SparkSession, d: str) -> DataFrame:
 @query
 def chunk_resize(spark: SparkSession, d: str) -> DataFrame:
     """All texts as one stream of bytes, cut every 65,536."""
-    return chunking.resize_chunks(table(spark, d, "documents"), "doc_id", "text", 65_536).select("chunk", "n")
+    return chunking.resize_chunks(table(spark, d, "documents"), "doc_id", "text", 65_536).select("chunk", "n", F.md5(F.hex("body").cast("binary")).alias("digest"))
+
+
+@query
+def chunk_gather(spark: SparkSession, d: str) -> DataFrame:
+    """A small table's column as one list on the driver, and its first ten."""
+    n = table(spark, d, "nation")
+    lists = [("all", chunking.gather(n, "n_name", ["n_nationkey"])), ("ten", chunking.gather(n, "n_name", ["n_nationkey"], 10))]
+    return spark.createDataFrame([(k, len(v), "|".join(v)) for k, v in lists], "what string, n int, names string")
 
 
 @query
@@ -553,10 +656,19 @@ def _codec(name: str, column: str, item: str) -> None:
     query(run)
 
 
-for _name, _column, _item in (("varint", "l_partkey", "bigint"), ("runs", "l_linenumber", "bigint"), ("bytes", "l_linenumber", "bigint"), ("double", "l_extendedprice", "double")):
+for _name, _column, _item in (("varint", "l_partkey", "bigint"), ("runs", "l_linenumber", "bigint"), ("bytes", "l_linenumber", "bigint"), ("double", "l_extendedprice", "double"), ("float", "l_quantity", "float")):
     _codec(_name, _column, _item)
 
 
+@query
+def enc_coded_varint(spark: SparkSession, d: str) -> DataFrame:
+    """The bytes of each stripe's part keys, zigzag and seven bits to a byte: how many, and their digest."""
+    it = _chunked_lineitem(spark, d, "l_partkey")
+    arrays = it.groupBy("chunk").agg(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "l_partkey"))), lambda x: x["l_partkey"]).alias("items"))
+    coded = codecs.encode_chunks(arrays, "varint")
+    return coded.select("chunk", F.octet_length("body").cast("bigint").alias("bytes"), F.md5(F.hex("body").cast("binary")).alias("digest"))
+
+
 @query
 def enc_bytes_sizes(spark: SparkSession, d: str) -> DataFrame:
     """How many bytes each stripe's line numbers take by each codec."""
@@ -572,6 +684,17 @@ def enc_bytes_sizes(spark: SparkSession, d: str) -> DataFrame:
 # ---- consumers and streams
 
 
+@query
+def stream_observed(spark: SparkSession, d: str) -> DataFrame:
+    """A table written to a file and counted beside it, in one pass."""
+    from lamella.streaming import orc_stream
+
+    df, figures = orc_stream.observed(table(spark, d, "events"), "teed", n=F.count("*"), clicks=F.count_if(F.col("event_type") == "click"), total=F.sum("user_id"))
+    path = _stored(df, "teed", "zlib")
+    seen = figures()
+    return orc.scan(spark, path).agg(F.count("*").alias("written")).withColumns({k: F.lit(seen[k]).cast("bigint") for k in ("n", "clicks", "total")})
+
+
 @query
 def udf_stripes(spark: SparkSession, d: str) -> DataFrame:
     """A consumer over Arrow batches."""

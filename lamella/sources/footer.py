@@ -6,15 +6,21 @@ specification of the format.
 
 from __future__ import annotations
 
+import datetime
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
+from lamella.sources.files import opened
+
 #: Names by number: fixed values of the format.
 COMPRESSIONS = ("none", "zlib", "snappy", "lzo", "lz4", "zstd")
+STREAMS = ("PRESENT", "DATA", "LENGTH", "DICTIONARY_DATA", "DICTIONARY_COUNT", "SECONDARY", "ROW_INDEX", "BLOOM_FILTER", "BLOOM_FILTER_UTF8")
+ENCODINGS = ("DIRECT", "DICTIONARY", "DIRECT_V2", "DICTIONARY_V2")
 KINDS = ("BOOLEAN", "BYTE", "SHORT", "INT", "LONG", "FLOAT", "DOUBLE", "STRING", "BINARY", "TIMESTAMP", "LIST", "MAP", "STRUCT", "UNION", "DECIMAL", "DATE", "VARCHAR", "CHAR", "TIMESTAMP_INSTANT")
 
 
@@ -95,6 +101,42 @@ def inflate(data: bytes, compression: str) -> bytes:
     return b"".join(out)
 
 
+def zagged(n: int) -> int:
+    return n >> 1 ^ -(n & 1)
+
+
+def typed_statistics(column: dict[int, list]) -> dict:
+    """minimum, maximum, total of a column as text, whichever kind it states; null where it states none. Dates as days become dates, moments milliseconds."""
+    show = {"sint": lambda v: str(zagged(v)), "double": lambda v: repr(struct.unpack("<d", v)[0]), "text": lambda v: v.decode("utf-8", "replace"), "date": lambda v: str(datetime.date(1970, 1, 1) + datetime.timedelta(zagged(v)))}
+    #: By field of the column's record: how its minimum, maximum and total are kept; fixed values of the format.
+    forms = {2: ("sint", "sint", "sint"), 3: ("double", "double", "double"), 4: ("text", "text", "sint"), 6: ("text", "text", "text"), 7: ("date", "date", None), 8: (None, None, None), 9: ("sint", "sint", None)}
+    out = dict.fromkeys(("minimum", "maximum", "total"))
+    for number, kinds in forms.items():
+        if number in column:
+            own = message(column[number][0])
+            for i, (name, kind) in enumerate(zip(out, kinds), 1):
+                if kind and i in own:
+                    out[name] = show[kind](own[i][0])
+            if number == 8 and 1 in own:
+                out["total"] = show["sint"](own[1][0])
+    if 5 in column:  # of booleans: how many are true
+        own = message(column[5][0])
+        out["total"] = str(numbers(own.get(1, [0]))[0])
+    return out
+
+
+def parse_stripe(data: bytes, compression: str) -> dict:
+    """The footer of a stripe: its streams, each column's encoding, and the writer's time zone."""
+    m = message(inflate(data, compression))
+    one = lambda x, k, d=0: x.get(k, [d])[0]
+    streams, encodings = [message(x) for x in m.get(1, [])], [message(x) for x in m.get(2, [])]
+    return {
+        "streams": [{"column_id": one(x, 2), "stream": STREAMS[one(x, 1)] if one(x, 1) < len(STREAMS) else str(one(x, 1)), "length": one(x, 3)} for x in streams],
+        "encodings": [{"column_id": i, "encoding": ENCODINGS[one(x, 1)], "dictionary_size": one(x, 2, None)} for i, x in enumerate(encodings)],
+        "writer_timezone": one(m, 3, b"").decode() or None,
+    }
+
+
 def parse_tail(path: str, size: int, tail: bytes) -> dict:
     """Postscript and footer from the last bytes of a file. Raises ValueError if they are not those of an ORC file or don't reach far enough back."""
     one = lambda m, k, d=0: m.get(k, [d])[0]
@@ -127,7 +169,7 @@ def parse_tail(path: str, size: int, tail: bytes) -> dict:
         "stripes": [{"stripe_no": i, "stripe_offset": one(s, 1), "index_length": one(s, 2), "data_length": one(s, 3), "footer_length": one(s, 4), "rows": one(s, 5)} for i, s in enumerate(stripes)],
         "types": [{"type_id": i, "kind": KINDS[one(t, 1)], "subtypes": numbers(t.get(2, [])), "field_names": [x.decode() for x in t.get(3, [])], "maximum_length": one(t, 4, None), "precision": one(t, 5, None), "scale": one(t, 6, None)} for i, t in enumerate(types)],
         "user_metadata": [{"item_name": one(x, 1, b"").decode(), "item_value": one(x, 2, b"").decode("utf-8", "replace")} for x in items],
-        "statistics": [{"column_id": i, "number_of_values": one(s, 1, None), "has_null": bool(one(s, 10)) if 10 in s else None} for i, s in enumerate(stats)],
+        "statistics": [{"column_id": i, "number_of_values": one(s, 1, None), "has_null": bool(one(s, 10)) if 10 in s else None, **typed_statistics(s)} for i, s in enumerate(stats)],
     }
 
 
@@ -136,7 +178,7 @@ FOOTER = (
     "number_of_rows bigint, row_index_stride bigint, "
     "stripes array<struct<stripe_no:int,stripe_offset:bigint,index_length:bigint,data_length:bigint,footer_length:bigint,rows:bigint>>, "
     "types array<struct<type_id:int,kind:string,subtypes:array<int>,field_names:array<string>,maximum_length:int,precision:int,scale:int>>, "
-    "user_metadata array<struct<item_name:string,item_value:string>>, statistics array<struct<column_id:int,number_of_values:bigint,has_null:boolean>>, error string"
+    "user_metadata array<struct<item_name:string,item_value:string>>, statistics array<struct<column_id:int,number_of_values:bigint,has_null:boolean,minimum:string,maximum:string,total:string>>, error string"
 )
 
 
@@ -148,7 +190,7 @@ def list_files(spark: SparkSession, path: str) -> DataFrame:
 def footers(spark: SparkSession, path: str, guess: int = 16_384) -> DataFrame:
     """One row per ORC file below a path, with its whole footer; a file that is none has only its path and `error`.
 
-    Files are listed once, and their tails are read by the executors: the last `guess` bytes, and more where the footer is longer. Local and mounted paths.
+    Files are listed once, and their heads and tails are read by the executors: the last `guess` bytes, and more where the footer is longer.
     """
 
     def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -156,11 +198,13 @@ def footers(spark: SparkSession, path: str, guess: int = 16_384) -> DataFrame:
             rows = []
             names = [x.split()[0] for x in re.sub(r"<.*?>+(?=, |$)", "", FOOTER).split(", ")]
             for name, size in zip(part["path"], part["length"]):
-                local = name.split(":", 1)[1] if name.startswith("file:") else name
                 try:
+                    system, local = opened(name)
                     want = guess
                     while True:
-                        with open(local, "rb") as f:
+                        with system.open_input_file(local) as f:
+                            if f.read(3) != b"ORC":
+                                raise ValueError("no magic in the header")
                             f.seek(max(0, size - want))
                             tail = f.read()
                         try:
@@ -177,6 +221,70 @@ def footers(spark: SparkSession, path: str, guess: int = 16_384) -> DataFrame:
     return list_files(spark, path).mapInPandas(read, FOOTER)
 
 
+STRIPES = (
+    "file_path string, stripe_no int, rows bigint, streams array<struct<column_id:int,stream:string,length:bigint>>, "
+    "encodings array<struct<column_id:int,encoding:string,dictionary_size:int>>, writer_timezone string"
+)
+
+
+def stripe_footers(spark: SparkSession, path: str) -> DataFrame:
+    """One row per stripe of the files below a path: its streams, the encoding of each column, and the time zone of its writer. No data is read.
+
+    A stripe whose footer can't be read raises an error; files that are none have no rows.
+    """
+
+    def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            rows = []
+            for name, compression, stripes in zip(part["file_path"], part["compression"], part["stripes"]):
+                system, local = opened(name)
+                with system.open_input_file(local) as f:
+                    for s in stripes:
+                        f.seek(s["stripe_offset"] + s["index_length"] + s["data_length"])
+                        rows.append({"file_path": name, "stripe_no": s["stripe_no"], "rows": s["rows"], **parse_stripe(f.read(s["footer_length"]), compression)})
+            yield pd.DataFrame(rows, columns=["file_path", "stripe_no", "rows", "streams", "encodings", "writer_timezone"], dtype=object)
+
+    return footers(spark, path).where("error is null").select("file_path", "compression", "stripes").mapInPandas(read, STRIPES)
+
+
+INDEXES = ("ROW_INDEX", "BLOOM_FILTER", "BLOOM_FILTER_UTF8")
+
+
+def stream(f, stripe: dict, footer: dict, compression: str, column_id: int, kind: str) -> bytes:
+    """The bytes of one stream of a stripe, decompressed; none where the stripe has no such stream. Streams stand back to back, those of indexes first."""
+    at = stripe["stripe_offset"]
+    for s in sorted(footer["streams"], key=lambda x: x["stream"] not in INDEXES):
+        if (s["column_id"], s["stream"]) == (column_id, kind):
+            f.seek(at)
+            return inflate(f.read(s["length"]), compression)
+        at += s["length"]
+    return b""
+
+
+def whole_numbers(spark: SparkSession, path: str, column_ids: list[int]) -> DataFrame:
+    """file_path, stripe_no, column_id, present, value: whole-number columns decoded straight from their streams, without the reader of files.
+
+    The present values of a stripe come in order, `present` counts them. Both versions of runs are read, as the column's encoding says.
+    """
+    from lamella.functions import codecs
+
+    def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for name, compression, stripes in zip(part["file_path"], part["compression"], part["stripes"]):
+                system, local = opened(name)
+                with system.open_input_file(local) as f:
+                    for s in stripes:
+                        f.seek(s["stripe_offset"] + s["index_length"] + s["data_length"])
+                        foot = parse_stripe(f.read(s["footer_length"]), compression)
+                        for c in column_ids:
+                            decode = codecs.decode_runs_2 if foot["encodings"][c]["encoding"].endswith("V2") else codecs.decode_runs
+                            values = decode(stream(f, s, foot, compression, c, "DATA"))
+                            yield pd.DataFrame({"file_path": name, "stripe_no": s["stripe_no"], "column_id": c, "present": range(len(values)), "value": values})
+
+    schema = "file_path string, stripe_no int, column_id int, present bigint, value bigint"
+    return footers(spark, path).where("error is null").select("file_path", "compression", "stripes").mapInPandas(read, schema)
+
+
 def check_file(spark: SparkSession, path: str) -> tuple[list[dict], str, str]:
     """(stripes, schema, codec) of one file, without reading its data; raises ValueError on a file that is none."""
     row = footers(spark, path).first()

@@ -74,6 +74,22 @@ def check_schema(df: DataFrame, expected: T.StructType | None) -> None:
         raise FileError(f"expected {expected.simpleString()}, got {df.schema.simpleString()}")
 
 
+def checked_rows(rows: DataFrame, text: str, expected: T.StructType) -> tuple[DataFrame, DataFrame]:
+    """(rows, faults) of rows of JSON text under a schema: the rows whose every value is of its field's kind, and of the others their text with `error`.
+
+    Kinds are checked strictly: a number with a fraction, or one beyond a field's range, is no integer, and a string is no number. A null row is a fault;
+    a field that is absent is null; a member that the schema doesn't name is a fault as well.
+    """
+    names = [f.name for f in expected.fields]
+    typed = F.from_json(text, T.StructType([*expected.fields, T.StructField("_fault", T.StringType())]), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_fault", "allowNonNumericNumbers": "true"})
+    keys = F.json_object_keys(text)
+    surplus = F.array_except(keys, F.array(*map(F.lit, names)))
+    fault = F.when(F.col(text).isNull(), F.lit("no row")).when(keys.isNull(), F.lit("no object")).when(F.col("_it._fault").isNotNull(), F.lit(f"expected {expected.simpleString()}")).when(F.size(surplus) > 0, F.concat(F.lit("unknown: "), F.array_join(surplus, ", ")))
+    judged = rows.withColumn("_it", typed).withColumn("error", fault)
+    good = judged.where("error is null").select(*[F.col("_it")[n].alias(n) for n in names])
+    return good, judged.where("error is not null").select(F.col(text).alias("text"), "error")
+
+
 def writable(df: DataFrame) -> DataFrame:
     """df if an ORC file can hold it: some field, no two of one name. Raises FileError otherwise."""
     if not df.columns:

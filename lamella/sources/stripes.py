@@ -1,45 +1,18 @@
-"""A data source that reads ORC files stripe by stripe, one partition for each stripe."""
+"""ORC files read stripe by stripe, each row with its place."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from lamella.sources.files import opened
+from lamella.sources.footer import footers
 
-class StripePartition(InputPartition):
-    def __init__(self, path: str, stripe: int):
-        self.path, self.stripe = path, stripe
-
-
-class StripeReader(DataSourceReader):
-    """Reads whole stripes as Arrow batches. Only Arrow's own reader is used, so files with unions can be opened too, a union as tag and variants."""
-
-    def __init__(self, schema: StructType, options: dict):
-        self.schema, self.options = schema, options
-
-    def partitions(self) -> list[InputPartition]:
-        import glob
-        import os
-
-        import pyarrow.orc as orc
-
-        root = self.options["path"].removeprefix("file://").removeprefix("file:")
-        paths = [root] if os.path.isfile(root) else sorted(glob.glob(f"{root}/**/*.orc", recursive=True))
-        return [StripePartition(p, i) for p in paths for i in range(orc.ORCFile(p).nstripes)]
-
-    def read(self, partition: StripePartition) -> Iterator:
-        import pyarrow as pa
-        import pyarrow.orc as orc
-
-        batch = orc.ORCFile(partition.path).read_stripe(partition.stripe)
-        names = [f.name for f in self.schema.fields]
-        n = batch.num_rows
-        own = {"_file": pa.array([partition.path] * n, pa.string()), "_stripe": pa.array([partition.stripe] * n, pa.int32()), "_row": pa.array(range(n), pa.int64())}
-        columns = [own[c] if c in own else _plain(batch.column(batch.schema.get_field_index(c))) for c in names]
-        yield pa.RecordBatch.from_arrays(columns, names=names)
+#: Bytes of stripes that one task reads, at least.
+TASK_BYTES = 67_108_864
 
 
 def _plain(column):
@@ -61,24 +34,36 @@ def _plain(column):
     return column
 
 
-class StripeSource(DataSource):
-    """format("stripes"), with a schema and a path. The columns _file, _stripe and _row, where asked for, say where a row stood."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "stripes"
-
-    def schema(self) -> str:
-        raise ValueError("give a schema, e.g. that of spark.read.orc(path)")
-
-    def reader(self, schema: StructType) -> DataSourceReader:
-        return StripeReader(schema, dict(self.options))
+def read_stripes(spark: SparkSession, path: str, schema: StructType | str | None = None, task_bytes: int = TASK_BYTES) -> DataFrame:
+    """The rows of the files below a path with _file, _stripe and _row: order within a file is (_stripe, _row).
 
-
-def read_stripes(spark: SparkSession, path: str, schema: StructType | str | None = None):
-    """The rows of the files below a path with _file, _stripe and _row: order within a file is (_stripe, _row)."""
-    spark.dataSource.register(StripeSource)
+    Only the columns of the schema are read (all, where it is None). The stripes are taken from the footers and spread over tasks of about task_bytes; the
+    driver learns only how many bytes there are. Arrow's own reader is used, so files with unions can be opened too, a union as tag and variants.
+    """
     if schema is None:
         schema = spark.read.orc(path).schema
     text = schema if isinstance(schema, str) else ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
-    return spark.read.format("stripes").schema(f"{text}, _file string, _stripe int, _row bigint").load(path)
+    whole = StructType.fromDDL(f"{text}, _file string, _stripe int, _row bigint")
+    names = [f.name for f in whole.fields]
+    found = footers(spark, path).where("error is null").select("file_path", F.explode("stripes").alias("s")).where("s.rows > 0")
+    each = found.select("file_path", "s.stripe_no", (F.col("s.index_length") + F.col("s.data_length")).alias("bytes"))
+    total = each.agg(F.sum("bytes")).first()[0] or 0
+    tasks = max(-(-total // task_bytes), min(spark.sparkContext.defaultParallelism, -(-total // (task_bytes // 64))), 1)
+
+    def read(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        import pyarrow.orc as orc
+
+        now, file = None, None
+        for batch in batches:
+            for name, stripe in sorted(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                if name != now:
+                    system, local = opened(name)
+                    now, file = name, orc.ORCFile(system.open_input_file(local))
+                own = [c for c in names if c not in ("_file", "_stripe", "_row")]
+                rows = file.read_stripe(stripe, columns=own)
+                n = rows.num_rows
+                place = {"_file": pa.array([name] * n, pa.string()), "_stripe": pa.array([stripe] * n, pa.int32()), "_row": pa.array(range(n), pa.int64())}
+                yield pa.RecordBatch.from_arrays([place[c] if c in place else _plain(rows.column(rows.schema.get_field_index(c))) for c in names], names=names)
+
+    return each.select("file_path", "stripe_no").repartition(tasks, "file_path", "stripe_no").mapInArrow(read, whole)

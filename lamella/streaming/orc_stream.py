@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +21,20 @@ def write_stream(df: DataFrame, folder: str, checkpoint: str, compression: str |
     return df.writeStream.format("orc").option("path", folder).option("checkpointLocation", checkpoint).option("compression", codec(compression)).outputMode("append").trigger(availableNow=True).start()
 
 
+def observed(df: DataFrame, what: str, **figures) -> tuple[DataFrame, Callable[[], dict]]:
+    """(df, its figures): aggregates that are worked out while df goes elsewhere, as when a stream of values is teed into a counter. df may be a stream.
+
+    The figures are there once an action on df has ended; until then asking waits. Of a stream, its query's progress holds them under `what`.
+    """
+    from pyspark.sql import Observation
+
+    columns = [c.alias(n) for n, c in figures.items()]
+    if df.isStreaming:
+        return df.observe(what, *columns), lambda: {}
+    seen = Observation(what)
+    return df.observe(seen, *columns), lambda: seen.get
+
+
 def running_lengths(df: DataFrame, key: str, value: str) -> DataFrame:
     """key, chunks, bytes so far of each key in each batch: state is kept by Spark, so it survives a lost executor and a restart.
 

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lamella.operators import compaction, drift, instants, profile, shredding
+from lamella.sources import files
 from lamella.tables import table
 
 TABLES = ("orc_files", "file_types", "stripes", "column_stats", "row_records", "nested_rows")
@@ -152,6 +153,33 @@ def test_levels_give_the_children(value, expected):
     assert sorted(shredding.children_of(root, levels)) == sorted(expected)
 
 
+def test_flat_tables_hold_values_and_parents(spark):
+    types = spark.createDataFrame([(1, *x.values()) for x in TREE], "file_id bigint, type_id int, kind string, subtypes array<int>, field_names array<string>")
+    payload = {"l": [7, None], "m": [{"key": "a", "value": [{"x": 1}, None, {"x": None}]}, {"key": None, "value": []}], "u": {"tag": 1, "value": "w"}, "b": [1, 2]}
+    rows = [(5, 1, json.dumps(payload)), (6, 1, "{}"), (7, 1, '{"l":'), (8, 1, None), (9, 2, "{}")]
+    df = spark.createDataFrame(rows, "row_id bigint, file_id bigint, payload string").withColumn("ingested_at", F.lit("2020-01-01").cast("timestamp_ntz"))
+    got = sorted((r["row_id"], r["table"], r["parent_path"], r["child_path"], r["columns"]) for r in shredding.flat_tables(df, types).collect() if r["parent_path"] is not None)
+    assert got == [
+        (5, "$.l[]", "$", "$.l[0]", {"": "7"}), (5, "$.l[]", "$", "$.l[1]", {}),
+        (5, "$.m[]", "$", "$.m[0]", {"key": "a"}), (5, "$.m[]", "$", "$.m[1]", {}),
+        (5, "$.m[].value[]", "$.m[0]", "$.m[0].value[0]", {"x": "1"}), (5, "$.m[].value[]", "$.m[0]", "$.m[0].value[1]", {}), (5, "$.m[].value[]", "$.m[0]", "$.m[0].value[2]", {}),
+        (5, "$.u", "$", "$.u", {"value<v1>": "w"}),
+    ]
+    assert {(r["row_id"], str(r["columns"])) for r in shredding.flat_tables(df, types).where("parent_path is null").collect()} == {(5, "{'b': '[1, 2]'}"), (6, "{}")}
+    levels = {(r["leaf_path"], r["ordinal"]): (r["rep"], r["def"], r["value"]) for r in shredding.leaf_values(shredding.shredded(df, types)).where("row_id = 5").collect()}
+    assert levels["$.l[]", 0] == (0, 3, "7") and levels["$.l[]", 1] == (1, 2, None) and levels["$.m[].value[].x", 3] == (1, 3, None)
+
+
+def test_tables_keep_every_value(spark, t):
+    """Each present leaf value is in exactly one row of one table, and every row but the records names a row that is there."""
+    levels = shredding.leaf_values(shredding.shredded(t["nested_rows"], t["file_types"])).where("value is not null")
+    rows = [r.asDict() for r in shredding.flat_tables(t["nested_rows"], t["file_types"]).collect()]
+    held = sorted((r["row_id"], v) for r in rows for v in r["columns"].values() if v is not None)
+    assert held == sorted((r["row_id"], r["value"]) for r in levels.collect())
+    there = {(r["row_id"], r["child_path"]) for r in rows}
+    assert len(there) == len(rows) and all((r["row_id"], r["parent_path"]) in there for r in rows if r["parent_path"] is not None)
+
+
 def test_bad_trees_and_payloads_give_no_rows():
     assert shredding.plan_tree([{"type_id": 1, "kind": "INT", "subtypes": [], "field_names": []}]) is None
     assert shredding.plan_tree([{"type_id": 0, "kind": "LIST", "subtypes": [0], "field_names": []}]) is None
@@ -243,7 +271,7 @@ def test_a_damaged_byte_is_noticed(spark, tmp_path):
         data = [zstandard.ZstdCompressor().compress(b) if form == "zstd" else b for b in bodies]
         plan = [(f"{tmp_path}/{form}/all", i, f"{tmp_path}/{form}/{i}", len(x), zlib.crc32(x)) for i, x in enumerate(data)]
         for (_, _, path, _, _), x in zip(plan, data):
-            compaction.put(path, x)
+            files.put(path, x)
         r = compaction.compact_paths(spark.createDataFrame(plan, schema), form).first()
         assert r["intact"] and r["bytes"] == (6 if form == "lines" else sum(map(len, data)))
         (tmp_path / form / "all").unlink()

@@ -5,6 +5,7 @@ import os
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lamella.operators import assembly, chunking, columns, encodings, projection
 from lamella.operators.ordered import split_lag, split_sum
@@ -59,8 +60,13 @@ def test_empty_files_and_files_that_are_none(spark, tmp_path):
     assert orc.scan(spark, path).count() == 0 and len(orc.scan(spark, path).columns) == 12
     (tmp_path / "junk.orc").write_bytes(b"not a file of this kind")
     (tmp_path / "half.orc").write_bytes(b"ORC\x03")
+    whole = fresh_path(spark, "whole").removeprefix("file://")
+    orc.sink(spark.range(1), whole, single=True)
+    (name,) = [x for x in os.listdir(whole) if x.endswith(".orc") and x[0] != "."]
+    with open(f"{whole}/{name}", "rb") as f:
+        (tmp_path / "headless.orc").write_bytes(b"CRO" + f.read()[3:])
     bad = footer.footers(spark, str(tmp_path)).collect()
-    assert len(bad) == 2 and all(r["error"] for r in bad)
+    assert len(bad) == 3 and all(r["error"] for r in bad)
     with pytest.raises(ValueError):
         footer.check_file(spark, str(tmp_path))
 
@@ -92,6 +98,59 @@ def test_stripes_keep_their_order(spark):
     assert [r["id"] for r in rows.orderBy("_stripe", "_row").select("id").collect()] == list(range(5_000))
 
 
+def test_only_the_columns_asked_for_are_read(spark):
+    path = fresh_path(spark, "stripes")
+    orc.sink(spark.range(3_000).select("id", (F.col("id") * 2).alias("twice"), F.lit("x").alias("s")), path, stripe_rows=1_024)
+    rows = stripes.read_stripes(spark, path, "twice bigint", task_bytes=1_000)
+    assert rows.columns == ["twice", "_file", "_stripe", "_row"] and rows.agg(F.sum("twice")).first()[0] == 2_999 * 3_000
+    none = fresh_path(spark, "none")
+    orc.sink(spark.range(0), none, single=True)
+    assert stripes.read_stripes(spark, none, "id bigint").count() == 0
+
+
+@pytest.mark.parametrize("compression", ["none", "snappy", "zlib", "zstd"])
+def test_streams_decode_to_the_values(spark, compression):
+    """Numbers that the writer packs directly, with patches, as deltas and as repeats, negative and null ones among them."""
+    wide = F.when(F.col("id") % 97 == 0, F.col("id") * 10**12).otherwise(F.col("id") % 50 - 25)
+    df = spark.range(3_000).select("id", wide.alias("patched"), F.lit(-7).cast("bigint").alias("same"), (F.hash("id") % 1_000).alias("any"), F.when(F.col("id") % 3 > 0, (F.col("id") * -5)).alias("gaps"))
+    path = fresh_path(spark, "coded")
+    orc.sink(df, path, compression, single=True, stripe_rows=1_024)
+    got = footer.whole_numbers(spark, path, [1, 2, 3, 4, 5]).collect()
+    for i, c in enumerate(df.columns, 1):
+        assert [r["value"] for r in sorted(got, key=lambda r: (r["column_id"], r["stripe_no"], r["present"])) if r["column_id"] == i] == [r[0] for r in df.where(F.col(c).isNotNull()).orderBy("id").select(c).collect()], c
+    feet = footer.stripe_footers(spark, path).collect()
+    assert sum(r["rows"] for r in feet) == 3_000 and all({(s["column_id"], s["stream"]) for s in r["streams"]} >= {(5, "PRESENT"), (5, "DATA"), (1, "ROW_INDEX")} for r in feet)
+    assert {r["writer_timezone"] for r in feet} == {None}  # the writer states its zone where there are timestamps
+    zoned = fresh_path(spark, "zoned")
+    orc.sink(spark.range(5).select(F.timestamp_seconds("id").alias("t")), zoned, compression, single=True)
+    r = footer.stripe_footers(spark, zoned).first()
+    assert r["writer_timezone"] and [tuple(e) for e in r["encodings"]] == [(0, "DIRECT", None), (1, "DIRECT_V2", None)] and (1, "SECONDARY") in {(s["column_id"], s["stream"]) for s in r["streams"]}
+
+
+def test_statistics_are_typed(spark):
+    rows = [(True, -5, 2.5, "b", dt.date(1969, 12, 30), bytearray(b"xyz")), (False, 9, -1.0, "añ", dt.date(2020, 1, 2), None), (True, None, None, None, None, bytearray(b""))]
+    path = fresh_path(spark, "typed")
+    orc.sink(spark.createDataFrame(rows, "a boolean, b int, c double, d string, e date, f binary").withColumn("g", F.col("b").cast("decimal(9,2)")), path, single=True)
+    got = [(s["minimum"], s["maximum"], s["total"]) for s in footer.footers(spark, path).first()["statistics"]]
+    assert got[1:6] == [(None, None, "2"), ("-5", "9", "4"), ("-1.0", "2.5", "1.5"), ("añ", "b", "4"), ("1969-12-30", "2020-01-02", None)]
+    assert got[6] == (None, None, "3") and [float(x) for x in got[7]] == [-5, 9, 4]
+
+
+def test_rows_of_text_are_checked(spark):
+    texts = ['{"a": 1, "b": ["x", null]}', '{"b": []}', "{}", '{"a": "1"}', '{"a": 1.5}', '{"a": 3000000000}', '{"a": 1, "c": 2}', "[1]", '{"a": 1', "", None]
+    good, bad = orc.checked_rows(spark.createDataFrame([(t,) for t in texts], "text string"), "text", T.StructType.fromDDL("a int, b array<string>"))
+    assert [tuple(r) for r in good.collect()] == [(1, ["x", None]), (None, []), (None, None)]
+    assert [r["text"] for r in bad.collect()] == texts[3:] and all(r["error"] for r in bad.collect())
+
+
+def test_a_table_is_counted_while_it_is_written(spark):
+    from lamella.streaming import orc_stream
+
+    df, figures = orc_stream.observed(spark.range(50), "seen", n=F.count("*"), most=F.max("id"))
+    orc.sink(df, fresh_path(spark, "seen"))
+    assert figures() == {"n": 50, "most": 49}
+
+
 def test_rows_per_file(spark):
     path = fresh_path(spark, "sized")
     orc.sink(spark.range(25), path, rows_per_file=10, single=True)
