@@ -245,3 +245,69 @@ def _drift_sql() -> tuple[str, str]:
 
 
 SQL["p1_found"], SQL["p1_lifespans"] = _drift_sql()
+
+
+def _sizes_sql() -> str:
+    """Bytes of each stripe's line numbers by codec, runs of up to 130 being taken greedily from the left."""
+    return f"""with recursive c as (select chunk, row_number() over (partition by chunk order by ordinal) - 1 as i, l_linenumber as v from {CHUNKED}), n as (select chunk, count(*) as n from c group by 1),
+        s as (select *, lead(v) over (partition by chunk order by i) - v as step from c),
+        -- stretches of equal steps, each from its first value to its last, which the next one shares
+        g as (select *, i - row_number() over (partition by chunk, step order by i) as island from s where step is not null),
+        e as (select chunk, min(i) as a, max(i) + 1 as b, row_number() over (partition by chunk order by min(i)) as j from g group by chunk, step, island),
+        r(chunk, j, a, b, taken) as (select chunk, j, a, b, b - a + 1 >= 3 from e where j = 1
+            union all select e.chunk, e.j, case when r.taken then e.a + 1 else e.a end, e.b, e.b - (case when r.taken then e.a + 1 else e.a end) + 1 >= 3 from r join e on e.chunk = r.chunk and e.j = r.j + 1),
+        q as (select chunk, v, i, i - row_number() over (partition by chunk, v order by i) as island from c),
+        x as (select 'runs' as codec, chunk, a, b, 3 as cost from r where taken union all select 'bytes', chunk, min(i), max(i), 2 from q group by chunk, v, island having count(*) >= 3),
+        y as (select codec, chunk, a, b, cost, a - coalesce(lag(b) over (partition by codec, chunk order by a), -1) - 1 as literals from x
+            union all select k.codec, n.chunk, n.n, n.n, 0, n.n - coalesce(max(x.b), -1) - 1 from n cross join (values ('runs'), ('bytes')) k(codec) left join x on x.codec = k.codec and x.chunk = n.chunk group by k.codec, n.chunk, n.n)
+        select y.chunk, codec, n.n, cast(sum(cost + literals + (literals + 127) // 128) as bigint) as bytes from y join n using (chunk) group by all union all select chunk, 'varint', n, n from n"""
+
+
+SQL["enc_bytes_sizes"] = _sizes_sql()
+
+
+def _instants_sql() -> str:
+    """One UTC instant per record. A wall-clock time is read with the offset of the day before; where that gives another time on the clock, with that of
+    the day after; where neither does, it never occurred, and the former holds."""
+    clock, half = r"(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d+))?)?", r"\s*(am|pm|a\.m\.|p\.m\.)"
+    zone = r"\s*(z|utc|gmt|(?:utc|gmt)?[+-]\d{2}(?::?\d{2})?|\[[^\]\[]+\]|[a-z]+(?:/[a-z0-9_+-]+)+)?$"
+    month = r"(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.?"
+    # the day's pattern, and which of its groups are year, month, day
+    days = {"ymd": (r"^(\d{4})[-./](\d{1,2})[-./](\d{1,2})[t ]\s*", (1, 2, 3)), "slash": (r"^(\d{1,2})/(\d{1,2})/(\d{4})[t ]\s*", (3, 1, 2)), "mdy": (rf"^(?:[a-z]{{3,9}},\s*)?{month}\s+(\d{{1,2}}),?\s+(\d{{4}}),?\s+", (3, 1, 2)), "dmy": (rf"^(?:[a-z]{{3}},\s*)?(\d{{1,2}})[- ]{month}[- ](\d{{4}}),?\s+", (3, 2, 1))}
+    forms = []
+    for name, (day, at) in days.items():
+        for h in ("", half):
+            forms.append((name, day + clock + h + zone, [*at, 4, 5, 6, 7, 8 if h else 0, 9 if h else 8]))
+    forms.append(("ymd", r"^(\d{4})(\d{2})(\d{2})[t ]?(\d{2})(\d{2})(\d{2})(?:[.,](\d+))?" + zone, [1, 2, 3, 4, 5, 6, 7, 0, 8]))
+    forms.append(("ordinal", r"^(\d{4})-(\d{3})[t ]" + clock + zone, [1, 2, 0, 3, 4, 5, 6, 0, 7]))
+    part = lambda pattern, g: f"regexp_extract(t, '{pattern}', {g})" if g else "''"
+    match = " ".join(f"when regexp_matches(t, '{p}') then ['{n}', {', '.join(part(p, g) for g in gs)}]" for n, p, gs in forms)
+    key = lambda x: f"upper(replace(trim(regexp_replace({x}, '[\\[\\]\\s]+', ' ', 'g')), ' ', '_'))"
+    number, fixed = r"^([+-]?)(\d{1,20})(?:[.](\d+))?$", r"^(?:UTC|GMT|UT)?([+-])(\d{1,2})(?::?(\d{2}))?$"
+    offset = lambda x: f"""case when {x} in ('Z', 'UTC', 'GMT', 'UT') then 0 when regexp_matches({x}, '{fixed}') then (case when regexp_extract({x}, '{fixed}', 1) = '-' then -1 else 1 end)
+        * (cast(regexp_extract({x}, '{fixed}', 2) as bigint) * 60 + coalesce(try_cast(regexp_extract({x}, '{fixed}', 3) as bigint), 0)) * 60000000 end"""
+    return f"""with f as (select * from {FILES}), r as (select record_id, file_id, stripe_no, c_ts, lower(trim(regexp_replace(c_ts_text, '^\\s+|\\s+$', '', 'g'))) as t from {RECORDS}),
+        w as (select file_id, stripe_no, coalesce(nullif({key('coalesce(max(writer_timezone), chr(32))')}, ''), 'UTC') as writer from stripes group by all),
+        a as (select r.*, date_order, coalesce(writer, 'UTC') as writer, case {match} end as p from r left join f using (file_id) left join w using (file_id, stripe_no)),
+        b as (select *, p[1] as form, try_cast(p[2] as int) as y, case p[1] when 'ordinal' then 1 when 'slash' then case date_order when 'mdy' then try_cast(p[3] as int) when 'dmy' then try_cast(p[4] as int) end
+                else coalesce(try_cast(p[3] as int), list_position(['jan', 'feb', 'mar', 'apr', 'may', 'jun', 'jul', 'aug', 'sep', 'oct', 'nov', 'dec'], p[3])) end as m,
+            case p[1] when 'ordinal' then 1 when 'slash' then case date_order when 'mdy' then try_cast(p[4] as int) when 'dmy' then try_cast(p[3] as int) end else try_cast(p[4] as int) end as d,
+            case when p[1] = 'ordinal' then cast(p[3] as int) end as yd, try_cast(p[5] as int) as h, try_cast(p[6] as int) as i, coalesce(try_cast(p[7] as int), 0) as s, rpad(substr(p[8], 1, 6), 6, '0') as us, p[9] as half, {key('p[10]')} as own from a),
+        c as (select *, case when y >= 1 and m between 1 and 12 and d between 1 and 31 then try_cast(lpad(y::varchar, 4, '0') || '-' || lpad(m::varchar, 2, '0') || '-' || lpad(d::varchar, 2, '0') as date) end as day,
+            case when half <> '' then h between 1 and 12 else h between 0 and 23 end and i < 60 and s < 60 as clock,
+            case when half like 'a%' then h % 12 when half like 'p%' then h % 12 + 12 else h end as hour, regexp_extract(t, '{number}', 1) as sign, regexp_extract(t, '{number}', 2) as digits, regexp_extract(t, '{number}', 3) as tail from b),
+        e as (select *, case when length(digits) <= 11 then 6 when length(digits) <= 14 then 3 when length(digits) <= 17 then 0 else -3 end as shift from c),
+        g as (select *, case when form is null and digits <> '' then case when shift >= 0 then digits || rpad(substr(tail, 1, shift), shift, '0') else substr(digits, 1, length(digits) - 3) end end as whole,
+            case when shift >= 0 then substr(tail, shift + 1) else right(digits, 3) || tail end as rest from e),
+        k as (select record_id, c_ts is not null as stamped, whole, case when sign = '-' then -cast(whole as hugeint) - (case when regexp_matches(rest, '[1-9]') then 1 else 0 end) else cast(whole as hugeint) end as epoch,
+            case when c_ts is not null or coalesce(own, '') = '' then writer else own end as zone,
+            case when c_ts is not null then (c_ts.seconds + 1420070400) * 1000000 + coalesce(c_ts.nanos, 0) // 1000
+                when clock and day is not null and (yd is null or yd between 1 and dayofyear(make_date(y, 12, 31))) then (epoch_us(day::timestamp) + (coalesce(yd, 1) - 1) * 86400000000) + ((hour * 60 + i) * 60 + s)::bigint * 1000000 + us::bigint end as wall from g),
+        n as (select name, upper(name) as zone from pg_timezone_names()), z as (select k.*, {offset('k.zone')} as off, (select min(name) from n where n.zone = k.zone) as name from k),
+        o as (select *, epoch_us(timezone(name, make_timestamptz(wall - 86400000000))) - (wall - 86400000000) as o1, epoch_us(timezone(name, make_timestamptz(wall + 86400000000))) - (wall + 86400000000) as o2 from z where off is null and name is not null and wall is not null),
+        x as (select record_id, case when epoch_us(timezone(name, make_timestamptz(wall - o1))) = wall or epoch_us(timezone(name, make_timestamptz(wall - o2))) <> wall then wall - o1 else wall - o2 end as utc_us from o where whole is null or stamped)
+        select * from x union all select record_id, wall - off from z where (whole is null or stamped) and off is not null and wall is not null
+        union all select record_id, cast(epoch as bigint) from z where whole is not null and not stamped"""
+
+
+SQL["p5_found"] = _instants_sql()

@@ -676,7 +676,7 @@ def enc_bytes_sizes(spark: SparkSession, d: str) -> DataFrame:
     arrays = it.groupBy("chunk").agg(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "l_linenumber"))), lambda x: x["l_linenumber"]).alias("items"))
     out = None
     for name in ("varint", "runs", "bytes"):
-        one = codecs.encode_chunks(arrays, name).select("chunk", F.lit(name).alias("codec"), "n", F.octet_length("body").alias("bytes"))
+        one = codecs.encode_chunks(arrays, name).select("chunk", F.lit(name).alias("codec"), "n", F.octet_length("body").cast("bigint").alias("bytes"))
         out = one if out is None else out.unionByName(one)
     return out
 
