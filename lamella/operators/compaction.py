@@ -12,7 +12,7 @@ import zlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lamella.operators.ordered import split_sum
@@ -24,6 +24,8 @@ from lamella.sources.files import opened, put
 SMALL = 65_536
 #: Bytes that a joined file should have: at least one block of a distributed file system.
 TARGET = 134_217_728
+#: Files that a joined file may be made of; a task lists them.
+MOST_FILES = 50_000
 
 
 def small_files(orc_files: DataFrame, stripes: DataFrame, small: int = SMALL) -> DataFrame:
@@ -47,14 +49,17 @@ def compaction_plan(orc_files: DataFrame, stripes: DataFrame, small: int = SMALL
     """Containers for the small files: file_id, feed_id, day, container (from 0 within feed and day), offset (bytes before it there), data_bytes, rows.
 
     Files of one feed and day are laid end to end by written_at and cut every `target` bytes, so a container exceeds the target by less than one small file.
+    A file counts as target / MOST_FILES bytes at least, so that tiny ones don't gather without bound.
     A file alone in its feed and day has nothing to be joined with and is left out. Null feeds form one feed; files without a day are left out.
     """
     it = small_files(orc_files, stripes, small).where("day is not null")
-    laid = split_sum(it, ["feed_id", "day"], ["written_at", "file_id"], F.hour("written_at"), "data_bytes", "before")
+    it = it.withColumn("weight", F.greatest("data_bytes", F.lit(target // MOST_FILES)))
+    laid = split_sum(it, ["feed_id", "day"], ["written_at", "file_id"], F.hour("written_at"), "weight", "before")
     whole = it.groupBy(F.col("feed_id").alias("_feed"), F.col("day").alias("_day")).agg(F.count("*").alias("files"))
     joined = laid.join(whole.where("files >= 2"), laid["feed_id"].eqNullSafe(whole["_feed"]) & (laid["day"] == whole["_day"]))
-    container = F.floor(F.col("before") / target)
-    return joined.select("file_id", "feed_id", "day", container.alias("container"), (F.col("before") - container * target).alias("offset"), "written_at", "data_bytes", "rows")
+    inside = Window.partitionBy("feed_id", "day", "container").orderBy("written_at", "file_id").rowsBetween(Window.unboundedPreceding, -1)
+    cut = joined.withColumn("container", F.floor(F.col("before") / target))
+    return cut.select("file_id", "feed_id", "day", "container", F.coalesce(F.sum("data_bytes").over(inside), F.lit(0)).alias("offset"), "written_at", "data_bytes", "rows")
 
 
 #: The first bytes of a zstandard frame and of a skippable one, little endian: fixed values.

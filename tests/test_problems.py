@@ -243,6 +243,17 @@ def test_plan_cuts_at_the_target(spark, t):
     assert {r["file_id"] for r in plan} == {r["file_id"] for r in compaction.compaction_plan(t["orc_files"], t["stripes"]).collect()}
 
 
+def test_tiny_files_do_not_gather_without_bound(spark, t, monkeypatch):
+    monkeypatch.setattr(compaction, "MOST_FILES", 2)
+    held = {}
+    for r in compaction.compaction_plan(t["orc_files"], t["stripes"]).collect():
+        held.setdefault((r["feed_id"], r["day"], r["container"]), []).append((r["offset"], r["data_bytes"]))
+    assert max(map(len, held.values())) == 2
+    for files in held.values():
+        ends = [0, *[o + n for o, n in sorted(files)]]
+        assert [o for o, _ in sorted(files)] == ends[:-1]
+
+
 def test_joined_files_hold_every_row_once(spark, t):
     import zstandard
 
