@@ -88,3 +88,15 @@ def written(df: DataFrame, what: str) -> DataFrame:
     path = fresh_path(spark, what)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """df, by a hash of the key in as many partitions as there are cores, if it is read in fewer.
+
+    For work that takes far longer than moving the rows. A table that is large, or that comes out of a shuffle, stays as it is; results don't depend on it.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    plan = df._jdf.queryExecution().executedPlan()
+    if plan.nodeName().startswith("AdaptiveSparkPlan") or plan.execute().getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, key)
