@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamella.session import written
+from lamella.session import spread, written
 
 WORD = re.compile(r"[^\W_]+")
 #: Names whose tags may have attributes without a value; single letters are not among them, as they stand in formulas.
@@ -158,7 +158,7 @@ def hits(documents: DataFrame, vocabulary: dict[str, int]) -> DataFrame:
                 what.append(found[places])
             yield pd.DataFrame({"doc_id": part["doc_id"], "n_words": n, "at": at, "word": what})
 
-    rows = documents.where("doc_id is not null").select("doc_id", "text")
+    rows = spread(documents.where("doc_id is not null").select("doc_id", "text"), "doc_id")
     return rows.mapInPandas(read, "doc_id bigint, n_words int, at array<int>, word array<int>")
 
 

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamella.session import written
+from lamella.session import spread, written
 
 #: Encodings that texts are misread in, and single-byte encodings that they were written in: fixed values.
 MISREAD = ("cp1252", "cp1251", "mac_roman", "cp437", "cp850", "koi8_r", "cp866", "cp1250", "iso8859_5")
@@ -240,7 +240,8 @@ def document_tokens(documents: DataFrame) -> DataFrame:
     """doc_id, tokens: the distinct tokens beyond ASCII of each document that has any. The texts are read here and nowhere else."""
     beyond = lambda c: F.filter(c, lambda x: F.length(x) != F.octet_length(x))
     cut = f"if(length(t) <= {PIECE}, array(t), transform(sequence(1, length(t), {PIECE}), i -> substring(t, i, {PIECE})))"
-    return documents.where("doc_id is not null and text is not null").select("doc_id", beyond(F.split("text", BETWEEN)).alias("t")).select(
+    rows = spread(documents.where("doc_id is not null and text is not null").select("doc_id", "text"), "doc_id")
+    return rows.select("doc_id", beyond(F.split("text", BETWEEN)).alias("t")).select(
         "doc_id", F.array_distinct(beyond(F.expr(f"flatten(transform(t, t -> {cut}))"))).alias("tokens")
     )
 
@@ -354,8 +355,8 @@ def judged(of: DataFrame, readings: DataFrame) -> DataFrame:
 def corrected(counts: DataFrame, fixed: DataFrame) -> DataFrame:
     """The counts of tokens with those that a channel explains counted as what stands behind them."""
     swaps = fixed.select(F.explode("fixes").alias("token", "text")).groupBy("token", "text").agg(F.count("*").alias("docs"))
-    less, more = swaps.select("token", -F.col("docs")), swaps.select(F.col("text").alias("token"), "docs")
-    return counts.unionAll(less).unionAll(more).groupBy("token").agg(F.sum("docs").alias("docs")).where("docs > 0")
+    both = swaps.select(F.explode(F.array(F.struct("token", (-F.col("docs")).alias("docs")), F.struct(F.col("text").alias("token"), "docs"))).alias("x")).select("x.*")
+    return counts.unionAll(both).groupBy("token").agg(F.sum("docs").alias("docs")).where("docs > 0")
 
 
 def damaged_ids(documents: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamella.session import written
+from lamella.session import spread, written
 
 #: Where the public vocabulary files are, and the one used.
 TOKENIZERS, VOCABULARY = "/opt/tokenizers", "byte_bpe_multi_50k.tiktoken"
@@ -66,7 +66,7 @@ def token_counts(documents: DataFrame, folder: str = TOKENIZERS, vocabulary: str
             n = [sum(len(encode(c)) for c in chunks(t)) if t else 0 for t in part["text"]]
             yield pd.DataFrame({"doc_id": part["doc_id"], "n_tokens": np.array(n, dtype="int64")})
 
-    return documents.select("doc_id", "text").mapInPandas(count, "doc_id bigint, n_tokens bigint")
+    return spread(documents.select("doc_id", "text"), "doc_id").mapInPandas(count, "doc_id bigint, n_tokens bigint")
 
 
 def tightest(sizes: np.ndarray, capacity: int) -> np.ndarray:
