@@ -311,3 +311,35 @@ def _instants_sql() -> str:
 
 
 SQL["p5_found"] = _instants_sql()
+
+
+def _children_sql() -> str:
+    """Every child row of the nested payloads with its parent, by walking down values and types together."""
+    text = "json_type(v) = 'VARCHAR'"
+    inner = "json_valid(v->>'$') and json_type(cast(v->>'$' as json)) in ('OBJECT', 'ARRAY')"
+    # a composite value as it was written, then in the shape that its kind asks for
+    meant = f"case when {text} and {inner} then cast(v->>'$' as json) when {text} and kind = 'LIST' and trim(v->>'$') <> 'null' then json_array(v) when {text} or json_type(v) = 'NULL' then null else v end"
+    shaped = """case kind when 'LIST' then case when json_type(w) = 'ARRAY' then w when w is not null then json_array(w) end
+        when 'MAP' then case when json_type(w) = 'ARRAY' then w when json_type(w) = 'OBJECT' and len(json_keys(w)) > 0 and list_has_all(['key', 'value'], json_keys(w)) then json_array(w)
+            when json_type(w) = 'OBJECT' then to_json(list_transform(json_keys(w), lambda k: {'key': k, 'value': w->k})) end
+        when 'STRUCT' then case when json_type(w) = 'OBJECT' then w when json_type(w) = 'ARRAY' and json_array_length(w) = 1 and json_type(w->0) = 'OBJECT' then w->0 end
+        when 'UNION' then case when json_type(w) = 'OBJECT' then w when json_type(w) = 'ARRAY' and json_array_length(w) = 1 and json_type(w->0) = 'OBJECT' then w->0 end end"""
+    child = lambda sub, v, path, parent, element: f"{{'sub': {sub}, 'v': {v}, 'path': {path}, 'parent': {parent}, 'element': {element}}}"
+    here = "n.path || '[' || i || ']'"
+    places = "range(0, cast(json_array_length(n.v) as bigint))"
+    below = f"""case n.kind when 'STRUCT' then list_transform(range(1, len(n.subs) + 1), lambda i: {child('n.subs[i]', 'n.v->(n.fields[i])', "n.path || '.' || n.fields[i]", 'n.path', 'false')})
+        when 'UNION' then case when try_cast(n.v->>'tag' as int) between 0 and len(n.subs) - 1 then [{child("n.subs[try_cast(n.v->>'tag' as int) + 1]", "n.v->'value'", "n.path || '.value'", 'n.path', 'false')}] end
+        when 'LIST' then list_transform({places}, lambda i: {child('n.subs[1]', 'n.v->(i)', here, here, 'true')})
+        when 'MAP' then list_concat(list_transform({places}, lambda i: {child('n.subs[1]', "(n.v->(i))->'key'", here + " || '.key'", here, 'false')}), list_transform({places}, lambda i: {child('n.subs[2]', "(n.v->(i))->'value'", here + " || '.value'", here, 'false')})) end"""
+    down = lambda source: f"select row_id, file_id, kind, subs, fields, {shaped} as v, path, parent, element from (select *, {meant} as w from ({source}))"
+    return f"""with recursive t as (select distinct file_id, type_id, upper(trim(kind)) as kind, coalesce(subtypes, []) as subs, coalesce(field_names, []) as fields from file_types),
+        r as (select distinct on (row_id) row_id, file_id, regexp_replace(payload, '[\\x00-\\x1f]', ' ', 'g') as payload from nested_rows where row_id is not null order by row_id, ingested_at nulls last),
+        b as (select row_id, file_id, cast(payload as json) as v from r where json_valid(payload)),
+        n(row_id, file_id, kind, subs, fields, v, path, parent, element) as (
+            {down("select row_id, b.file_id, kind, subs, fields, v, '$' as path, '$' as parent, true as element from b join t on t.file_id = b.file_id and type_id = 0")}
+            union all {down(f"select row_id, c.file_id, kind, subs, fields, x.v as v, x.path as path, x.parent as parent, x.element as element from (select n.row_id, n.file_id, unnest({below}) as x from n where n.v is not null) c join t on t.file_id = c.file_id and t.type_id = x.sub where kind in ('STRUCT', 'LIST', 'MAP', 'UNION')")})
+        select row_id, parent as parent_path, path as child_path from n where v is not null and kind in ('STRUCT', 'UNION') and not element
+        union all select row_id, parent, path || '[' || unnest({places.replace('n.v', 'v')}) || ']' from n where v is not null and kind in ('LIST', 'MAP')"""
+
+
+SQL["p2_found"] = _children_sql()
