@@ -43,4 +43,19 @@ def p8_restored(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p6_packed, p6_fill, p7_found, p7_report, p8_found, p8_restored)}
-SQL: dict[str, str] = {}
+
+
+def _leaks_sql() -> str:
+    """Pairs in which at least half of an item's words stand under runs of six that the document has too."""
+    tidy = "text"
+    for what, by in (("[\u00ad\u200b-\u200d\u2060\ufeff]", ""), ("</?[A-Za-z][^<>]*>", " "), ("&[A-Za-z]+;", " "), ("[-‐][ \\t]*\\r?\\n\\s*", "")):
+        tidy = f"regexp_replace({tidy}, '{what}', '{by}', 'g')"
+    words = f"regexp_extract_all(lower(nfc_normalize({tidy})), '[\\p{{L}}\\p{{N}}]+')"
+    runs = lambda of: f"select id, n, i, array_to_string(w[i:i + 5], ' ') as run from (select *, unnest(range(1, n - 4)) as i from (select *, len(w) as n from {of}))"
+    return f"""with d as (select doc_id as id, {words} as w from documents where doc_id is not null and text is not null), e as (select item_id as id, {words} as w from eval_items where item_id is not null and text is not null),
+        a as ({runs('e')}), b as (select distinct id, run from ({runs('d')}) where run in (select run from a)),
+        c as (select distinct a.id as item_id, b.id as doc_id, n, unnest(range(i, i + 6)) as place from a join b using (run))
+        select item_id, doc_id from c group by item_id, doc_id, n having 2 * count(*) >= n"""
+
+
+SQL: dict[str, str] = {"p7_found": _leaks_sql()}
