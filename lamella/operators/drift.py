@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lamella.operators.ordered import split_lag, split_sum
+from lamella.operators.profile import large_loads
 from lamella.operators.registry import registered_files
 from lamella.session import written
 
@@ -436,7 +437,7 @@ def unified_fields(orc_files: DataFrame, file_types: DataFrame, nested_rows: Dat
     target_kind, value (text, cast to target_kind; null where absent), fits.
 
     Composite values are JSON under canonical member names, with their leaves cast. What can't be cast stays as it is written, and fits is false. c_ts
-    stays on the writer's clock, as {"seconds", "nanos"}. Each id once (the first delivery); payloads that are not complete JSON objects give no rows;
+    stays on the writer's clock, as {"seconds", "nanos"}. Each id once in its file (the first delivery); payloads that are not complete JSON objects give no rows;
     members that the footer doesn't name, and rows of files without a footer, are left out.
     """
     trees = _trees(file_types)
@@ -452,13 +453,16 @@ def unified_fields(orc_files: DataFrame, file_types: DataFrame, nested_rows: Dat
     once = nested_rows.where("row_id is not null").groupBy("row_id").agg(first("file_id", "payload")).select("row_id", "it.*").join(files, "file_id")
     nested = once.join(each, same(once)).select("row_id", "feed_id", "version", "payload", "plan").mapInPandas(_unify, UNIFIED)
     columns = [c for c in row_records.columns if c.startswith("c_")]
-    flat = row_records.where("record_id is not null").groupBy("record_id").agg(first("file_id", *columns)).select("record_id", "it.*").join(files, "file_id")
     text = lambda c: F.to_json(c) if c == "c_ts" else F.col(c).cast("string")
-    # joined before the cells are exploded: only rows are shuffled
     tops = of.where(f"instr(substring(x.path, 2), '{STEP}') = 0").groupBy("_feed", "_version").agg(
         F.map_from_entries(F.collect_list(F.struct(F.substring("x.path", 2, 1 << 30), F.struct(F.substring("x.canonical_path", 2, 1 << 30).alias("field"), "x.target_kind")))).alias("tops")
     )
-    flat = flat.join(tops, same(flat))
+    # rows are shuffled once: by file, a large file in pieces, which both the deliveries of a record and the fields of its file share
+    large = written(large_loads(row_records), "large-loads")
+    pieces = files.join(tops, same(files)).join(large, "file_id", "left").select("file_id", "feed_id", "tops", F.explode(F.sequence(F.lit(0), F.coalesce("pieces", F.lit(1)) - 1)).alias("piece"))
+    rows = row_records.where("record_id is not null and file_id is not null").select("file_id", "record_id", "ingested_at", *columns).join(large, "file_id", "left")
+    rows = rows.withColumn("piece", F.expr("cast(pmod(xxhash64(record_id), coalesce(pieces, 1)) as int)")).drop("pieces").repartition("file_id", "piece")
+    flat = rows.groupBy("file_id", "piece", "record_id").agg(first(*columns)).select("file_id", "piece", "record_id", "it.*").join(pieces, ["file_id", "piece"])
     cells = flat.select("record_id", "feed_id", "tops", F.explode(F.array(*[F.struct(F.lit(c).alias("name"), text(c).alias("raw")) for c in columns])).alias("cell"))
     cells = cells.select("record_id", "feed_id", "cell.*", F.expr("try_element_at(tops, cell.name)").alias("top")).where("top is not null").select("record_id", "feed_id", "name", "raw", "top.*")
     cast = F.lit(None).cast("string")
