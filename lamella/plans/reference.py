@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from lamella.functions import bits, civil, codecs, jsontext
 from lamella.operators import assembly, chunking, columns, encodings, projection
-from lamella.session import fresh_path
+from lamella.session import fresh_path, spread
 from lamella.sources import footer, orc, stripes
 from lamella.tables import table
 
@@ -540,7 +540,7 @@ def fn_bytes(spark: SparkSession, d: str) -> DataFrame:
 @query
 def json_lineitem(spark: SparkSession, d: str) -> DataFrame:
     """Whole rows through a file and out as JSON lines."""
-    return jsontext.json_rows(orc.scan(spark, _stored(table(spark, d, "lineitem"), "json")))
+    return jsontext.json_rows(orc.scan(spark, _stored(spread(table(spark, d, "lineitem"), "l_orderkey"), "json")))
 
 
 @query
